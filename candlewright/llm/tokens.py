@@ -8,54 +8,105 @@ from functools import lru_cache
 #: Texts of these characters alone take the cached path: no composition applies to them, lower case is the same for
 #: each character wherever it stands, and letters, digits and the rest are told apart by the classes below.
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ]")
-#: The tokenizer file's own split for such characters.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
+#: The tokenizer file's own split for such characters; the commonest alternative comes first, which changes no match.
+SPLIT = re.compile(r"[a-zß-öø-ÿœ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
 #: The split and normalizer that the cached path stands for; another file takes the library's path for every text.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class Encoder(dict):
+class Kept:
+    """A bounded map in two generations of at most `room` entries; what is still used moves to the newer one."""
+
+    def __init__(self, room: int):
+        self.room, self.new, self.old = room, {}, {}
+
+    def missing(self, keys: list[str], values: list[bytes | None]) -> set[str]:
+        """Keys without a value, after those of the older generation have moved."""
+        out, old, new = set(), self.old, self.new
+        for k in {k for k, v in zip(keys, values, strict=True) if v is None}:
+            if (v := old.get(k)) is None:
+                out.add(k)
+            else:
+                new[k] = v
+        return out
+
+    def turn(self) -> None:
+        if len(self.new) >= self.room:
+            self.old, self.new = self.new, {}
+
+
+class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids, equal to the library's ids for the whole text.
 
-    The tokenizer encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in order. Two generations
-    of at most `room` pre-tokens each are kept; a word that is still used moves to the newer one.
+    The tokenizer encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in order. Encodings of
+    space-separated chunks and of pre-tokens are kept in bounded maps. New pre-tokens are encoded together: the last
+    id of each ends a word, so the ids are parted there.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 300_000, longest: int = 48):
         import json
 
         import numpy as np
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.np, self.room, self.old = np, room, {}
+        self.np, self.longest = np, longest
+        self.chunks, self.words = Kept(room), Kept(room)
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.marks = tuple(x["content"] for x in spec.get("added_tokens", ()))
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", ())]
-        self.cached = pre[0].get("pattern", {}).get("Regex") == KNOWN_SPLIT and kinds == ["NFC", "Replace", "Lowercase"]
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.plain(word)
-        if len(self) >= self.room:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+        end = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.cached = bool(end) and pre[0].get("pattern", {}).get("Regex") == KNOWN_SPLIT and kinds == ["NFC", "Replace", "Lowercase"]
+        if self.cached:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
 
     def plain(self, text: str) -> bytes:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        ids = self.np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = self.np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words):
+            return {w: self.plain(w) for w in words}
+        raw, out, a = ids.tobytes(), {}, 0
+        for w, b in zip(words, (4 * at).tolist(), strict=True):
+            out[w], a = raw[a:b], b
+        return out
+
+    def _chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """Encodings of chunks that aren't kept; long ones are used once and not kept."""
+        parts = {c: SPLIT.findall(c) for c in chunks}
+        flat = [w for p in parts.values() for w in p]
+        new = self.words.missing(flat, list(map(self.words.new.get, flat)))
+        known = self.words.new
+        if new:
+            fresh = self._learn(list(new))
+            known.update((w, v) for w, v in fresh.items() if len(w) <= self.longest)
+            out = {c: b"".join([known.get(w) or fresh[w] for w in p]) for c, p in parts.items()}
+        else:
+            out = {c: b"".join(map(known.__getitem__, p)) for c, p in parts.items()}
+        self.chunks.new.update((c, v) for c, v in out.items() if len(c) <= self.longest)
+        return out
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.cached or PLAIN.search(text) or any(m in text for m in self.marks):
             return self.plain(text)
-        return b"".join(map(self.__getitem__, SPLIT.findall(text.lower())))
+        chunks = text.lower().split()
+        values = list(map(self.chunks.new.get, chunks))
+        if None in values:
+            new = self.chunks.missing(chunks, values)
+            fresh = self._chunks(new) if new else {}
+            values = list(map(self.chunks.new.get, chunks))
+            if None in values:  # chunks too long to keep
+                values = [fresh[c] if v is None else v for c, v in zip(chunks, values, strict=True)]
+            self.chunks.turn()
+            self.words.turn()
+        return b"".join(values)
 
 
 @lru_cache(maxsize=2)
