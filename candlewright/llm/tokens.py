@@ -43,7 +43,7 @@ class Encoder:
     id of each ends a word, so the ids are parted there.
     """
 
-    def __init__(self, path: str, room: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, room: int = 150_000, longest: int = 48):
         import json
 
         import numpy as np
