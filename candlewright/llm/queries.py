@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewright.llm.minhash import op5_minhash
+from candlewright.llm.neighbours import op1_neighbours
 from candlewright.llm.packing import op3_packing
 from candlewright.llm.token_files import op10_token_files
+from candlewright.llm.topk import op4_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op10_token_files": op10_token_files}
+    return {
+        "op1_neighbours": op1_neighbours,
+        "op3_packing": op3_packing,
+        "op4_topk": op4_topk,
+        "op5_minhash": op5_minhash,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

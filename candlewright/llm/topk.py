@@ -47,13 +47,12 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
     can't reach the bound. Of those before it, the first `head` rotated coordinates are summed, and a vector goes on
     only if the sum plus the product of both residual lengths (Cauchy-Schwarz) reaches the bound. Survivors are scored
     exactly. Each range returns at most k rows a query. Bounds carry slack for rounding, so none is lost by it.
+    Products beyond double precision are summed as whole numbers, and held to the range of long.
     """
     spark = vectors.sparkSession
     ints = lambda df: df.select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("double")).alias("x"))
-    wide = vectors.agg(F.max(F.size("x"))).first()[0] or 0
+    wide = vectors.agg(F.max(F.size("x"))).first()[0] or 1
     schema = "query_id long, rank int, vec_id long, score long"
-    if not wide:
-        wide = 1
     data = ints(vectors)
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     data = stash.put(data.withColumn("length", length).repartitionByRange(F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id"), "by-length")
@@ -69,7 +68,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
             x[i, : len(v)] = v
         return pdf["vec_id"].to_numpy(dtype=np.int64), x
 
-    def search(shared, first_only: bool):
+    def search(shared):
         def task(batches):
             import numpy as np
             import pyarrow as pa
@@ -82,17 +81,16 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
             best_s = np.full((len(ids), k), -np.inf)
             best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
             objects: list[tuple] = []
+            done = False  # no later vector is long enough for any query; the rest is read past
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
+                for lo in range(0, 0 if done else batch.num_rows, 512):
                     some = batch.slice(lo, 512)
                     vid, x = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64), stack(some.column(1), wide)
                     lens = np.linalg.norm(x, axis=1)
                     slack = 1e-9 * q_len * lens.max() + 1e-6
                     live = np.flatnonzero(q_len * lens.max() + slack >= bound)
                     if not len(live):
-                        if first_only:
-                            continue
-                        return_now = True
+                        done = True
                         break
                     r = x @ turn
                     reach = q_head[live] @ r[:, :head].T + q_rest[live][:, None] * np.linalg.norm(r[:, head:], axis=1)
@@ -105,7 +103,6 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
                     if (q_len[some_q].max() * lens.max()) < EXACT:
                         score = q[some_q] @ x[columns].T
                         score[~near[rows][:, columns]] = -np.inf
-                        part = min(k, len(columns))
                         for i, s in zip(some_q, score, strict=True):
                             ok = np.flatnonzero(s >= max(best_s[i, -1], bound[i] if np.isfinite(bound[i]) else -np.inf))
                             ok = ok[np.isfinite(s[ok])]
@@ -119,10 +116,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
                         for i in some_q:
                             mine = [int(v) for v in q[i]]
                             for j in np.flatnonzero(near[np.searchsorted(live, i)]):
-                                objects.append((int(ids[i]), int(vid[j]), sum(a * int(b) for a, b in zip(mine, x[j], strict=True))))
-                else:
-                    continue
-                break
+                                objects.append((int(ids[i]), int(vid[j]), max(-(1 << 63), min((1 << 63) - 1, sum(a * int(b) for a, b in zip(mine, x[j], strict=True))))))
             at, rank = np.nonzero(np.isfinite(best_s))
             found = [(int(ids[i]), int(best_i[i, j]), int(best_s[i, j])) for i, j in zip(at, rank, strict=True)] + objects
             a, b, c = zip(*found, strict=True) if found else ((), (), ())
@@ -146,7 +140,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
             bound = np.partition(score, -k, axis=1)[:, -k]
             bound = np.where(np.isfinite(bound), bound - 1e-9 * np.abs(bound) - 1e-6, -np.inf)
         shared = spark.sparkContext.broadcast((ids, x, bound))
-        top = top.unionByName(stash.put(data.select("vec_id", "x").mapInArrow(search(shared, False), found_schema), "found"))
+        top = top.unionByName(stash.put(data.select("vec_id", "x").mapInArrow(search(shared), found_schema), "found"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").to(spark.createDataFrame([], schema).schema)
 
