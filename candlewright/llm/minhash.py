@@ -74,6 +74,45 @@ def _agree(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
 
 
+def _mixed(lists: DataFrame, sets: DataFrame, num: int, den: int, stash: Stash, head: int = 256) -> DataFrame:
+    """Pairs of differing components that posting lists still mix, as far as their full sets can be similar.
+
+    lists: rep, n, comp of the members of such lists. Two sets at the similarity share one of the first
+    (n - ceil(similarity * n) + 1) elements of each, in any common order; with the rarest first, what a copy has of
+    its own fills its prefix, and copies too far apart never meet. Of a list's pairs, only those outside its commonest
+    component are begun from. A pair that meets is kept if its sets can still overlap enough: what the first `head`
+    elements of both have in common, plus all that comes after them in the set where that is more.
+    """
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(s.as_buffer(), dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), rep, dtype=np.int64))], names=["gram", "rep"])
+
+    members = stash.put(lists.select("rep", "n", "comp").distinct(), "mixed")
+    grams = stash.put(sets.join(members, "rep").select("rep", "set").mapInArrow(task, "gram long, rep long").distinct(), "grams")
+    shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = grams.join(shared, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own")).join(members, "rep")
+    alone = F.col("n") - F.size("own")
+    first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - alone
+    seen = F.greatest(F.lit(0), F.least(F.size("own"), head - alone)).cast("int")  # of the head, those that others have
+    ranked = ranked.withColumn("tops", F.transform(F.slice("own", F.lit(1), seen), lambda k: k["gram"].bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))).withColumn("rest", F.greatest(F.lit(0), F.col("n") - head))
+    kept = ranked.where(first > 0).select("rep", "n", "comp", "tops", "rest", F.explode(F.slice("own", F.lit(1), first.cast("int"))).alias("k")).select(F.col("k.gram").alias("gram"), "rep", "n", "comp", "tops", "rest")
+    kept = stash.put(kept, "gram-prefix")
+    main = kept.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    side = lambda rows, c: rows.select("gram", F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "comp", "tops", "rest")])
+    begun = side(kept.join(main.select("gram", "main"), "gram").where("comp <> main"), "a")
+    ratio = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    most = F.size(F.array_intersect("tops_a", "tops_b")) + F.greatest("rest_a", "rest_b")
+    enough = most * (den + num) >= (F.col("n_a") + F.col("n_b")) * num
+    met = begun.join(side(kept, "b"), "gram").where((F.col("comp_a") != F.col("comp_b")) & ratio & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with den * |intersection| >= num * |union| on the full sets."""
 
@@ -117,7 +156,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return wanted.select("rep", "h1", "h2").join(texts, "rep").select("rep", "text", "h1", "h2").mapInArrow(task, "rep long, set binary")
 
 
-def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: tuple[int, int] = (80, 100), coordinates: int = 64, seed: int = 7, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: tuple[int, int] = (80, 100), coordinates: int = 64, seed: int = 7, hub_rounds: int = 2) -> DataFrame:
     """Link documents whose shingle sets have Jaccard similarity of at least similarity[0] / similarity[1].
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept (doc_id =
@@ -131,8 +170,8 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
 
     Pairs of one posting list aren't all emitted. In each hub round a list elects a member, and members of other
     components are compared with it; links merge components. What then still shares a list but not a component is
-    compared pair by pair, so no link between components is lost and a group of n near copies costs about n
-    comparisons for each of its lists. Compared pairs are counted on the whole signature and confirmed on full sets.
+    joined by the rarest elements of their full sets (_mixed), so no link between components is lost and a group of n
+    near copies costs about n comparisons for each of its lists. Compared pairs are counted on the whole signature and confirmed on full sets.
 
     Null or empty texts, and texts without words, have no shingles and link with nothing. Rows with a null doc_id
     get their size, a null component_id and kept = false. Repeated rows of a doc_id get the same component. Ties
@@ -159,11 +198,10 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
         lists = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         member = at.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
         if turn < hub_rounds:
-            met = member.join(lists.select("key", "hub.b", "hub.n_b", "hub.comp_b"), "key").where("comp_a <> comp_b")
+            met = member.join(lists.select("key", "hub.b", "hub.n_b", "hub.comp_b"), "key").where("comp_a <> comp_b").where(ratio)
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            mixed = stash.put(member.join(lists.select("key"), "key"), "mixed")
-            met = mixed.join(mixed.select("key", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("comp_a").alias("comp_b")), "key").where("a < b and comp_a <> comp_b")
-        pairs = met.where(ratio).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = _mixed(at.join(lists.select("key"), "key"), sets, num, den, stash)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stash.put(pairs, "pairs")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import insort
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,66 +29,69 @@ class Packer:
         import numpy as np
 
         self.np, self.limit, self.cut = np, (max_tokens, max_segments, max_loss), cut
-        self.waiting: dict[tuple[int, int], deque] = {}
-        self.kinds: list[tuple[int, int]] = []
-        self.table = None
-        self.tokens = 0
+        self.place: dict[tuple[int, int], int] = {}
+        self.waiting: list[deque] = []
+        self.tokens = self.items = 0
+        self._index([])
+
+    def _index(self, kinds: list[tuple[int, int]]) -> None:
+        """Kinds of demand in order, with how many items of each wait; kinds that run out stay in the table."""
+        order = sorted(kinds)
+        self.waiting = [self.waiting[self.place[k]] if k in self.place else deque() for k in order]
+        self.place = {k: i for i, k in enumerate(order)}
+        self.table = self.np.array(order, dtype=float).reshape(-1, 2)
+        self.count = self.np.array([len(q) for q in self.waiting], dtype=int)
 
     def add(self, tokens: int, loss: int, what: tuple) -> bool:
         """Queue an item; False if it can't stand in any sequence."""
         if tokens > self.limit[0] or loss > self.limit[2] or (self.cut and loss != tokens):
             return False
-        if (tokens, loss) not in self.waiting:
-            self.waiting[tokens, loss] = deque()
-            insort(self.kinds, (tokens, loss))
-            self.table = None
-        self.waiting[tokens, loss].append(what)
-        self.tokens += tokens
+        if (tokens, loss) not in self.place:
+            self._index([k for k in self.place if self.count[self.place[k]] or len(self.place) < 4096] + [(tokens, loss)])
+        at = self.place[tokens, loss]
+        self.waiting[at].append(what)
+        self.count[at] += 1
+        self.tokens, self.items = self.tokens + tokens, self.items + 1
         return True
 
-    def _take(self, kind: tuple[int, int]) -> tuple:
-        queue = self.waiting[kind]
-        what = queue.popleft()
-        if not queue:
-            del self.waiting[kind]
-            self.kinds.remove(kind)
-            self.table = None
-        self.tokens -= kind[0]
-        return what
-
-    def _best(self, rest: list[int]) -> tuple[int, int] | None:
+    def _take(self, at: int) -> tuple[tuple, int, int]:
+        tokens, loss = map(int, self.table[at])
+        self.count[at] -= 1
+        self.tokens, self.items = self.tokens - tokens, self.items - 1
+        return self.waiting[at].popleft(), tokens, loss
+
+    def _best(self, rest: list[int]) -> int | None:
         np = self.np
-        if self.table is None:
-            self.table = np.array(self.kinds, dtype=float).reshape(-1, 2)
-        top = np.searchsorted(self.table[:, 0], rest[0], "right")
+        top = int(np.searchsorted(self.table[:, 0], rest[0], "right"))
         if not top or not rest[1]:
             return None
         t, _, b = self.limit
         some = self.table[:top]
         score = some[:, 0] * (rest[0] / t**2) + some[:, 1] * (rest[2] / max(b, 1) ** 2)  # the segment's share is the same for all
-        score[some[:, 1] > rest[2]] = -1
+        score[(self.count[:top] == 0) | (some[:, 1] > rest[2])] = -1
         k = top - 1 - int(np.argmax(score[::-1]))
-        return self.kinds[k] if score[k] >= 0 else None
+        return k if score[k] >= 0 else None
 
     def sequence(self) -> tuple[list[tuple], int]:
         """One sequence as (what, first token within the item, tokens, loss) and its number of tokens."""
         rest, out = list(self.limit), []
-        while self.kinds and rest[0]:
-            kind, first = self._best(rest), 0
-            if kind is None:
+        while self.items and rest[0]:
+            at = self._best(rest)
+            if at is None:
                 room = min(rest[0], rest[2])
-                longer = self.np.searchsorted(self.table[:, 0], room, "right") if self.table is not None else 0
-                if not self.cut or not rest[1] or not room or longer >= len(self.kinds):
+                longer = int(self.np.searchsorted(self.table[:, 0], room, "right"))
+                waits = self.np.flatnonzero(self.count[longer:])
+                if not self.cut or not rest[1] or not room or not len(waits):
                     break
-                kind = self.kinds[longer]
-                what = self._take(kind)
+                what, tokens, _ = self._take(longer + int(waits[0]))
                 out.append((what, 0, room, room))
                 name, done = what
-                self.add(kind[0] - room, kind[1] - room, (name, done + room))
+                self.add(tokens - room, tokens - room, (name, done + room))
                 rest = [rest[0] - room, rest[1] - 1, rest[2] - room]
                 continue
-            out.append((self._take(kind), first, kind[0], kind[1]))
-            rest = [rest[0] - kind[0], rest[1] - 1, rest[2] - kind[1]]
+            what, tokens, loss = self._take(at)
+            out.append((what, 0, tokens, loss))
+            rest = [rest[0] - tokens, rest[1] - 1, rest[2] - loss]
         return out, self.limit[0] - rest[0]
 
 
@@ -156,7 +158,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens:
         def drain(keep: int):
             while packer.tokens > keep:
                 pieces, used = packer.sequence()
-                if used < max_tokens and not packer.kinds and used & (used - 1):
+                if used < max_tokens and not packer.items and used & (used - 1):
                     for part in _ladder(pieces, used):
                         write(part)
                 else:
@@ -211,7 +213,7 @@ def pack_examples(examples: DataFrame, max_tokens: int = 2048, max_segments: int
                     bad = pd.isna(tokens) or pd.isna(loss) or tokens < 0 or loss < 0
                     if bad or not packer.add(int(tokens), int(loss), (key,)):
                         out.append((key, tokens, loss, None, None, None))
-                while packer.kinds:
+                while packer.items:
                     pieces, at = packer.sequence()[0], 0
                     for k, (what, _, tokens, loss) in enumerate(pieces):
                         out.append((what[0], tokens, loss, first, at, k))
