@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer).batch, np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(*limits, cut=True)
         held: dict[int, list] = {}  # the rest of a document: name, its bytes, where they start, its tokens, tokens not yet placed
         first = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
@@ -172,8 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, max_tokens:
 
         count = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for key, ids in ((k, x + end) for lo in range(0, batch.num_rows, 1000) for k, x in zip(batch.column(0).slice(lo, 1000).to_pylist(), encode(batch.column(1).slice(lo, 1000)), strict=True)):
                 tokens, done = len(ids) // 4, 0
                 while tokens - done >= full:
                     rows.append((key, done, full, zlib.crc32(ids[4 * done : 4 * (done + full)]), tokens, first, 0, full, 0))

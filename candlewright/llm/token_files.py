@@ -37,11 +37,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, stash: Stash, nam
         import numpy as np
         import pyarrow as pa
 
-        encode, end, first = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 0
+        encode, end, first = encoder(tokenizer).batch, np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                parts = [encode(x.as_py()) + end for x in some.column(2)]
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
+                parts = [x + end for x in encode(some.column(2))]
                 sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))

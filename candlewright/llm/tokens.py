@@ -1,112 +1,233 @@
-"""Tokenization of whole texts on executors, with a bounded cache of pre-token encodings."""
+"""Tokenization of whole texts on executors, vectorised over batches, equal to the library's ids."""
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
-#: Texts of these characters alone take the cached path: no composition applies to them, lower case is the same for
-#: each character wherever it stands, and letters, digits and the rest are told apart by the classes below.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ]")
-#: The tokenizer file's own split for such characters; the commonest alternative comes first, which changes no match.
-SPLIT = re.compile(r"[a-zß-öø-ÿœ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
-#: The split and normalizer that the cached path stands for; another file takes the library's path for every text.
-KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+import numpy as np
 
+from candlewright.llm.shingles import mix
 
-class Kept:
-    """A bounded map in two generations of at most `room` entries; what is still used moves to the newer one."""
+#: The split and normalizer that the vectorised path stands for; another file takes the library's path for every text.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, DIGIT, MARK = range(4)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, room: int):
-        self.room, self.new, self.old = room, {}, {}
 
-    def missing(self, keys: list[str], values: list[bytes | None]) -> set[str]:
-        """Keys without a value, after those of the older generation have moved."""
-        out, old, new = set(), self.old, self.new
-        for k in {k for k, v in zip(keys, values, strict=True) if v is None}:
-            if (v := old.get(k)) is None:
-                out.add(k)
-            else:
-                new[k] = v
-        return out
+def _byte_classes() -> np.ndarray:
+    """Classes of single bytes; the bytes of two-byte letters are letters, which _classify checks in pairs."""
+    out = np.full(256, MARK, dtype=np.uint8)
+    out[[9, 10, 13, 32]] = SPACE
+    out[48:58] = DIGIT
+    out[97:123] = out[65:91] = out[128:] = LETTER
+    return out
 
-    def turn(self) -> None:
-        if len(self.new) >= self.room:
-            self.old, self.new = self.new, {}
 
+CLASSES = _byte_classes()
+CONTROL = np.zeros(256, dtype=bool)
+CONTROL[:32] = CONTROL[127] = True
+CONTROL[[9, 10, 13]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
-class Encoder:
-    """Encodes texts to bytes of little-endian unsigned 32-bit ids, equal to the library's ids for the whole text.
 
-    The tokenizer encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in order. Encodings of
-    space-separated chunks and of pre-tokens are kept in bounded maps. New pre-tokens are encoded together: the last
-    id of each ends a word, so the ids are parted there.
+class Encoder:
+    """Encodes texts to bytes of little-endian unsigned 32-bit ids.
+
+    The tokenizer encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in order. Pre-tokens of a
+    batch are found by byte classes, named by 64-bit hashes of their lower-cased bytes, and looked up together in a
+    sorted table of at most `room` encodings; those not used lately make room. New ones are encoded in one call: the
+    last id of each ends a word, so the ids are parted there. A chunk with an apostrophe is one entry, encoded whole.
+    Texts with other than ASCII and the Latin letters of U+00C0-U+00FF, U+0152 and U+0153, with control characters, or
+    with a mark of a special token, go through the library whole.
     """
 
-    def __init__(self, path: str, room: int = 150_000, longest: int = 48):
+    def __init__(self, path: str, room: int = 1_000_000):
         import json
 
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.longest = np, longest
-        self.chunks, self.words = Kept(room), Kept(room)
+        self.room = room
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.marks = tuple(x["content"] for x in spec.get("added_tokens", ()))
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", ())]
         end = (spec.get("model") or {}).get("end_of_word_suffix")
-        self.cached = bool(end) and pre[0].get("pattern", {}).get("Regex") == KNOWN_SPLIT and kinds == ["NFC", "Replace", "Lowercase"]
-        if self.cached:
+        marks = all(x["content"].startswith("<|") for x in spec.get("added_tokens", ()))
+        self.fast = bool(end) and marks and pre[0].get("pattern", {}).get("Regex") == KNOWN_SPLIT and kinds == ["NFC", "Replace", "Lowercase"]
+        if self.fast:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
+        self._clear()
+        self.powers = self.inverses = np.ones(0, np.uint64)
+
+    def _clear(self) -> None:
+        self.names = np.zeros(0, np.uint64)  # sorted
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.turn = 0
 
     def plain(self, text: str) -> bytes:
-        return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        ids = self.np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = self.np.flatnonzero(self.ends[ids]) + 1
-        if len(at) != len(words):
-            return {w: self.plain(w) for w in words}
-        raw, out, a = ids.tobytes(), {}, 0
-        for w, b in zip(words, (4 * at).tolist(), strict=True):
-            out[w], a = raw[a:b], b
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+            fill = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+            self.powers, self.inverses = fill(BASE), fill(inverse)
+
+    def _learn(self, names: np.ndarray, words: list[bytes], whole: np.ndarray) -> None:
+        """Add encodings of new entries; names are sorted and not yet known."""
+        sizes, parts = np.zeros(len(words), np.int64), []
+        one = np.flatnonzero(~whole)
+        if len(one):
+            text = b" ".join([words[i] for i in one]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(one):  # never so with the known file; the library's own answer for each
+                whole = np.ones(len(words), dtype=bool)
+            else:
+                sizes[one] = np.diff(np.concatenate([[0], at]))
+                parts.append(ids)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        base = len(self.ids) + sum(map(len, parts))
+        for i in np.flatnonzero(whole):
+            ids = np.frombuffer(self.plain(words[i].decode()), dtype="<u4")
+            starts[i], sizes[i], base = base, len(ids), base + len(ids)
+            parts.append(ids)
+        where = np.searchsorted(self.names, names)
+        self.ids = np.concatenate([self.ids, *parts]).astype(np.uint32)
+        self.names, self.starts = np.insert(self.names, where, names), np.insert(self.starts, where, starts)
+        self.sizes, self.used = np.insert(self.sizes, where, sizes), np.insert(self.used, where, self.turn)
+
+    def _evict(self) -> None:
+        """Keep the half used last."""
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        sizes = self.sizes[keep]
+        ids = self.ids[_runs(self.starts[keep], sizes)]
+        self.names, self.used, self.sizes, self.ids = self.names[keep], self.used[keep], sizes, ids
+        self.starts = np.cumsum(sizes) - sizes
+
+    def batch(self, column) -> list[bytes]:
+        """Ids of each text of an Arrow string column; null and empty texts have none."""
+        import pyarrow as pa
+
+        column = column.cast(pa.large_string())
+        if not self.fast:
+            return [self.plain(t) if t else b"" for t in column.to_pylist()]
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        out: list[bytes] = []
+        lo = 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (4 << 20), "right")) - 1)
+            data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[lo] : offsets[hi]]
+            out += self._some(data, offsets[lo : hi + 1] - offsets[lo])
+            lo = hi
         return out
 
-    def _chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        """Encodings of chunks that aren't kept; long ones are used once and not kept."""
-        parts = {c: SPLIT.findall(c) for c in chunks}
-        flat = [w for p in parts.values() for w in p]
-        new = self.words.missing(flat, list(map(self.words.new.get, flat)))
-        known = self.words.new
-        if new:
-            fresh = self._learn(list(new))
-            known.update((w, v) for w, v in fresh.items() if len(w) <= self.longest)
-            out = {c: b"".join([known.get(w) or fresh[w] for w in p]) for c, p in parts.items()}
+    def _some(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        n, docs = len(data), len(offsets) - 1
+        if not n:
+            return [b""] * docs
+        cls, low = CLASSES[data], LOWER[data]
+        wide = data >= 128
+        odd = CONTROL[data]
+        if wide.any():
+            at = np.flatnonzero(wide)
+            here = data[at]
+            before = np.where(at > 0, data[at - 1], 0)
+            lead = (here == 0xC3) | (here == 0xC5)
+            latin = (before == 0xC3) & (here >= 0x80) & (here <= 0xBF) & (here != 0x97) & (here != 0xB7)
+            oe = (before == 0xC5) & ((here == 0x92) | (here == 0x93))
+            odd[at[~(lead | latin | oe)]] = True
+            low[at[latin & (here <= 0x9E)]] += 0x20
+            low[at[oe]] = 0x93
+        bar = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        odd[bar] = True
+        slow = np.zeros(docs, dtype=bool)
+        if odd.any():
+            slow[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+            for k in np.flatnonzero(slow):
+                cls[offsets[k] : offsets[k + 1]] = SPACE
+        edge = np.empty(n, dtype=bool)
+        edge[0] = True
+        np.not_equal(cls[1:], cls[:-1], out=edge[1:])
+        edge |= cls == DIGIT
+        inner = offsets[offsets < n]
+        edge[inner] = True
+        quotes = np.flatnonzero((data == 0x27) & (cls == MARK))
+        opaque = np.zeros(0, np.int64)
+        if len(quotes):
+            first = cls != SPACE
+            first[1:] &= (cls[:-1] == SPACE) | edge_at(n, inner)[1:]
+            chunk = np.cumsum(first)
+            flagged = np.zeros(int(chunk[-1]) + 1, dtype=bool)
+            flagged[chunk[quotes]] = True
+            inside = flagged[chunk] & (cls != SPACE)
+            edge &= ~inside | first
+            opaque = np.flatnonzero(inside & first)
+        at = np.flatnonzero(edge)
+        ends = np.append(at[1:], n)
+        word = cls[at] != SPACE
+        at, ends = at[word], ends[word]
+        if len(at):
+            self._grow(n)
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_bytes(low) * self.powers[:n])])
+                names = mix((total[ends] - total[at]) * self.inverses[at] + (ends - at).astype(np.uint64))
+            some, first, back = np.unique(names, return_index=True, return_inverse=True)
+            self.turn += 1
+            place = np.searchsorted(self.names, some)
+            new = np.ones(len(some), dtype=bool)
+            inbound = place < len(self.names)
+            new[inbound] = self.names[place[inbound]] != some[inbound]
+            if new.any():
+                if len(self.names) > self.room:
+                    self._evict()
+                    place = np.searchsorted(self.names, some)
+                    new[:] = True
+                    inbound = place < len(self.names)
+                    new[inbound] = self.names[place[inbound]] != some[inbound]
+                k = first[new]
+                raw = low.tobytes()
+                words = [raw[a:b] for a, b in zip(at[k].tolist(), ends[k].tolist(), strict=True)]
+                self._learn(some[new], words, np.isin(at[k], opaque))
+                place = np.searchsorted(self.names, some)
+            self.used[place] = self.turn
+            entry = place[back]
+            sizes = self.sizes[entry]
+            ids = self.ids[_runs(self.starts[entry], sizes)].astype("<u4")
+            upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(at, offsets, "left")]
         else:
-            out = {c: b"".join(map(known.__getitem__, p)) for c, p in parts.items()}
-        self.chunks.new.update((c, v) for c, v in out.items() if len(c) <= self.longest)
+            ids, upto = np.zeros(0, "<u4"), np.zeros(docs + 1, np.int64)
+        raw, cuts = ids.tobytes(), (4 * upto).tolist()
+        out = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in np.flatnonzero(slow):
+            out[k] = self.plain(data[offsets[k] : offsets[k + 1]].tobytes().decode())
         return out
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.cached or PLAIN.search(text) or any(m in text for m in self.marks):
-            return self.plain(text)
-        chunks = text.lower().split()
-        values = list(map(self.chunks.new.get, chunks))
-        if None in values:
-            new = self.chunks.missing(chunks, values)
-            fresh = self._chunks(new) if new else {}
-            values = list(map(self.chunks.new.get, chunks))
-            if None in values:  # chunks too long to keep
-                values = [fresh[c] if v is None else v for c, v in zip(chunks, values, strict=True)]
-            self.chunks.turn()
-            self.words.turn()
-        return b"".join(values)
+
+def edge_at(n: int, places: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    out[places] = True
+    return out
+
+
+def mixed_bytes(data: np.ndarray) -> np.ndarray:
+    return SPREAD[data]
+
+
+with np.errstate(over="ignore"):
+    SPREAD = mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of runs that start at `starts` and are `sizes` long, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
