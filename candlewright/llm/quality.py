@@ -111,7 +111,6 @@ def train(stats: DataFrame, labels: DataFrame, count: int = 256, width: float =
     if total > max_rows:
         seen = seen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
     rows = seen.join(stats, "doc_id").select("fold", "y", "x").repartition(min(64, max(1, total // 2000 + 1)))
-    spark = stats.sparkSession
     d = len(STATISTICS)
 
     def reduced(frame: DataFrame, task, sizes: int) -> dict[int, np.ndarray]:
@@ -159,7 +158,6 @@ def train(stats: DataFrame, labels: DataFrame, count: int = 256, width: float =
     table = sum(reduced(rows, by_fold(calibration), bins).values())
     some = np.flatnonzero(table[0])
     fit = pool_adjacent((table[1][some] + 0.5 * 0.02) / (table[0][some] + 0.02), table[0][some])
-    del spark
     return {"features": features, "weights": weights, "at": (some + 0.5) / bins * 2 - 0.5, "fit": np.clip(fit, 0, 1)}
 
 
@@ -192,6 +190,35 @@ def classify(docs: DataFrame, labels: DataFrame, stash: Stash, threshold: float
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 200_000) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns.
+
+    The model is fitted on at most about `max_rows` labelled documents (train), whose ids are broadcast: under 4 MB.
+    Every text is then scored where it is read, so nothing is shuffled. Without labels every row stays.
+    """
+    ids = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id").distinct()
+    total = ids.count()
+    if total > max_rows:
+        ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
+    model = train(document_statistics(docs.join(F.broadcast(ids), "doc_id")), labels.join(F.broadcast(ids), "doc_id"), max_rows=max_rows)
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
+                x = np.array([statistics((t.as_py() or "").encode()) for t in some.column(at)])
+                value = np.interp(model["features"](x) @ model["weights"], model["at"], model["fit"])
+                yield some.filter(pa.array(value >= threshold))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored, with the labels that aren't held out."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), Stash(spark, "op9"))

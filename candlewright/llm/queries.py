@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import secrets
+from candlewright.llm import revisits, secrets
 from candlewright.llm.minhash import op5_minhash
+from candlewright.llm.mixing import op6_mixing
 from candlewright.llm.neighbours import op1_neighbours
 from candlewright.llm.packing import op3_packing
 from candlewright.llm.pii import op7_pii
 from candlewright.llm.quality import op9_quality
+from candlewright.llm.revisits import op8_revisits
 from candlewright.llm.secrets import op2_secrets
 from candlewright.llm.token_files import op10_token_files
 from candlewright.llm.topk import op4_topk
@@ -24,12 +26,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_topk": op4_topk,
         "op5_minhash": op5_minhash,
+        "op6_mixing": op6_mixing,
         "op7_pii": op7_pii,
+        "op8_revisits": op8_revisits,
         "op9_quality": op9_quality,
         "op10_token_files": op10_token_files,
+        "pipeline": pipeline,
     }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents table."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: DuckDB SQL of op4_topk.
 TOPK = """
 WITH v AS (
@@ -44,4 +56,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.SQL, "op4_topk": TOPK}
+    return {"op2_secrets": secrets.SQL, "op4_topk": TOPK, "op8_revisits": revisits.SQL}
