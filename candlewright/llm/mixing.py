@@ -34,13 +34,19 @@ class Model:
     start: list[float]
     adds: list[list[float]]
 
-    def posterior(self, text: Column) -> Column:
-        held = F.array(*[text.contains(f" {c} ").cast("double") for c in self.cues]) if self.cues else F.array().cast("array<double>")
-        scores = [F.aggregate(F.zip_with(held, F.array(*map(F.lit, adds)) if adds else held, lambda x, w: x * w), F.lit(a), lambda s, v: s + v) for a, adds in zip(self.start, self.adds, strict=True)]
-        raw = F.array(*scores)
-        top = F.array_max(raw)
-        odds = F.transform(raw, lambda s: F.exp(F.greatest(s - top, F.lit(-60.0))))
-        return F.transform(odds, lambda v: v / F.aggregate(odds, F.lit(0.0), lambda s, x: s + x))
+    def posteriors(self, rows: DataFrame, text: Column) -> DataFrame:
+        """rows with `posterior`, array<double> in the domains' order; each step is computed once for a row."""
+        held = F.array(*[text.contains(f" {c} ").cast("double") for c in self.cues]) if self.cues else F.array(F.lit(0.0))
+        sums = [F.aggregate(F.zip_with("m1", F.expr("array(" + ", ".join(f"{x!r}D" for x in adds or [0.0]) + ")"), lambda x, w: x * w), F.lit(a), lambda s, v: s + v) for a, adds in zip(self.start, self.adds, strict=True)]
+        odds = F.transform("m2", lambda s: F.exp(F.greatest(s - F.array_max("m2"), F.lit(-60.0))))
+        out = once(once(once(rows, "m1", held), "m2", F.array(*sums)), "m3", odds)
+        whole = F.aggregate("m3", F.lit(0.0), lambda s, x: s + x)
+        return once(once(out, "m4", whole), "posterior", F.transform("m3", lambda v: v / F.col("m4"))).drop("m1", "m2", "m3", "m4")
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once: the optimizer copies no expression out of a generator."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def train(docs: DataFrame, labelled: DataFrame, stash: Stash, cues: int = 10, max_rows: int = 10_000) -> Model | None:
@@ -76,7 +82,7 @@ def train(docs: DataFrame, labelled: DataFrame, stash: Stash, cues: int = 10, ma
     return Model(names, words, start, [[log(p / (1 - p)) for p in row] for row in rate])
 
 
-def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | None, factors: dict[str, float], rounds: int = 40, tolerance: float = 1e-4, budget: float = 1.0) -> tuple[Column, list[list[float]]]:
+def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | None, factors: dict[str, float], rounds: int = 12, tolerance: float = 1e-3, budget: float = 1.0) -> tuple[Column, list[list[float]]]:
     """Nonnegative rates by projected gradient: the rate as a column of `posterior`, and the steps taken.
 
     rows: tokens, posterior. Least squares over domains, each error divided by its domain's share: the expected token
@@ -92,6 +98,7 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | N
     if not total:
         return F.lit(1.0), steps
     now = [(share[f"s{i}"] or 0.0) / total for i in range(len(domains))]
+    first = list(now)
     wanted = [max(0.0, (s if weights is None else weights.get(d, 0.0)) * factors.get(d, 1.0)) if s > 1e-9 else 0.0 for d, s in zip(domains, now, strict=True)]
     scale = sum(wanted)
     if not scale:
@@ -101,15 +108,15 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | N
     def rate() -> Column:
         if not steps:
             return F.lit(1.0)
-        taken = F.array(*[F.array(*map(F.lit, s)) for s in steps])
+        taken = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps) + ")")
         return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, F.col("posterior"), lambda a, p: a * p), F.lit(0.0), lambda x, y: x + y)))
 
     for _ in range(rounds):
         error = [a - b for a, b in zip(now, wanted, strict=True)]
         if max(map(abs, error)) < tolerance * max(wanted):
             break
-        steps.append([e / max(s, 1e-9) if s else 0.0 for e, s in zip(error, [(share[f"s{i}"] or 0.0) / total for i in range(len(domains))], strict=True)])
-        got = rows.withColumn("rate", rate()).select(*[F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("rate")).alias(f"s{i}") for i in range(len(domains))]).first()
+        steps.append([e / s if s > 1e-9 else 0.0 for e, s in zip(error, first, strict=True)])
+        got = once(rows, "rate", rate()).select(*[F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("rate")).alias(f"s{i}") for i in range(len(domains))]).first()
         now = [(got[f"s{i}"] or 0.0) / total for i in range(len(domains))]
     return rate(), steps
 
@@ -130,24 +137,27 @@ def mix(docs: DataFrame, labelled: DataFrame, stash: Stash, weights: dict[str, f
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, stash: Stash, weights: dict[str, float] | None = None, factors: dict[str, float] | None = None, seed: int = 17) -> DataFrame:
     """docs with every row repeated `copies` times (mix), and all its columns. Rows aren't shuffled: a posterior is
-    computed again where its text is read. Columns named posterior, rate or salt are refused."""
-    if {"posterior", "rate", "salt"} & set(docs.columns):
-        raise ValueError("docs must not have columns named posterior, rate or salt")
+    computed again where its text is read. Columns with the names of its own steps are refused."""
+    if {"posterior", "rate", "salt", "plain", "m1", "m2", "m3", "m4"} & set(docs.columns):
+        raise ValueError("docs must not have columns named posterior, rate, salt, plain or m1 to m4")
     _, rate, model = _fitted(docs, labelled, stash, weights, factors, seed)
-    out = docs.withColumn("posterior", _posterior(model, F.col("text"))).withColumn("salt", _salt(seed)).withColumn("rate", rate)
-    return out.withColumn("rate", F.explode(F.array_repeat("rate", _copies(F.col("rate"))))).select(*docs.columns)
+    if model is None:
+        return docs
+    out = once(_with_posterior(docs, model).withColumn("salt", _salt(seed)), "rate", rate)
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), _copies(F.col("rate")))).alias("rate")).select(*docs.columns)
 
 
-def _posterior(model: Model | None, text: Column) -> Column:
-    return F.array(F.lit(1.0)) if model is None else model.posterior(_plain(text))
+def _with_posterior(docs: DataFrame, model: Model | None) -> DataFrame:
+    if model is None:
+        return docs.withColumn("posterior", F.array(F.lit(1.0)))
+    return model.posteriors(once(docs, "plain", _plain(F.col("text"))), F.col("plain")).drop("plain")
 
 
 def _fitted(docs: DataFrame, labelled: DataFrame, stash: Stash, weights, factors, seed: int) -> tuple[DataFrame, Column, Model | None]:
     """Narrow rows (doc_id, tokens, posterior, salt) in a table, the fitted rate over them, and the classifier."""
     model = train(docs, labelled, stash)
-    text = docs.select("doc_id", "text", _plain(F.col("text")).alias("t"))
-    posterior = F.array(F.lit(1.0)) if model is None else model.posterior(F.col("t"))
-    rows = stash.put(text.select("doc_id", tokens(F.col("text")).alias("tokens"), posterior.alias("posterior"), _salt(seed).alias("salt")), "posteriors")
+    whole = _with_posterior(docs.select("doc_id", "text"), model)
+    rows = stash.put(whole.select("doc_id", tokens(F.col("text")).alias("tokens"), "posterior", _salt(seed).alias("salt")), "posteriors")
     if model is None:
         return rows, F.lit(1.0), None
     return rows, fit_rates(rows, model.domains, weights, factors or {})[0], model
