@@ -3,13 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewright.operators import conditions
+from candlewright.plans.dialect import DUCK, SPARK, Dialect, duck, run
+from candlewright.sources import bars
+
+
+def plans() -> dict[str, Callable[[Dialect], str]]:
+    """Queries that are plain SQL: the text in either dialect."""
+    out: dict[str, Callable[[Dialect], str]] = {}
+    for m in (1, 5, 15, 60, 1440):
+        out[f"bars_{m}m"] = lambda d, m=m: bars.bars(d, m)
+    for f in (*conditions.FAMILIES, "crossings"):
+        out[f"conditions_{f}"] = lambda d, f=f: conditions.bits(d, f)
+        out[f"support_{f}"] = lambda d, f=f: conditions.support(d, f)
+    return out
+
+
+def _query(make: Callable[[Dialect], str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, make(SPARK))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: partial(_query, make) for name, make in plans().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duck(make(DUCK)) for name, make in plans().items()}
