@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.operators import conditions
+from candlewright.operators import conditions, mining, outcomes, series
 from candlewright.plans.dialect import DUCK, SPARK, Dialect, duck, run
 from candlewright.sources import bars
 
@@ -20,9 +20,22 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
     for f in (*conditions.FAMILIES, "crossings"):
         out[f"conditions_{f}"] = lambda d, f=f: conditions.bits(d, f)
         out[f"support_{f}"] = lambda d, f=f: conditions.support(d, f)
+    out |= {
+        "bar_census": series.census, "events_out_of_order": series.out_of_order, "bar_gaps": series.gaps, "complete_buckets": series.complete, "refold_audit": series.refold_audit, "resample_midnight": series.resample_midnight,
+        "page_by_high": series.page, "page_by_time": lambda d: series.page(d, "us", False), "extremes": series.extremes, "coverage": series.coverage, "sessions": series.sessions, "as_of_levels": series.as_of_levels, "price_series": series.price_series,
+    }
+    edge = lambda d: outcomes.edges(d, *CHOSEN)
+    out |= {"forward": outcomes.forward, "mine_edges": edge, "lenses": lambda d: outcomes.lenses(d, edge(d)), "composite": lambda d: outcomes.composite(d, edge(d)), "significance": lambda d: outcomes.significance(d, edge(d))}
+    for k in (1, 2, 3):
+        out[f"mine_sets_{k}"] = lambda d, k=k: mining.sets_sql(d, *CHOSEN, k, 40)
+    out["mine_closed_pairs"] = lambda d: mining.closed_sql(d, *CHOSEN, 40)
     return out
 
 
+#: The family and the conditions that the mining queries run over.
+CHOSEN = ("day_levels", ["close_above_pdh", "close_below_pdl", "gap_up_day", "gap_down_day", "inside_cpr", "above_cpr_tc", "below_cpr_bc", "close_above_pivot_r1_band", "close_below_pivot_s1_band", "inside_day"])
+
+
 def _query(make: Callable[[Dialect], str], spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, make(SPARK))
 

@@ -274,6 +274,12 @@ def bits(d: Dialect, family: str, minutes: int = 60) -> str:
 
 def support(d: Dialect, family: str, minutes: int = 60) -> str:
     """condition, hits, misses, unknown for each condition of a family."""
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS condition, h{i} AS hits, m{i} AS misses, total - h{i} - m{i} AS unknown FROM counted" for i, n in enumerate(names(d, family)))
-    sums = ", ".join(f"count(CASE WHEN {n} THEN 1 END) AS h{i}, count(CASE WHEN NOT {n} THEN 1 END) AS m{i}" for i, n in enumerate(names(d, family)))
-    return f"WITH counted AS (SELECT count(*) AS total, {sums} FROM ({wide(d, family, minutes)}) w) {rows}"
+    listed = names(d, family)
+    sums = ", ".join(f"count(CASE WHEN {n} THEN 1 END) AS h{i}, count(CASE WHEN NOT {n} THEN 1 END) AS m{i}" for i, n in enumerate(listed))
+    counted = f"SELECT count(*) AS total, {sums} FROM ({wide(d, family, minutes)}) w"
+    if d.spark:
+        stacked = f"SELECT total, stack({len(listed)}, {', '.join(f"'{n}', h{i}, m{i}" for i, n in enumerate(listed))}) AS (condition, hits, misses) FROM ({counted}) c"
+    else:
+        lists = ", ".join(f"unnest([{', '.join(x.format(n=n, i=i) for i, n in enumerate(listed))}]) AS {c}" for c, x in (("condition", "'{n}'"), ("hits", "h{i}"), ("misses", "m{i}")))
+        stacked = f"SELECT total, {lists} FROM ({counted}) c"
+    return f"SELECT condition, hits, misses, total - hits - misses AS unknown FROM ({stacked}) s"
