@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.operators import conditions, mining, outcomes, series
+from candlewright.operators import conditions, expressions, mining, outcomes, series, trades, trend
 from candlewright.plans.dialect import DUCK, SPARK, Dialect, duck, run
 from candlewright.sources import bars
 
@@ -28,6 +28,10 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
     out |= {"forward": outcomes.forward, "mine_edges": edge, "lenses": lambda d: outcomes.lenses(d, edge(d)), "composite": lambda d: outcomes.composite(d, edge(d)), "significance": lambda d: outcomes.significance(d, edge(d))}
     for k in (1, 2, 3):
         out[f"mine_sets_{k}"] = lambda d, k=k: mining.sets_sql(d, *CHOSEN, k, 40)
+    for n, f in (("candle_stop", trades.candle_stop), ("exit_grid", trades.exit_grid), ("drawdown", trades.drawdown), ("streaks", trades.streaks), ("stability", trades.stability), ("pooled", trades.pooled), ("consistency", trades.consistency), ("trade_signals", trades.signals)):
+        out[n] = lambda d, f=f: f(d, *CHOSEN)
+    out["expressions"] = lambda d: expressions.summary(d, "day_levels", EXPRESSIONS)
+    out["expression_search"] = lambda d: expressions.search(d, *CHOSEN, 3, 60)
     out["mine_closed_pairs"] = lambda d: mining.closed_sql(d, *CHOSEN, 40)
     return out
 
@@ -36,13 +40,34 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
 CHOSEN = ("day_levels", ["close_above_pdh", "close_below_pdl", "gap_up_day", "gap_down_day", "inside_cpr", "above_cpr_tc", "below_cpr_bc", "close_above_pivot_r1_band", "close_below_pivot_s1_band", "inside_day"])
 
 
+#: Expressions of the summary query.
+EXPRESSIONS = {
+    "breakout": "close_above_pdh AND NOT gap_up_day",
+    "either": "inside_cpr OR (close_above_pdh AND close_above_pivot_r1_band)",
+    "unknowable": "NOT (close_above_pdh OR close_below_pdh) AND NOT NOT gap_down_day",
+}
+
+
+def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    """Queries with ordered folds in them, and their SQL where a recursive query can say the same."""
+    bits = "concat(" + ", ".join(f"CASE WHEN {e} THEN '1' WHEN NOT {e} THEN '0' ELSE '-' END" for e in trend.trend_conditions().values()) + ") AS bits"
+    crossed = conditions.crossings(SPARK, "{states}", "series, us, day", trend.TREND_SIDES)
+    return {
+        "ema20": (lambda s, d: trend.states(s, d).selectExpr("series", "us", "ema20 AS ema"), trend.ema_sql(DUCK)),
+        "ema200": (lambda s, d: trend.states(s, d).selectExpr("series", "us", "ema200 AS ema"), trend.ema_sql(DUCK, 200)),
+        "conditions_trend": (lambda s, d: trend.states(s, d).selectExpr("series", "us", bits), None),
+        "crossings_trend": (lambda s, d: s.sql(crossed.replace("({states})", "{states}"), states=trend.states(s, d)), None),
+        "trade_walk": (lambda s, d: trades.walk(s, d, *CHOSEN), trades.walk_sql(DUCK, *CHOSEN)),
+    }
+
+
 def _query(make: Callable[[Dialect], str], spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, make(SPARK))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_query, make) for name, make in plans().items()}
+    return {name: partial(_query, make) for name, make in plans().items()} | {name: q for name, (q, _) in folds().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck(make(DUCK)) for name, make in plans().items()}
+    return {name: duck(make(DUCK)) for name, make in plans().items()} | {name: duck(text) for name, (_, text) in folds().items() if text}
