@@ -19,20 +19,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ARROW_ROWS rows."""
+    if int(spark.conf.get(BATCH)) > ARROW_ROWS:
+        spark.conf.set(BATCH, str(ARROW_ROWS))
+
+
 class Stash:
     """Named intermediate tables in the shared folder. Each table is written once and read back, which cuts
-    lineage and survives the loss of any executor."""
+    lineage and survives the loss of any executor. Arrow batches are held to ARROW_ROWS rows in its session, so that a
+    Python worker holds that many whole texts at once and not ten times as many."""
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self.tables: list[str] = []
 
-    def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Write a table and return a frame that reads it; the schema is kept, so empty tables read back too."""
+    def put(self, df: DataFrame, name: str, arrow_rows: int = ARROW_ROWS, **options: str) -> DataFrame:
+        """Write a table and return a frame that reads it; the schema is kept, so empty tables read back too.
+        arrow_rows: rows of an Arrow batch while it is written, where rows are large."""
         path = f"{self.root}/{name}-{len(self.tables)}"
         self.tables.append(path)
-        df.write.options(**({"compression": "zstd"} | options)).mode("overwrite").parquet(path)
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(arrow_rows))
+        try:
+            df.write.options(**({"compression": "zstd"} | options)).mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

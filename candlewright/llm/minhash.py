@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
     prefix = listed.select("rep", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (least - 1))).alias("k")).select("rep", F.col("k.key").alias("key"))
     prefix = stash.put(prefix.join(reps.select("rep", "n_shingles", "h1", "h2"), "rep").select("key", "rep", F.col("n_shingles").alias("n"), "h1", "h2"), "prefix")
     wanted = prefix.join(prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("rep", "h1", "h2").distinct()
-    sets = stash.put(_full_sets(docs, wanted, width), "sets")
+    sets = stash.put(_full_sets(docs, wanted, width), "sets", arrow_rows=250)
     posts = prefix.select("key", "rep", "n")
     labels = links = seen = None
     for turn in range(hub_rounds + 1):
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
             if turn < hub_rounds:
                 continue
             break
-        found = stash.put(_confirm(_agree(pairs, reps, least), sets, num, den), "links")
+        found = stash.put(_confirm(_agree(pairs, reps, least), sets, num, den), "links", arrow_rows=100)
         links = found if links is None else links.unionByName(found)
         if turn == hub_rounds and found.isEmpty():
             break

@@ -49,7 +49,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(np.cumsum(sizes), starts, "right")
 
 
-def shingle_sets(texts: list[str | None], width: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int, chunk: int = 1 << 19) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, in order.
 
     A text of fewer words than `width`, but at least one, has its whole sequence of words as its one shingle; a text
