@@ -42,7 +42,7 @@ class Encoder:
     with a mark of a special token, go through the library whole.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 400_000):
         import json
 
         from tokenizers import Tokenizer
@@ -122,7 +122,7 @@ class Encoder:
         out: list[bytes] = []
         lo = 0
         while lo < len(column):
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (4 << 20), "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1)
             data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[lo] : offsets[hi]]
             out += self._some(data, offsets[lo : hi + 1] - offsets[lo])
             lo = hi
