@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewright.functions import finance, statistics
 from candlewright.operators import conditions, expressions, mining, outcomes, series, trades, trend
 from candlewright.plans.dialect import DUCK, SPARK, Dialect, duck, run
 from candlewright.sources import bars
@@ -30,6 +31,8 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
         out[f"mine_sets_{k}"] = lambda d, k=k: mining.sets_sql(d, *CHOSEN, k, 40)
     for n, f in (("candle_stop", trades.candle_stop), ("exit_grid", trades.exit_grid), ("drawdown", trades.drawdown), ("streaks", trades.streaks), ("stability", trades.stability), ("pooled", trades.pooled), ("consistency", trades.consistency), ("trade_signals", trades.signals)):
         out[n] = lambda d, f=f: f(d, *CHOSEN)
+    out |= {"trip_charges": lambda d: finance.charges(d, finance.trips(d)), "greeks": lambda d: finance.greeks(d, finance.options(d)), "strikes": finance.strikes}
+    out |= reference_queries()
     out["expressions"] = lambda d: expressions.summary(d, "day_levels", EXPRESSIONS)
     out["expression_search"] = lambda d: expressions.search(d, *CHOSEN, 3, 60)
     out["mine_closed_pairs"] = lambda d: mining.closed_sql(d, *CHOSEN, 40)
@@ -40,6 +43,20 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
 CHOSEN = ("day_levels", ["close_above_pdh", "close_below_pdl", "gap_up_day", "gap_down_day", "inside_cpr", "above_cpr_tc", "below_cpr_bc", "close_above_pivot_r1_band", "close_below_pivot_s1_band", "inside_day"])
 
 
+def reference_queries() -> dict[str, Callable[[Dialect], str]]:
+    """Dimension joins, catalogue pages and page parsing over the driver's tables."""
+    link = "href=\"([^\"]+)\""
+    links = lambda d: f"regexp_extract_all(html, '{link}', 1)"
+    return {
+        "link_census": lambda d: f"SELECT page_id, CAST({'size' if d.spark else 'len'}({links(d)}) AS BIGINT) AS links, CAST(length(html) AS BIGINT) AS chars FROM {{pages}}",
+        "catalog_search": lambda d: "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE '%a%' ORDER BY p_name, p_partkey LIMIT 50 OFFSET 10",
+        "coverage_of_targets": lambda d: "SELECT n.n_name, r.r_name, count(c.c_custkey) AS held, count(CASE WHEN c.c_acctbal < 0 THEN 1 END) AS short FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, r.r_name",
+        "work_list": lambda d: "SELECT p_partkey FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 40 AND l_discount < 0.05",
+        "event_props": lambda d: "SELECT event_type, count(*) AS n, CAST(sum(CAST(" + ("get_json_object(props, '$.k')" if d.spark else "json_extract_string(props, '$.k')") + " AS BIGINT)) AS BIGINT) AS k FROM {events} GROUP BY event_type",
+        "run_identity": lambda d: "SELECT event_type, " + ("sha2(concat_ws('|', event_type, CAST(count(*) AS STRING), CAST(min(event_id) AS STRING)), 256)" if d.spark else "sha256(concat_ws('|', event_type, CAST(count(*) AS VARCHAR), CAST(min(event_id) AS VARCHAR)))") + " AS identity FROM {events} GROUP BY event_type",
+    }
+
+
 #: Expressions of the summary query.
 EXPRESSIONS = {
     "breakout": "close_above_pdh AND NOT gap_up_day",
@@ -57,6 +74,9 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "ema200": (lambda s, d: trend.states(s, d).selectExpr("series", "us", "ema200 AS ema"), trend.ema_sql(DUCK, 200)),
         "conditions_trend": (lambda s, d: trend.states(s, d).selectExpr("series", "us", bits), None),
         "crossings_trend": (lambda s, d: s.sql(crossed.replace("({states})", "{states}"), states=trend.states(s, d)), None),
+        "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")), None),
+        "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "implied", "refused"), None),
+        "mine_ladder": (lambda s, d: mining.ladder(run(s, d, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({outcomes.hits(SPARK, *CHOSEN)}) h"), 40)[0].selectExpr("k", "array_join(items, ',') AS items", "hits"), None),
         "trade_walk": (lambda s, d: trades.walk(s, d, *CHOSEN), trades.walk_sql(DUCK, *CHOSEN)),
     }
 

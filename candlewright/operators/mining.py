@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlewright.operators.outcomes import hits
 from candlewright.plans.dialect import Dialect
+from candlewright.plans.storage import keep
 
 
 def sets_sql(d: Dialect, family: str, chosen: list[str], k: int, least: int) -> str:
@@ -22,7 +23,7 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
     items: bar, item. Returns (k, items, hits) and an account of each level. Items true on no bar or on all of
     `universe` are excluded, and of items true on exactly the same bars the smallest stays. A level's sets come from a
     join of the previous ones on their first k - 1 items, pruned where a subset isn't frequent; bars carry the sets
-    they hold, so counting joins on the bar and never pairs all bars with all candidates. A level of more than
+    they hold in checkpointed tables, so counting joins on the bar and never pairs all bars with all candidates. A level of more than
     `ceiling` candidates halts the ladder, and the account says so.
     """
     least = max(1, least)
@@ -31,9 +32,9 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
     if universe is not None:
         one = one.where(F.col("hits") < universe)
     one = one.groupBy("hits", "a", "b").agg(F.min("item").alias("item")).where(F.col("hits") >= least).select("item", "hits")
-    level = one.select(F.array("item").alias("items"), "hits").persist()
-    held = pairs.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").select("bar", F.array("item").alias("items"))
-    singles = held.select("bar", F.col("items")[0].alias("next")).persist()
+    level = keep(one.select(F.array("item").alias("items"), "hits"))
+    held = keep(pairs.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").select("bar", F.array("item").alias("items")))
+    singles = held.select("bar", F.col("items")[0].alias("next"))
     out, accounts, k = [], [], 1
     while True:
         n = level.count()
@@ -46,13 +47,13 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
         if k > 1:
             subsets = grown.select("items", F.explode(F.sequence(F.lit(1), F.lit(k + 1))).alias("i")).select("items", F.concat(F.slice("items", F.lit(1), F.col("i") - 1), F.slice("items", F.col("i") + 1, F.lit(k + 1))).alias("sub"))
             grown = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count("*").alias("c")).where(F.col("c") == k + 1).select("items")
-        grown = grown.persist()
+        grown = keep(grown)
         candidates = grown.count()
         if candidates > ceiling:
             accounts.append({"k": k + 1, "halted": True, "candidates": candidates})
             break
-        now = held.join(singles, "bar").where(F.element_at("items", -1) < F.col("next")).select("bar", F.concat("items", F.array("next")).alias("items")).join(grown, "items", "left_semi").persist()
-        level = now.groupBy("items").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).persist()
+        now = keep(held.join(singles, "bar").where(F.element_at("items", -1) < F.col("next")).select("bar", F.concat("items", F.array("next")).alias("items")).join(grown, "items", "left_semi"))
+        level = keep(now.groupBy("items").agg(F.count("*").alias("hits")).where(F.col("hits") >= least))
         held, k = now.join(level.select("items"), "items", "left_semi"), k + 1
         accounts[-1]["candidates"] = candidates
     whole = out[0] if out else level.select(F.lit(1).alias("k"), "items", "hits")
