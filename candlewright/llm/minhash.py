@@ -104,8 +104,9 @@ def _mixed(lists: DataFrame, sets: DataFrame, num: int, den: int, stash: Stash,
     kept = ranked.where(first > 0).select("rep", "n", "comp", "tops", "rest", F.explode(F.slice("own", F.lit(1), first.cast("int"))).alias("k")).select(F.col("k.gram").alias("gram"), "rep", "n", "comp", "tops", "rest")
     kept = stash.put(kept, "gram-prefix")
     main = kept.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    main = stash.put(main, "main")
     side = lambda rows, c: rows.select("gram", F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "comp", "tops", "rest")])
-    begun = side(kept.join(main.select("gram", "main"), "gram").where("comp <> main"), "a")
+    begun = stash.put(side(kept.join(main.select("gram", "main"), "gram").where("comp <> main"), "a"), "begun")
     ratio = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     most = F.size(F.array_intersect("tops_a", "tops_b")) + F.greatest("rest_a", "rest_b")
     enough = most * (den + num) >= (F.col("n_a") + F.col("n_b")) * num
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = stash.put(classes, "classes")
     posts = _postings(reps, coordinates)
-    shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stash.put(posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     listed = posts.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= least)
     prefix = listed.select("rep", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (least - 1))).alias("k")).select("rep", F.col("k.key").alias("key"))
     prefix = stash.put(prefix.join(reps.select("rep", "n_shingles", "h1", "h2"), "rep").select("key", "rep", F.col("n_shingles").alias("n"), "h1", "h2"), "prefix")
@@ -196,6 +197,7 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
         at = posts.withColumn("comp", F.col("rep")) if labels is None else posts.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         order = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
         lists = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        lists = stash.put(lists, "lists")  # a table, so that Spark can split a hot list's rows in the joins on it
         member = at.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
         if turn < hub_rounds:
             met = member.join(lists.select("key", "hub.b", "hub.n_b", "hub.comp_b"), "key").where("comp_a <> comp_b").where(ratio)

@@ -156,6 +156,8 @@ def _within(units: DataFrame, labels: DataFrame, threshold: float, wide: int, st
     sums = placed.select("component", "unit").mapInArrow(partial, "component long, part array<double>")
     sums = sums.select("component", F.posexplode("part").alias("d", "v")).groupBy("component", "d").agg(F.sum("v").alias("v")).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("c")).select("component", F.col("c.v").alias("centre"))
 
+    sums = stash.put(sums, "centres")  # a table, so that Spark can split a hot component's rows in the join
+
     def radius(batches):
         import numpy as np
         import pyarrow as pa
