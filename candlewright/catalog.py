@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from candlewright.functions import finance, statistics
-from candlewright.operators import conditions, expressions, mining, outcomes, series, trades, trend
+from candlewright.operators import conditions, expressions, mining, outcomes, portfolio, series, trades, trend
 from candlewright.plans.dialect import DUCK, SPARK, Dialect, duck, run
 from candlewright.sources import bars
 
@@ -31,6 +31,9 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
         out[f"mine_sets_{k}"] = lambda d, k=k: mining.sets_sql(d, *CHOSEN, k, 40)
     for n, f in (("candle_stop", trades.candle_stop), ("exit_grid", trades.exit_grid), ("drawdown", trades.drawdown), ("streaks", trades.streaks), ("stability", trades.stability), ("pooled", trades.pooled), ("consistency", trades.consistency), ("trade_signals", trades.signals)):
         out[n] = lambda d, f=f: f(d, *CHOSEN)
+    for n in ("summary", "verdicts", "pool_order", "comparison", "placement", "trailing", "stamped"):
+        out[f"strategy_{n}"] = lambda d, n=n: getattr(portfolio, n)(d, *CHOSEN)
+    out |= {"aligned": portfolio.aligned, "resolved_names": portfolio.resolved_names}
     out |= {"trip_charges": lambda d: finance.charges(d, finance.trips(d)), "greeks": lambda d: finance.greeks(d, finance.options(d)), "strikes": finance.strikes}
     out |= reference_queries()
     out["expressions"] = lambda d: expressions.summary(d, "day_levels", EXPRESSIONS)
@@ -77,6 +80,7 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")), None),
         "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "implied", "refused"), None),
         "mine_ladder": (lambda s, d: mining.ladder(run(s, d, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({outcomes.hits(SPARK, *CHOSEN)}) h"), 40)[0].selectExpr("k", "array_join(items, ',') AS items", "hits"), None),
+        "scheduled": (lambda s, d: portfolio.scheduled(s, d, *CHOSEN), portfolio.scheduled_sql(DUCK, *CHOSEN)),
         "trade_walk": (lambda s, d: trades.walk(s, d, *CHOSEN), trades.walk_sql(DUCK, *CHOSEN)),
     }
 

@@ -75,3 +75,21 @@ def closed_sql(d: Dialect, family: str, chosen: list[str], least: int) -> str:
     part = (lambda i: f"split(items, ',')[{i - 1}]") if d.spark else (lambda i: f"string_split(items, ',')[{i}]")
     shorter = " UNION ".join(f"SELECT {part(a)} || ',' || {part(b)} AS items, hits FROM ({three}) t" for a, b in ((1, 2), (1, 3), (2, 3)))
     return f"SELECT p.items, p.hits FROM ({two}) p LEFT JOIN ({shorter}) s ON p.items = s.items AND p.hits = s.hits WHERE s.items IS NULL"
+
+
+def auto_threshold(items: DataFrame, universe: int, ceiling: int) -> int:
+    """The least threshold whose ladder has at most `ceiling` sets: from universe - 1, halved until a ladder has more,
+    then halved between. A threshold of one is taken if even that is within the ceiling."""
+
+    def fits(least: int) -> bool:
+        sets, accounts = ladder(items, least, universe, ceiling)
+        return not any(a.get("halted") for a in accounts) and sets.count() <= ceiling
+
+    good = max(1, universe - 1)
+    while good > 1 and fits(good // 2):
+        good //= 2
+    bad = good // 2
+    while good - bad > 1:
+        middle = (good + bad) // 2
+        good, bad = (middle, bad) if fits(middle) else (good, middle)
+    return good

@@ -42,6 +42,14 @@ def test_ladder_drops_constant_and_identical_items(spark):
     assert empty.count() == 0 and accounts == [{"k": 1, "survivors": 0}]
 
 
+def test_auto_threshold(spark):
+    rows = [(b, i) for b in range(16) for k, i in enumerate("abcd") if b % (k + 2) == 0]
+    items = spark.createDataFrame(rows, "bar long, item string")
+    least = mining.auto_threshold(items, 16, 4)
+    assert mining.ladder(items, least, 16)[0].count() <= 4
+    assert least == 1 or mining.ladder(items, least - 1, 16)[0].count() > 4
+
+
 def test_expression_precedence_and_errors():
     names = ["a", "b", "c"]
     assert to_sql(parse("a OR b AND NOT c", names)) == to_sql(parse("(NOT 2 AND b) or a", names))
