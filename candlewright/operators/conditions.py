@@ -248,6 +248,14 @@ def crossings(d: Dialect, source: str, keys: str = "series, us, bar_id, day", si
     return f"SELECT {keys}, {', '.join(parts)} FROM (SELECT *, {nth} FROM (SELECT *, {cross} FROM (SELECT *, {was} FROM (SELECT *, {side} FROM ({source}) a) b) e) f) g"
 
 
+def implied_pairs() -> list[tuple[str, str]]:
+    """Pairs (a, b) of which a implies b: over a higher level's band is over every lower one's, and so on down."""
+    chain = ("s5", "s4", "s3", "s2", "s1", "r1", "r2", "r3", "r4", "r5")
+    above = [(f"close_above_pivot_{hi}_band", f"close_above_pivot_{lo}_band") for i, lo in enumerate(chain) for hi in chain[i + 1 :]]
+    below = [(f"close_below_pivot_{lo}_band", f"close_below_pivot_{hi}_band") for i, lo in enumerate(chain) for hi in chain[i + 1 :]]
+    return above + below + [("pat_hanging_man", "pat_hammer"), ("pat_shooting_star", "pat_inverted_hammer"), ("pat_rickshaw_man", "pat_long_legged_doji"), ("bar_doji", "bar_small_body")]
+
+
 FAMILIES = {"bar_shape": bar_shape, "patterns": patterns, "day_levels": day_levels, "fib_levels": fib_levels, "session_levels": session_levels}
 
 

@@ -17,7 +17,18 @@ def sets_sql(d: Dialect, family: str, chosen: list[str], k: int, least: int) ->
     return f"WITH x AS ({hits(d, family, chosen)}) SELECT {name} AS items, count(*) AS hits FROM x t0{joins} GROUP BY 1 HAVING count(*) >= {least}"
 
 
-def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: int = 1_000_000) -> tuple[DataFrame, list[dict]]:
+def _stored(df_of, spark, path: str | None) -> DataFrame:
+    """The table at a path if a finished one is there, else what df_of gives, written there first."""
+    if path is None:
+        return keep(df_of())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(conf).exists(mark):
+        df_of().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: int = 1_000_000, store: str | None = None, dead: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
     """Every frequent set of items, level by level, until a level is empty.
 
     items: bar, item. Returns (k, items, hits) and an account of each level. Items true on no bar or on all of
@@ -25,15 +36,25 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
     join of the previous ones on their first k - 1 items, pruned where a subset isn't frequent; bars carry the sets
     they hold in checkpointed tables, so counting joins on the bar and never pairs all bars with all candidates. A level of more than
     `ceiling` candidates halts the ladder, and the account says so.
+
+    `dead` (a, b) names pairs of which one condition implies the other: no set holds both. With `store`, a folder that executors share, every level is written there, and a ladder that is run again goes on
+    after the last finished one. A folder of other items, threshold or universe is refused.
     """
-    least = max(1, least)
+    least, spark = max(1, least), items.sparkSession
+    at = lambda name: None if store is None else f"{store}/{name}"
+    if store is not None:
+        mine = items.distinct().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("bar", "item")).alias("x")).select("n", "x", F.lit(least).alias("least"), F.lit(-1 if universe is None else universe).alias("universe"))
+        first = mine.first()
+        if _stored(lambda: mine, spark, at("identity")).first() != first:
+            raise ValueError("the folder holds another ladder")
     pairs = items.select("bar", "item").distinct()
     one = pairs.groupBy("item").agg(F.count("*").alias("hits"), F.sum(F.xxhash64("bar").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("bar", F.lit(1))).alias("b"))
     if universe is not None:
         one = one.where(F.col("hits") < universe)
     one = one.groupBy("hits", "a", "b").agg(F.min("item").alias("item")).where(F.col("hits") >= least).select("item", "hits")
-    level = keep(one.select(F.array("item").alias("items"), "hits"))
-    held = keep(pairs.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").select("bar", F.array("item").alias("items")))
+    level = _stored(lambda: one.select(F.array("item").alias("items"), "hits"), spark, at("level-1"))
+    singles_of = level.select(F.col("items")[0].alias("item"))
+    held = _stored(lambda: pairs.join(singles_of, "item", "left_semi").select("bar", F.array("item").alias("items")), spark, at("held-1"))
     singles = held.select("bar", F.col("items")[0].alias("next"))
     out, accounts, k = [], [], 1
     while True:
@@ -44,16 +65,21 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
         out.append(level.select(F.lit(k).alias("k"), "items", "hits"))
         left = level.select("items", F.slice("items", 1, k - 1).alias("prefix"), F.element_at("items", -1).alias("last"))
         grown = left.join(left.select("prefix", F.col("last").alias("next")), "prefix").where("last < next").select(F.concat("items", F.array("next")).alias("items"))
+        if k == 1 and dead is not None:
+            pairs_of = dead.select(F.array(F.least("a", "b"), F.greatest("a", "b")).alias("items")).distinct()
+            grown = grown.join(pairs_of, "items", "left_anti")
         if k > 1:
             subsets = grown.select("items", F.explode(F.sequence(F.lit(1), F.lit(k + 1))).alias("i")).select("items", F.concat(F.slice("items", F.lit(1), F.col("i") - 1), F.slice("items", F.col("i") + 1, F.lit(k + 1))).alias("sub"))
             grown = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count("*").alias("c")).where(F.col("c") == k + 1).select("items")
-        grown = keep(grown)
+        grown = _stored(lambda g=grown: g, spark, at(f"candidates-{k + 1}"))
         candidates = grown.count()
         if candidates > ceiling:
             accounts.append({"k": k + 1, "halted": True, "candidates": candidates})
             break
-        now = keep(held.join(singles, "bar").where(F.element_at("items", -1) < F.col("next")).select("bar", F.concat("items", F.array("next")).alias("items")).join(grown, "items", "left_semi"))
-        level = keep(now.groupBy("items").agg(F.count("*").alias("hits")).where(F.col("hits") >= least))
+        counted = held.join(singles, "bar").where(F.element_at("items", -1) < F.col("next")).select("bar", F.concat("items", F.array("next")).alias("items")).join(grown, "items", "left_semi")
+        now = _stored(lambda c=counted: c, spark, at(f"held-{k + 1}"))
+        totals = now.groupBy("items").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
+        level = _stored(lambda t=totals: t, spark, at(f"level-{k + 1}"))
         held, k = now.join(level.select("items"), "items", "left_semi"), k + 1
         accounts[-1]["candidates"] = candidates
     whole = out[0] if out else level.select(F.lit(1).alias("k"), "items", "hits")

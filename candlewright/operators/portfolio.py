@@ -79,14 +79,16 @@ def stamped(d: Dialect, family: str, chosen: list[str], reference: str = "view")
 
 
 def resolved_names(d: Dialect) -> str:
-    """Shortened names of nations resolved to the only nation whose letters hold theirs in order, starting alike."""
+    """Shortened names of nations resolved to the only nation whose letters hold theirs in order, starting alike, with
+    equal digits."""
     every_match = "" if d.spark else ", 'g'"  # one language replaces all matches only if told
     letters = lambda x: f"regexp_replace(upper({x}), '[^A-Z0-9]', ''{every_match})"
     short = f"regexp_replace(n_name, '[AEIOU_]', ''{every_match})"
+    digits = lambda x: f"regexp_replace({x}, '[^0-9]', ''{every_match})"
     match = "rlike" if d.spark else "~"
     every = f"regexp_replace(asked, '(.)', '{'$1' if d.spark else chr(92) + '1'}.*'{every_match})"
     return f"""WITH a AS (SELECT n_nationkey AS k, {letters(short)} AS asked FROM {{nation}}), m AS (SELECT n_nationkey AS t, {letters('n_name')} AS name FROM {{nation}}),
-c AS (SELECT a.k, min(m.t) AS target, count(m.t) AS found FROM a LEFT JOIN m ON substr(m.name, 1, 1) = substr(a.asked, 1, 1) AND m.name {match} ({every}) GROUP BY a.k)
+c AS (SELECT a.k, min(m.t) AS target, count(m.t) AS found FROM a LEFT JOIN m ON substr(m.name, 1, 1) = substr(a.asked, 1, 1) AND m.name {match} ({every}) AND {digits('m.name')} = {digits('a.asked')} GROUP BY a.k)
 SELECT k AS n_nationkey, CASE WHEN found = 1 THEN target END AS target, CASE WHEN found = 1 THEN 'resolved' WHEN found = 0 THEN 'unknown' ELSE 'ambiguous' END AS verdict FROM c"""
 
 

@@ -106,10 +106,22 @@ def pooled(d: Dialect, family: str, chosen: list[str]) -> str:
     return f"SELECT condition, count(*) AS series, CAST(sum(trades) AS BIGINT) AS trades, CAST(sum(net) AS BIGINT) AS net, min(worst) AS worst, count(CASE WHEN net > 0 THEN 1 END) AS positive FROM (SELECT condition, series, count(*) AS trades, sum(pnl) AS net, min(pnl) AS worst FROM ({priced(d, family, chosen)}) p GROUP BY condition, series) s GROUP BY condition"
 
 
+#: Fixed values of the consistency versions: ratio of winning days (of decided days, or of all), least winning days and
+#: most losing days of a complete week, longest run of losing days.
+VERSIONS = {"v1": (3, 5, False, 3, 2, 2), "v2": (3, 5, False, 3, 2, 2), "v3": (1, 3, False, 1, 4, 10), "v4": (1, 4, True, 0, 5, 1_000_000)}
+
+
 def consistency(d: Dialect, family: str, chosen: list[str]) -> str:
-    """Winning, losing and flat days, longest run of losing days, and whether three fifths of decided days win."""
+    """Winning, losing and flat days, the longest run of losing days (flat days keep it), the worst complete week from
+    Monday to Friday, and whether each version's limits are met."""
+    week = d.fdiv("day + 3", "7")
+    rules = ", ".join(
+        f"(won * {b} >= {'(won + lost)' if decided else '(won + lost + flat)'} * {a} AND coalesce(losing_run, 0) <= {run_} AND coalesce(least_won, {wins}) >= {wins} AND coalesce(most_lost, 0) <= {losses}) AS {v}"
+        for v, (a, b, decided, wins, losses, run_) in VERSIONS.items()
+    )
     return f"""WITH t AS (SELECT condition, day, CAST(sum(pnl) AS BIGINT) AS net FROM ({priced(d, family, chosen)}) p GROUP BY condition, day),
 f AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY day) - row_number() OVER (PARTITION BY condition, net < 0 ORDER BY day) AS island FROM t WHERE net <> 0),
 l AS (SELECT condition, max(n) AS losing_run FROM (SELECT condition, island, count(*) AS n FROM f WHERE net < 0 GROUP BY condition, island) r GROUP BY condition),
+w AS (SELECT condition, min(won) AS least_won, max(lost) AS most_lost FROM (SELECT condition, {week} AS week, count(CASE WHEN net > 0 THEN 1 END) AS won, count(CASE WHEN net < 0 THEN 1 END) AS lost FROM t WHERE {d.pmod('day + 3', '7')} < 5 GROUP BY condition, {week} HAVING count(*) = 5) x GROUP BY condition),
 s AS (SELECT condition, count(CASE WHEN net > 0 THEN 1 END) AS won, count(CASE WHEN net < 0 THEN 1 END) AS lost, count(CASE WHEN net = 0 THEN 1 END) AS flat FROM t GROUP BY condition)
-SELECT s.condition, won, lost, flat, coalesce(losing_run, 0) AS losing_run, (won * 5 >= (won + lost) * 3 AND coalesce(losing_run, 0) <= 2) AS consistent FROM s LEFT JOIN l ON s.condition = l.condition"""
+SELECT s.condition, won, lost, flat, coalesce(losing_run, 0) AS losing_run, least_won, most_lost, {rules} FROM s LEFT JOIN l ON s.condition = l.condition LEFT JOIN w ON s.condition = w.condition"""

@@ -38,10 +38,28 @@ def test_ladder_drops_constant_and_identical_items(spark):
     rows = [(b, i) for b in range(10) for i in "abc" if i == "a" or b < 5]
     got, _ = mining.ladder(spark.createDataFrame(rows, "bar long, item string"), 1, universe=10)
     assert [(r["items"], r["hits"]) for r in got.collect()] == [(["b"], 5)]
+    dead = spark.createDataFrame([("c", "b")], "a string, b string")
+    some, _ = mining.ladder(spark.createDataFrame([(b, i) for b in range(10) for k, i in enumerate("abc") if b > k], "bar long, item string"), 1, dead=dead)
+    assert sorted(tuple(r["items"]) for r in some.collect()) == [("a",), ("a", "b"), ("a", "c"), ("b",), ("c",)]
     empty, accounts = mining.ladder(spark.createDataFrame([], "bar long, item string"), 1)
     assert empty.count() == 0 and accounts == [{"k": 1, "survivors": 0}]
 
 
+def test_ladder_resumes(spark, tmp_path):
+    rows = [(b, i) for b in range(30) for k, i in enumerate("abcde") if b % (k + 2)]
+    items = spark.createDataFrame(rows, "bar long, item string")
+    read = lambda sets: sorted((tuple(r["items"]), r["hits"]) for r in sets.collect())
+    plain = read(mining.ladder(items, 8, 30)[0])
+    folder = str(tmp_path / "ladder")
+    assert read(mining.ladder(items, 8, 30, store=folder)[0]) == plain
+    import shutil
+
+    shutil.rmtree(f"{folder}/level-3")
+    assert read(mining.ladder(items, 8, 30, store=folder)[0]) == plain
+    with pytest.raises(ValueError):
+        mining.ladder(items, 9, 30, store=folder)
+
+
 def test_auto_threshold(spark):
     rows = [(b, i) for b in range(16) for k, i in enumerate("abcd") if b % (k + 2) == 0]
     items = spark.createDataFrame(rows, "bar long, item string")
@@ -77,6 +95,17 @@ def test_trend_fold_by_hand():
 def test_every_condition_has_one_name():
     names = [n for f in (*conditions.FAMILIES, "crossings") for n in conditions.names(DUCK, f)] + list(trend.trend_conditions()) + conditions.names_of_crossings(trend.TREND_SIDES)
     assert len(names) == len(set(names)) == 328
+    assert {n for p in conditions.implied_pairs() for n in p} <= set(names)
+
+
+def test_implications_hold(spark):
+    from candlewright.plans.dialect import SPARK, run
+
+    for family in ("day_levels", "patterns", "bar_shape"):
+        known = conditions.names(SPARK, family)
+        pairs = [(a, b) for a, b in conditions.implied_pairs() if a in known and b in known]
+        broken = " + ".join(f"count_if({a} AND NOT {b})" for a, b in pairs)
+        assert run(spark, "/root/testdata/sf0.001", f"SELECT {broken} AS n FROM ({conditions.wide(SPARK, family)}) w").first().n == 0
 
 
 def test_statistics():
