@@ -24,10 +24,11 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
         out[f"support_{f}"] = lambda d, f=f: conditions.support(d, f)
     out |= {
         "bar_census": series.census, "events_out_of_order": series.out_of_order, "bar_gaps": series.gaps, "complete_buckets": series.complete, "refold_audit": series.refold_audit, "resample_midnight": series.resample_midnight,
-        "page_by_high": series.page, "page_by_time": lambda d: series.page(d, "us", False), "extremes": series.extremes, "coverage": series.coverage, "sessions": series.sessions, "as_of_levels": series.as_of_levels, "price_series": series.price_series,
+        "page_by_high": series.page, "page_by_time": lambda d: series.page(d, "us", False), "extremes": series.extremes, "coverage": series.coverage, "sessions": series.sessions, "as_of_levels": series.as_of_levels, "price_series": series.price_series, "bar_digests": series.digests, "without_gap_days": series.without_gap_days,
     }
     edge = lambda d: outcomes.edges(d, *CHOSEN)
     out |= {"forward": outcomes.forward, "mine_edges": edge, "lenses": lambda d: outcomes.lenses(d, edge(d)), "composite": lambda d: outcomes.composite(d, edge(d)), "significance": lambda d: outcomes.significance(d, edge(d))}
+    out["excursion_ladder"] = lambda d: outcomes.excursion_ladder(d, *CHOSEN)
     for k in (1, 2, 3):
         out[f"mine_sets_{k}"] = lambda d, k=k: mining.sets_sql(d, *CHOSEN, k, 40)
     for n, f in (("candle_stop", trades.candle_stop), ("exit_grid", trades.exit_grid), ("drawdown", trades.drawdown), ("streaks", trades.streaks), ("stability", trades.stability), ("pooled", trades.pooled), ("consistency", trades.consistency), ("trade_signals", trades.signals)):

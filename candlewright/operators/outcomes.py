@@ -84,3 +84,13 @@ def significance(d: Dialect, edge: str) -> str:
     return f"""WITH e AS (SELECT * FROM ({edge}) x WHERE t IS NOT NULL), q AS (SELECT condition, n, wins, t, 2 * {tail} AS p, count(*) OVER () AS m FROM e),
 r AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS place FROM q), b AS (SELECT coalesce(max(CASE WHEN p <= 0.05E0 * place / m THEN place END), 0) AS cut FROM r)
 SELECT condition, round(p, 5) AS p, (p * m <= 0.05E0) AS bonferroni, (place <= cut) AS bh, CAST(floor({wilson} * 1000000) AS BIGINT) AS wilson_ppm, round(sqrt(2 * ln(CAST(m AS DOUBLE))), 5) AS expected_max FROM r, b"""
+
+
+def excursion_ladder(d: Dialect, family: str, chosen: list[str], rungs: int = 6) -> str:
+    """Rungs of each condition's favourable excursions: the sorted value at (n - 1) / 2^(rungs - i + 1), positive and
+    distinct."""
+    at = lambda i: d.tdiv("n - 1", str(1 << (rungs - i + 1)))
+    picks = " UNION ALL ".join(f"SELECT condition, favourable AS level FROM s WHERE i = {at(i)}" for i in range(1, rungs + 1))
+    return f"""WITH s AS (SELECT h.condition, f.favourable, row_number() OVER (PARTITION BY h.condition ORDER BY f.favourable, h.series, h.us) - 1 AS i, count(*) OVER (PARTITION BY h.condition) AS n
+  FROM ({hits(d, family, chosen)}) h JOIN ({forward(d)}) f ON h.series = f.series AND h.us = f.us WHERE f.favourable IS NOT NULL)
+SELECT DISTINCT condition, level FROM ({picks}) p WHERE level > 0"""

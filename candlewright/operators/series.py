@@ -80,3 +80,16 @@ def price_series(d: Dialect) -> str:
     by = ("us", "l_orderkey", "l_linenumber")
     us = bucket(d, d.micros("l_shipdate"), 1440, -IST)
     return f"SELECT l_returnflag AS series, us, {d.first('px', *by)} AS o, max(px) AS h, min(px) AS l, {d.last('px', *by)} AS c, count(*) AS v, {DAY} AS step FROM (SELECT l_returnflag, {us} AS us, {px} AS px, l_orderkey, l_linenumber FROM {{lineitem}}) x GROUP BY 1, 2"
+
+
+def digests(d: Dialect, minutes: int = 60, block: int = 73) -> str:
+    """A digest of each block of bars of a series, in order of time: blocks that differ between two stores differ here."""
+    number = d.tdiv("row_number() OVER (PARTITION BY series ORDER BY us) - 1", str(block))
+    line = " || ':' || ".join(f"CAST({x} AS {'STRING' if d.spark else 'VARCHAR'})" for x in ("us", "o", "h", "l", "c", "v"))
+    return f"SELECT series, block, count(*) AS bars, md5({d.joined('line', 'us')}) AS digest FROM (SELECT series, us, {number} AS block, {line} AS line FROM ({bars(d, minutes)}) b) x GROUP BY series, block"
+
+
+def without_gap_days(d: Dialect, minutes: int = 60) -> str:
+    """Bars of the days on which a series has no hole between its first and last bar."""
+    holes = f"SELECT DISTINCT series, {day_of(d, 'gap_us')} AS day FROM ({gaps(d, minutes)}) g WHERE reason = 'hole'"
+    return f"SELECT b.series, b.day, count(*) AS bars, CAST(sum(b.v) AS BIGINT) AS volume FROM ({valid(d, minutes)}) b LEFT JOIN ({holes}) x ON b.series = x.series AND b.day = x.day WHERE x.day IS NULL GROUP BY b.series, b.day"
