@@ -123,6 +123,18 @@ def test_statistics():
         assert all(min(abs(i - test.start), abs(i - test.stop + 1)) >= 5 for r in train for i in r)
 
 
+def test_scalar_statistics():
+    assert abs(statistics.two_sided_p(1.959963985) - 0.05) < 1e-8
+    assert abs(statistics.upper_quantile(0.025) - 1.959963985) < 1e-6
+    draws = np.random.default_rng(5).normal(size=(4000, 100)).max(axis=1).mean()
+    assert abs(statistics.expected_max(100) - draws) < 0.05 and statistics.expected_max(1) == 0.0
+    assert statistics.bonferroni_t(1) < statistics.bonferroni_t(1000)
+    assert statistics.effective_trials([{"k": 1, "survivors": 5, "candidates": 10}, {"k": 2, "survivors": 0}], 4) == 11
+    assert statistics.anchored_splits(20, 10, 4, 2) == [(range(0, 10), range(12, 16)), (range(0, 14), range(16, 20))]
+    assert statistics.rolling_splits(20, 10, 4, 2)[1] == (range(4, 14), range(16, 20))
+    assert statistics.alpha_share(1, 0) == (1, 48)
+
+
 def test_implied_volatility_round_trip(spark):
     spot, vols = 100.0, [0.1, 0.35, 1.2]
     rows = [(spot, k, 0.5, 0.05, float(finance.price_one(np.array([spot]), np.array([k]), np.array([0.5]), np.array([0.05]), np.array([v]), np.array([c]))[0]), c, v) for k in (80.0, 100.0, 120.0) for v in vols for c in (True, False)]
