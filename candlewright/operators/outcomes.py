@@ -39,15 +39,16 @@ def edges(d: Dialect, family: str, chosen: list[str], minutes: int = 60, horizon
     """For each condition: outcomes, wins, losses, sums, extremes, mean, and t corrected for overlapping horizons.
 
     Two hits closer than the horizon share part of their paths; their products enter the variance with weight
-    1 - distance / horizon.
+    1 - distance / horizon. Bars lie on a grid, so each distance is an equality join.
     """
     step = minutes * MINUTE
     hit = f"SELECT h.condition, h.series, h.us, f.ret, f.adverse, f.favourable FROM ({hits(d, family, chosen, minutes)}) h JOIN ({forward(d, minutes, horizon)}) f ON h.series = f.series AND h.us = f.us WHERE f.ret IS NOT NULL"
-    weight = f"(1.0E0 - CAST(y.us - x.us AS DOUBLE) / {horizon * step})"
+    pairs = " UNION ALL ".join(f"SELECT x.condition, {1 - k / horizon!r}E0 AS weight, CAST(x.ret AS DOUBLE) AS a, CAST(y.ret AS DOUBLE) AS b FROM o x JOIN o y ON x.condition = y.condition AND x.series = y.series AND y.us = x.us + {k * step}" for k in range(1, horizon))
+    pairs = pairs or "SELECT condition, 0.0E0 AS weight, 0.0E0 AS a, 0.0E0 AS b FROM o"
     return f"""WITH o AS ({hit}),
 s AS (SELECT condition, count(*) AS n, CAST(sum(ret) AS BIGINT) AS total, count(CASE WHEN ret > 0 THEN 1 END) AS wins, count(CASE WHEN ret < 0 THEN 1 END) AS losses, CAST(coalesce(sum(CASE WHEN ret > 0 THEN ret END), 0) AS BIGINT) AS gross_win,
   CAST(coalesce(sum(CASE WHEN ret < 0 THEN -ret END), 0) AS BIGINT) AS gross_loss, max(ret) AS best, min(ret) AS worst, max(adverse) AS worst_adverse, CAST(sum(favourable) AS BIGINT) AS favourable, CAST(sum(CAST(ret AS DOUBLE) * ret) AS DOUBLE) AS squares FROM o GROUP BY condition),
-p AS (SELECT x.condition, sum({weight} * x.ret * y.ret) AS xp, sum({weight} * (x.ret + y.ret)) AS lin, sum({weight}) AS w FROM o x JOIN o y ON x.condition = y.condition AND x.series = y.series AND y.us > x.us AND y.us < x.us + {horizon * step} GROUP BY x.condition),
+p AS (SELECT condition, sum(weight * a * b) AS xp, sum(weight * (a + b)) AS lin, sum(weight) AS w FROM ({pairs}) q GROUP BY condition),
 m AS (SELECT s.*, CAST(total AS DOUBLE) / n AS mean, coalesce(xp, 0) AS xp, coalesce(lin, 0) AS lin, coalesce(w, 0) AS w FROM s LEFT JOIN p ON s.condition = p.condition)
 SELECT condition, n, total, wins, losses, gross_win, gross_loss, best, worst, worst_adverse, favourable, round(mean, 6) AS mean,
   round(CASE WHEN n > 1 AND squares - n * mean * mean + 2 * (xp - mean * lin + mean * mean * w) > 1e-9 THEN mean / sqrt((squares - n * mean * mean + 2 * (xp - mean * lin + mean * mean * w)) / (n - 1) / n) END, 6) AS t FROM m"""
