@@ -123,6 +123,24 @@ def test_statistics():
         assert all(min(abs(i - test.start), abs(i - test.stop + 1)) >= 5 for r in train for i in r)
 
 
+def test_overlap_corrected_t(spark):
+    from candlewright.operators import outcomes
+    from candlewright.plans.dialect import SPARK, run
+
+    sf, h, step = "/root/testdata/sf0.01", 4, 3_600_000_000
+    chosen = ["close_above_pdh", "gap_up_day"]
+    got = {r.condition: r for r in run(spark, sf, outcomes.edges(SPARK, "day_levels", chosen, 60, h)).collect()}
+    hit = run(spark, sf, f"SELECT x.condition, x.series, x.us, f.ret FROM ({outcomes.hits(SPARK, 'day_levels', chosen)}) x JOIN ({outcomes.forward(SPARK, 60, h)}) f ON x.series = f.series AND x.us = f.us WHERE f.ret IS NOT NULL").toPandas()
+    for name, rows in hit.groupby("condition"):
+        x, us, series = rows.ret.to_numpy(float), rows.us.to_numpy(), rows.series.to_numpy()
+        mean, total = x.mean(), ((x - x.mean()) ** 2).sum()
+        for i in range(len(x)):
+            near = (series == series[i]) & (us > us[i]) & (us < us[i] + h * step)
+            total += 2 * ((1 - (us[near] - us[i]) / (h * step)) * (x[near] - mean) * (x[i] - mean)).sum()
+        want = mean / np.sqrt(total / (len(x) - 1) / len(x)) if total > 1e-9 else None
+        assert got[name].n == len(x) and (want is None or abs(got[name].t - want) < 1e-5)
+
+
 def test_scalar_statistics():
     assert abs(statistics.two_sided_p(1.959963985) - 0.05) < 1e-8
     assert abs(statistics.upper_quantile(0.025) - 1.959963985) < 1e-6
