@@ -43,8 +43,9 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
 
     Vectors are ranged by descending length and kept in tables. For each block of at most `query_block` queries, which
     is all that is broadcast, one pass over the longest range gives every query a lower bound on its k-th score; the
-    pass over all ranges then visits vectors by descending length and, for each query, stops at the first whose length
-    can't reach the bound. Of those before it, the first `head` rotated coordinates are summed, and a vector goes on
+    pass over all ranges then visits vectors in chunks, which within a range are by descending length, and passes over
+    a chunk for each query whose bound its longest vector can't reach. A task may read ranges in any order, so no chunk
+    ends it. Of the others, the first `head` rotated coordinates are summed, and a vector goes on
     only if the sum plus the product of both residual lengths (Cauchy-Schwarz) reaches the bound. Survivors are scored
     exactly. Each range returns at most k rows a query. Bounds carry slack for rounding, so none is lost by it.
     Products beyond double precision are summed as whole numbers, and held to the range of long.
@@ -81,17 +82,15 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, stash: St
             best_s = np.full((len(ids), k), -np.inf)
             best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
             objects: list[tuple] = []
-            done = False  # no later vector is long enough for any query; the rest is read past
             for batch in batches:
-                for lo in range(0, 0 if done else batch.num_rows, 512):
+                for lo in range(0, batch.num_rows, 512):
                     some = batch.slice(lo, 512)
                     vid, x = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64), stack(some.column(1), wide)
                     lens = np.linalg.norm(x, axis=1)
                     slack = 1e-9 * q_len * lens.max() + 1e-6
                     live = np.flatnonzero(q_len * lens.max() + slack >= bound)
                     if not len(live):
-                        done = True
-                        break
+                        continue  # a later file of the same task may hold longer vectors
                     r = x @ turn
                     reach = q_head[live] @ r[:, :head].T + q_rest[live][:, None] * np.linalg.norm(r[:, head:], axis=1)
                     near = (reach + slack[live][:, None] >= bound[live][:, None]) & (ids[live][:, None] != vid)

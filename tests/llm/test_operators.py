@@ -87,6 +87,26 @@ def test_top_inner_products(spark):
     assert topk.top_inner_products(none, none, 10, stash(spark)).count() == 0
 
 
+def test_top_inner_products_of_ranges_in_any_order(spark):
+    rng = np.random.default_rng(6)
+    far, mid, short = np.tile([10.0, 1000.0, 0.0, 0.0], (1100, 1)), np.tile([100.0, 0.0, 0.0, 0.0], (200, 1)), rng.uniform(-2, 2, size=(1500, 4))
+    mid[:, 0] += np.arange(200) % 7
+    x = np.concatenate([far, mid, short])
+    v = vectors.clean_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    asked = vectors.clean_vectors(spark.createDataFrame([(9000, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>"))
+    # files of short vectors are the largest, and one task reads all files by size
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.minPartitionNum": "1"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        got = [(r.vec_id, r.score) for r in topk.top_inner_products(v, asked, 10, stash(spark)).orderBy("rank").collect()]
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    s = np.floor(1024 * x).astype(int)[:, 0] * 1024
+    assert got == [(i, s[i]) for i in sorted(range(len(x)), key=lambda i: (-s[i], i))[:10]]
+
+
 # 2 and 7: spans
 
 SECRETS = [
