@@ -64,19 +64,23 @@ class Stash:
                     p.getFileSystem(conf).delete(p, True)
 
 
-def connected_components(edges: DataFrame, stash: Stash, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, stash: Stash, rounds: int = 200) -> DataFrame:
     """Smallest id reachable from each id.
 
-    edges: a long, b long. Returns id, component for every id that has an edge. Each round takes the smallest label
-    of the neighbours and then jumps to that label's own label, so stars end after one round and long chains after
-    about their length's logarithm. Labels stay in tables; the driver only sees the number of changes.
+    edges: a long, b long. Returns id, component for every id that has an edge. Each round sends the smallest label of
+    an id's neighbours to the id and to the id that its own label names, so whole regions are hooked at once, and then
+    jumps to that label's own label. Rounds go on until no label moves; if that takes more than `rounds`, an error is
+    raised and no labels are returned. Labels stay in tables; the driver only sees whether any label moved.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stash.put(both, "cc-edges")
     labels = stash.put(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "cc-labels")
     for _ in range(rounds):
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(seen, "id").select("id", "component", F.least("component", "near").alias("next"))
+        own = F.struct("id", F.least("component", "near").alias("next"), "component")
+        root = F.struct(F.col("component").alias("id"), F.col("near").alias("next"), F.lit(None).cast("long").alias("component"))
+        sent = labels.join(seen, "id").select(F.explode(F.when(F.col("near") < F.col("component"), F.array(own, root)).otherwise(F.array(own))).alias("s")).select("s.*")
+        hooked = sent.groupBy("id").agg(F.min("next").alias("next"), F.max("component").alias("component"))
         up = labels.select(F.col("id").alias("next"), F.col("component").alias("above"))
         jumped = hooked.join(up, "next", "left").select("id", F.least("next", F.coalesce("above", "next")).alias("component"), (F.least("next", F.coalesce("above", "next")) != F.col("component")).alias("moved"))
         after = stash.put(jumped, "cc-labels")
@@ -84,6 +88,8 @@ def connected_components(edges: DataFrame, stash: Stash, rounds: int = 60) -> Da
         labels = after.select("id", "component")
         if after.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"connected components still move after {rounds} rounds")
     stash.drop(both)
     return labels
 

@@ -39,6 +39,20 @@ def components(ids, links):
     return {i: find(i) for i in ids}
 
 
+# components
+
+
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(8)
+    fall = [0, *range(100, 0, -1)]
+    mixed = (1000 + rng.permutation(1500)).tolist()
+    links = [*zip(fall, fall[1:]), *zip(mixed, mixed[1:]), (5000, 5001)]
+    got = {r.id: r.component for r in common.connected_components(spark.createDataFrame(links, "a long, b long"), stash(spark)).collect()}
+    assert got == components({i for e in links for i in e}, links)
+    with pytest.raises(RuntimeError):
+        common.connected_components(spark.createDataFrame(links, "a long, b long"), stash(spark), rounds=2)
+
+
 # 1: vectors
 
 
