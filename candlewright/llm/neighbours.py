@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,15 +134,8 @@ def _descend(graph: DataFrame, units: DataFrame, wide: int, k: int, turn: int) -
     return met.groupBy("id").agg(F.collect_list(F.struct("nbr", "unit")).alias("met")).select("met").mapInArrow(meet, GRAPH)
 
 
-def _within(units: DataFrame, labels: DataFrame, threshold: float, wide: int, stash: Stash, block: int = 512) -> DataFrame:
-    """Links of each vector within its component, counted exactly in double precision: id, links (weighted), and near
-    pairs' least similarity as a check.
-
-    Components are compared with their centre first. If every member is within half the threshold's angle of the
-    centre, all pairs are links and none is computed. The others are compared in blocks of members dealt by hash: each
-    pair of blocks is one row of work, that yields counts and no pairs.
-    """
-    placed = stash.put(labels.join(units, "id").select("component", "id", "weight", "unit"), "placed")
+def _around(placed: DataFrame, wide: int, stash: Stash) -> tuple[DataFrame, DataFrame]:
+    """Centres of components (component, centre), and placed with each vector's angle to its centre (radius)."""
 
     def partial(batches):
         import numpy as np
@@ -170,6 +165,20 @@ def _within(units: DataFrame, labels: DataFrame, threshold: float, wide: int, st
             yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(4)), pa.array(r)], names=["component", "id", "weight", "unit", "radius"])
 
     away = stash.put(placed.join(sums, "component").select("component", "id", "weight", "unit", "centre").mapInArrow(radius, "component long, id long, weight long, unit binary, radius double"), "radius")
+    return sums, away
+
+
+def _within(units: DataFrame, labels: DataFrame, threshold: float, wide: int, stash: Stash, block: int = 512) -> DataFrame:
+    """Links of each vector within its component, counted exactly in double precision: id, links (weighted), and near
+    pairs' least similarity as a check.
+
+    Components are compared with their centre first. If every member is within half the threshold's angle of the
+    centre, all pairs are links and none is computed. The others are compared in blocks of members dealt by hash: each
+    pair of blocks is one row of work, that yields counts and no pairs.
+    """
+    placed = stash.put(labels.join(units, "id").select("component", "id", "weight", "unit"), "placed")
+
+    _, away = _around(placed, wide, stash)
     sizes = away.groupBy("component").agg(F.max("radius").alias("r"), F.sum("weight").alias("w"), F.count("*").alias("m"))
     tight = 2 * F.col("r") <= F.acos(F.lit(threshold)) - 1e-6
     sizes = stash.put(sizes.select("component", "w", "m", tight.alias("tight"), F.ceil(F.col("m") / block).cast("int").alias("n")), "sizes")
@@ -196,6 +205,70 @@ def _within(units: DataFrame, labels: DataFrame, threshold: float, wide: int, st
     return sure.unionByName(pairs.groupBy("id").agg(F.sum("links").alias("links")))
 
 
+def _bridges(graph: DataFrame, labels: DataFrame, units: DataFrame, threshold: float, wide: int, stash: Stash, block: int = 512, pack: int = 1024) -> DataFrame:
+    """labels, with components joined that a link of two saturated vectors joins, whether or not a list holds it; exact.
+
+    A saturated list may be filled by its own component. Each component's saturated vectors lie in a ball; of all
+    pairs of balls, compared in packs, those go on that are near enough for a link. One block of members of either
+    side is compared first, which joins most of what overlaps. Pairs that are still apart are compared whole, block by
+    block; a pair of blocks yields one row at most.
+    """
+    full = graph.groupBy("id").agg(F.min("sim").alias("last"), F.count("*").alias("c"), F.max("room").alias("room")).where((F.col("last") >= threshold - 1e-4) & (F.col("c") >= F.col("room")))
+    placed = stash.put(full.select("id").join(labels, "id", "left").join(units, "id").select(F.coalesce("component", "id").alias("component"), "id", "weight", "unit"), "saturated")
+    if len(placed.select("component").distinct().limit(2).collect()) < 2:
+        return labels
+    centres, away = _around(placed, wide, stash)
+    balls = away.groupBy("component").agg(F.max("radius").alias("r"), F.ceil(F.count("*") / block).cast("int").alias("n"))
+    balls = stash.put(balls.join(centres, "component"), "balls")
+    packs = -(-balls.count() // pack)
+
+    def reach(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for left, right, same in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                (a, x, p), (b, y, q) = ((np.array([r["component"] for r in side]), np.array([r["centre"] for r in side]), np.array([r["r"] for r in side])) for side in (left, right))
+                x, y = (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) for c in (x, y))
+                near = np.arccos(np.clip(x @ y.T, -1, 1)) <= p[:, None] + q + np.arccos(threshold) + 1e-6
+                if same:
+                    near &= a[:, None] < b
+                i, j = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(a[i], pa.int64()), pa.array(b[j], pa.int64())], names=["a", "b"])
+
+    def touch(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for sides in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = (np.frombuffer(b"".join(side), dtype="<f8").reshape(-1, wide) for side in sides)
+                keep.append(bool((x @ y.T >= threshold).any()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    dealt = stash.put(balls.withColumn("pack", F.pmod(F.xxhash64("component"), F.lit(packs)).cast("int")).groupBy("pack").agg(F.collect_list(F.struct("component", "centre", "r")).alias("balls")), "packs", arrow_rows=1)
+    work = dealt.select(F.col("pack").alias("own"), F.col("balls").alias("left"), F.explode(F.sequence("pack", F.lit(packs - 1))).alias("pack"))
+    work = work.join(dealt.withColumnRenamed("balls", "right"), "pack").select("left", "right", (F.col("own") == F.col("pack")).alias("same"))
+    pairs = stash.put(work.mapInArrow(reach, "a long, b long"), "ball-pairs", arrow_rows=1)
+    blocks = away.join(balls.select("component", "n"), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    blocks = stash.put(blocks.groupBy("component", "block").agg(F.collect_list("unit").alias("rows")), "saturated-blocks")
+    side = lambda rows, c: rows.select(F.col("component").alias(c), F.col("rows").alias(f"rows_{c}"))
+    joined = None
+    for some in (blocks.where("block = 0"), blocks):
+        if joined is not None:
+            to = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"to_{c}"))
+            pairs = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").where(F.coalesce("to_a", "a") != F.coalesce("to_b", "b")).select("a", "b")
+        met = pairs.join(side(some, "a"), "a").join(side(some, "b"), "b").select("a", "b", "rows_a", "rows_b").mapInArrow(touch, "a long, b long")
+        met = stash.put(met.distinct(), "bridges", arrow_rows=32)
+        found = met if joined is None else found.unionByName(met)
+        joined = connected_components(found, stash)
+    up = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    # a saturated vector whose edges all fall short in double precision has no label yet
+    known = labels.unionByName(joined.select("id", F.col("id").alias("component")).join(labels, "id", "left_anti"))
+    return stash.put(known.join(up, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "bridged")
+
+
 def audit(units: DataFrame, labels: DataFrame, threshold: float, wide: int, sample: int) -> tuple[int, int]:
     """Links that a sample of at most `sample` vectors, the smallest by hash, has among all, and those within components."""
     import numpy as np
@@ -235,9 +308,10 @@ def near_vectors(table: DataFrame, stash: Stash, threshold: float = 0.95, k: int
     Equal vectors form one class. Lists of k neighbours start from random-hyperplane trees and are refined by local
     joins of neighbours' neighbours. A list whose last entry is still at the threshold is saturated: it is enlarged
     fourfold, once, and what a saturated list can't hold is found exactly: threshold edges join vectors to components,
-    and links are counted over all members of each component (_within), so no list length limits n_links. A sample is
-    then compared with all vectors; while fewer than `recall` of its links lie within components, another tree and
-    another local join are added, up to `rounds`.
+    components that a link of saturated vectors joins are joined by their balls (_bridges), and links are counted over
+    all members of each component (_within), so no list length limits n_links. A sample is then compared with all
+    vectors; while fewer than `recall` of its links lie within components, another tree and another local join are
+    added, up to `rounds`; a warning tells if the recall is still missed then.
 
     Null, zero, or non-finite vectors link with nothing and get their own id. Rows that repeat a vec_id are one
     vector, the smallest (clean_vectors). A null vec_id gives no row. An empty table gives no rows.
@@ -264,10 +338,12 @@ def near_vectors(table: DataFrame, stash: Stash, threshold: float = 0.95, k: int
         if turn < 2:
             continue
         near = stash.put(_near(graph.where(F.col("sim") >= threshold - 1e-4).select("id", "nbr"), units, threshold, wide), "near")
-        labels = connected_components(near, stash)
+        labels = _bridges(graph, connected_components(near, stash), units, threshold, wide, stash)
         total, found = audit(units, labels, threshold, wide, sample)
         if found >= recall * total or turn >= rounds:
             break
+    if found < recall * total:
+        warnings.warn(f"near_vectors: {found} of {total} sampled links lie within components after {turn} turns, under the recall of {recall}", stacklevel=2)
     links = _within(units, labels, threshold, wide, stash)
     classes = members.groupBy("id").agg(F.count("*").alias("copies"))
     per = classes.join(labels, "id", "left").join(links, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -81,6 +81,25 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), stash(spark)).count() == 0
 
 
+def test_near_groups_that_fill_each_others_lists(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=24)
+    a /= np.linalg.norm(a)
+    away = rng.normal(size=(2, 24))
+    away -= (away @ a)[:, None] * a
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    b, c = (t * a + np.sqrt(1 - t * t) * w for t, w in zip((0.965, 0.93), away, strict=True))  # c is near, but links with neither
+    x = np.concatenate([*(m + rng.normal(scale=0.1 / np.sqrt(24) * 0.5, size=(100, 24)) for m in (a, b, c)), rng.normal(size=(100, 24))])
+    got = {r.vec_id: r for r in neighbours.near_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), stash(spark)).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert hit[:100, 100:200].any() and not hit[:200, 200:].any() and hit[200:300, 200:300].sum(axis=1).min() > 40
+    want = components(range(len(x)), zip(*np.nonzero(hit), strict=True))
+    assert {i: got[i].component_id for i in want} == want
+    assert [got[i].n_links for i in range(len(x))] == hit.sum(axis=1).tolist()
+
+
 def test_top_inner_products(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 6)) * rng.exponential(size=(300, 1))
