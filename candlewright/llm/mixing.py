@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from candlewright.llm.common import Stash
 
-#: What parts the words of labelled texts.
-MARKS = r"[\s\p{Punct}]+"
+#: What parts words besides spaces: runs of anything but letters, digits and their marks, in every script.
+MARKS = r"[^ a-z0-9\p{L}\p{N}\p{M}]+"
 
 
 def _plain(text: Column) -> Column:
-    """A whole text in lower case, with a space before it. A cue is held where a word begins with it after a space."""
-    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))))
+    """Lower-cased words of a whole text between spaces, with a space at both ends."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " "), F.lit(" "))
 
 
 def tokens(text: Column) -> Column:
@@ -36,7 +36,7 @@ class Model:
 
     def posteriors(self, rows: DataFrame, text: Column) -> DataFrame:
         """rows with `posterior`, array<double> in the domains' order; each step is computed once for a row."""
-        held = F.array(*[text.contains(f" {c}").cast("double") for c in self.cues]) if self.cues else F.array(F.lit(0.0))
+        held = F.array(*[text.contains(f" {c} ").cast("double") for c in self.cues]) if self.cues else F.array(F.lit(0.0))
         sums = [F.aggregate(F.zip_with("m1", F.expr("array(" + ", ".join(f"{x!r}D" for x in adds or [0.0]) + ")"), lambda x, w: x * w), F.lit(a), lambda s, v: s + v) for a, adds in zip(self.start, self.adds, strict=True)]
         odds = F.transform("m2", lambda s: F.exp(F.greatest(s - F.array_max("m2"), F.lit(-60.0))))
         out = once(once(once(rows, "m1", held), "m2", F.array(*sums)), "m3", odds)
@@ -49,7 +49,7 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def train(docs: DataFrame, labelled: DataFrame, stash: Stash, cues: int = 6, max_rows: int = 10_000) -> Model | None:
+def train(docs: DataFrame, labelled: DataFrame, stash: Stash, cues: int = 10, max_rows: int = 10_000) -> Model | None:
     """Fit the classifier on the labelled table (doc_id, domain); None if it is empty.
 
     At most about `max_rows` labelled documents are used, chosen by hash: a bound, so the ids that are broadcast are
@@ -67,18 +67,17 @@ def train(docs: DataFrame, labelled: DataFrame, stash: Stash, cues: int = 6, max
     names, n = sorted(counts), sum(counts.values())
     if not n:
         return None
-    each = words.select("domain", F.explode(F.array_distinct(F.split("t", MARKS))).alias("word")).where("word <> ''")
+    each = words.select("domain", F.explode(F.array_distinct(F.split("t", " +"))).alias("word")).where("word <> ''")
     shares = each.groupBy("word", "domain").agg(F.count("*").alias("df"))
     wide = shares.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("df"))), F.lit(0)).alias(f"d{i}") for i, d in enumerate(names)])
     every = sum((F.col(f"d{i}") for i in range(len(names))), F.lit(0))
-    chosen: set[str] = set()
+    chosen: dict[str, list[int]] = {}
     for i, d in enumerate(names):
         lift = F.col(f"d{i}") / counts[d] - (every - F.col(f"d{i}")) / max(1, n - counts[d])
         for r in wide.where(F.col(f"d{i}") >= 2).orderBy(lift.desc(), "word").limit(cues).collect():
-            chosen.add(r.word)
+            chosen[r.word] = [r[f"d{k}"] for k in range(len(names))]
     cue = sorted(chosen)
-    held = {r.domain: r for r in words.groupBy("domain").agg(*[F.count(F.when(F.col("t").contains(f" {w}"), 1)).alias(f"w{j}") for j, w in enumerate(cue)]).collect()}
-    rate = [[(held[d][f"w{j}"] + 0.5) / (counts[d] + 1) for j in range(len(cue))] for d in names]
+    rate = [[(chosen[w][i] + 0.5) / (counts[d] + 1) for w in cue] for i, d in enumerate(names)]
     start = [log(counts[d] / n) + sum(log(1 - p) for p in rate[i]) for i, d in enumerate(names)]
     return Model(names, cue, start, [[log(p / (1 - p)) for p in row] for row in rate])
 

@@ -343,6 +343,15 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0), labelled.limit(0), stash(spark)).count() == 0
 
 
+def test_mixing_cues_are_whole_words(spark):
+    texts = [f"alpha beta gamma {'idiot ' if i % 5 == 0 else ''}delta epsilon" for i in range(200)]
+    held = [f"alpha beta gamma{mark}delta epsilon" for mark in ("\nidiot\n", "\tIdiot\t", " (idiot) ", ' "idiot" ', " «idiot», ", "\u00a0idiot\u00a0")]
+    docs = documents(spark, texts + held + ["alpha beta gamma idiotproof delta epsilon"])
+    labelled = docs.where("doc_id < 200").select("doc_id", F.when(F.col("text").contains("idiot"), "bad").otherwise("good").alias("domain"))
+    bad = [r.posterior[r.domains.index("bad")] for r in mixing.mix(docs, labelled, stash(spark)).orderBy("doc_id").collect()]
+    assert min(bad[200:206]) > 0.5 and bad[206] < 0.5
+
+
 # 8: revisits
 
 
