@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from math import log
 
@@ -82,7 +83,7 @@ def train(docs: DataFrame, labelled: DataFrame, stash: Stash, cues: int = 10, ma
     return Model(names, cue, start, [[log(p / (1 - p)) for p in row] for row in rate])
 
 
-def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | None, factors: dict[str, float], rounds: int = 12, tolerance: float = 1e-3, budget: float = 1.0) -> tuple[Column, list[list[float]]]:
+def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | None, factors: dict[str, float], rounds: int = 40, tolerance: float = 1e-4, budget: float = 1.0) -> tuple[Column, list[list[float]]]:
     """Nonnegative rates by projected gradient: the rate as a column of `posterior`, and the steps taken.
 
     rows: tokens, posterior. Least squares over domains, each error divided by its domain's share: the expected token
@@ -91,6 +92,8 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | N
     tokens the gradient of a document is posterior . error, and a step of one is within the bound of its curvature.
     A round sums one number for each domain over all rows; a rate is the fold of all steps so far, so no rate is
     stored and nothing but the steps grows. Domains that no document belongs to are left out of the targets.
+    Rounds end when each domain is within `tolerance` of its own target (of its present total where the target is 0);
+    a warning names the domains that are not after `rounds`.
     """
     share = rows.select(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(len(domains))]).first()
     total = share["all"] or 0
@@ -111,13 +114,18 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float] | N
         taken = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps) + ")")
         return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, F.col("posterior"), lambda a, p: a * p), F.lit(0.0), lambda x, y: x + y)))
 
+    def missed() -> list[str]:
+        return [d for d, a, b, s in zip(domains, now, wanted, first, strict=True) if s > 1e-9 and abs(a - b) >= tolerance * (b or s)]
+
     for _ in range(rounds):
         error = [a - b for a, b in zip(now, wanted, strict=True)]
-        if max(map(abs, error)) < tolerance * max(wanted):
+        if not missed():
             break
         steps.append([e / s if s > 1e-9 else 0.0 for e, s in zip(error, first, strict=True)])
         got = once(rows, "rate", rate()).select(*[F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("rate")).alias(f"s{i}") for i in range(len(domains))]).first()
         now = [(got[f"s{i}"] or 0.0) / total for i in range(len(domains))]
+    if missed():
+        warnings.warn(f"fit_rates: after {len(steps)} steps these domains are not within {tolerance} of their targets: " + ", ".join(f"{d} ({a:.3g} for {b:.3g})" for d, a, b in zip(domains, now, wanted, strict=True) if d in missed()), stacklevel=2)
     return rate(), steps
 
 

@@ -352,6 +352,15 @@ def test_mixing_cues_are_whole_words(spark):
     assert min(bad[200:206]) > 0.5 and bad[206] < 0.5
 
 
+def test_mixing_fits_rare_domains(spark):
+    rows = spark.range(5000).select(F.lit(100).cast("long").alias("tokens"), F.when(F.col("id") < 4, F.expr("array(0D, 1D)")).otherwise(F.expr("array(1D, 0D)")).alias("posterior"))
+    rate, steps = mixing.fit_rates(rows, ["clean", "toxic"], None, {"toxic": 0.1})
+    got = rows.distinct().select(F.col("posterior")[1].alias("toxic"), rate.alias("rate")).collect()
+    assert steps and abs({r.toxic: r.rate for r in got}[1.0] - 0.1) < 1e-3
+    with pytest.warns(UserWarning, match="bad"):
+        mixing.fit_rates(rows.select("tokens", F.expr("array(0.5D, 0.5D)").alias("posterior")), ["good", "bad"], {"good": 0.9, "bad": 0.1}, {}, rounds=2)
+
+
 # 8: revisits
 
 
