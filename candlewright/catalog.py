@@ -81,7 +81,7 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "crossings_trend": (lambda s, d: s.sql(crossed.replace("({states})", "{states}"), states=trend.states(s, d)), None),
         "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")), None),
         "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "implied", "refused"), None),
-        "mine_ladder": (lambda s, d: mining.ladder(run(s, d, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({outcomes.hits(SPARK, *CHOSEN)}) h"), 40)[0].selectExpr("k", "array_join(items, ',') AS items", "hits"), None),
+        "mine_ladder": (lambda s, d: mining.finished(mining.ladder(run(s, d, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({outcomes.hits(SPARK, *CHOSEN)}) h"), 40)).selectExpr("k", "array_join(items, ',') AS items", "hits"), None),
         "stream_bars": (streams.replay, streams.replay_sql(DUCK)),
         "scheduled": (lambda s, d: portfolio.scheduled(s, d, *CHOSEN), portfolio.scheduled_sql(DUCK, *CHOSEN)),
         "trade_walk": (lambda s, d: trades.walk(s, d, *CHOSEN), trades.walk_sql(DUCK, *CHOSEN)),

@@ -88,6 +88,15 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
     return whole, accounts
 
 
+def finished(result: tuple[DataFrame, list[dict]]) -> DataFrame:
+    """A ladder's sets; an error if its account says that it halted."""
+    frame, accounts = result
+    for a in accounts:
+        if a.get("halted"):
+            raise RuntimeError(f"the ladder halted at level {a['k']} with {a['candidates']} candidates")
+    return frame
+
+
 def closed(sets: DataFrame) -> DataFrame:
     """Frequent sets of which no set with one more item has as many hits."""
     drop = sets.where("k > 1").select("hits", "items", F.explode(F.sequence(F.lit(1), F.size("items"))).alias("i"))

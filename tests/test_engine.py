@@ -195,3 +195,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.offered, r.refused) for r in spark.table("late_out").collect()] == [(3, 1)]
+
+
+def test_halted_ladder_is_refused():
+    import pytest
+
+    from candlewright.operators import mining
+
+    assert mining.finished(("sets", [{"k": 1, "survivors": 3}])) == "sets"
+    with pytest.raises(RuntimeError):
+        mining.finished(("sets", [{"k": 1, "survivors": 3}, {"k": 2, "halted": True, "candidates": 9}]))
