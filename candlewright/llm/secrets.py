@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm.spans import joined, named, spans
+from candlewright.llm.common import Stash
+from candlewright.llm.spans import joined, named, replaced, spans
 from candlewright.llm.trigrams import ALL, query_of
 
 
@@ -35,18 +36,28 @@ RULES = (
 )
 
 
+KEY = ("doc_id", "__text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text, and the text: rows that agree in all of them hold the same trigrams."""
+    return docs.select("doc_id", F.xxhash64("text").alias("__text"), "text")
+
+
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams that some query asks for, over lower-cased whole texts."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    """Postings (trigram, doc_id, hash of the text) of the trigrams that some query asks for, over lower-cased whole
+    texts. No other trigram is ever looked up, so no other is posted."""
+    low = _keyed(docs).select(*KEY, F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams]))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    return low.select(*KEY, F.explode(held).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame | None:
-    """doc_id and the rules whose trigram query it meets; None if no rule has a query.
+    """doc_id, hash of the text, and the rules whose trigram query they meet; None if no rule has a query.
 
     The clauses of all queries are a table of at most a few hundred rows; postings meet them by trigram, and a clause
-    holds for a document that is posted under all its trigrams.
+    holds for a document that is posted under all its trigrams. Texts that share a hash share postings: at worst that
+    makes one a candidate too many.
     """
     clauses = [(r.kind, k, t, len(c)) for r in rules if (q := query_of(r.pattern)) != ALL for k, c in enumerate(sorted(q, key=sorted)) for t in sorted(c)]
     if not clauses:
@@ -54,59 +65,54 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame |
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     table = docs.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(r)}, {k}, {quote(t)}, {n})" for r, k, t, n in clauses) + " AS c(rule, clause, trigram, wants)")
     posts = index(docs, sorted({t for _, _, t, _ in clauses}))
-    met = posts.join(F.broadcast(table), "trigram").groupBy("doc_id", "rule", "clause", "wants").agg(F.count("*").alias("n")).where("n >= wants")
-    return met.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    met = posts.join(F.broadcast(table), "trigram").groupBy(*KEY, "rule", "clause", "wants").agg(F.size(F.collect_set("trigram")).alias("n")).where("n >= wants")
+    return met.groupBy(*KEY).agg(F.collect_set("rule").alias("rules"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with column `found`: spans of all rules as (start, order, end, kind), by start and then by order.
+def scan(docs: DataFrame, stash: Stash, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with column `found`: spans of all rules as (start, order, end, kind, bstart, bend), by start and then by
+    order.
 
-    docs: doc_id, text and any other columns, which stay; clashing names of this operator's own columns are refused.
-    A rule with a trigram query runs on its candidates alone, the others on every text. Null or empty text has no
-    spans. Rows that repeat a doc_id share candidates but each has its own text verified, a null doc_id too; ties of
-    start go by the rules' order. An empty table gives no rows.
+    docs: doc_id, text and any other columns, which stay, whatever their names; only a column named `found` itself is
+    replaced. A rule with a trigram query runs on its candidates alone, the others on every text. Candidates are a table
+    of one row for each, so Spark broadcasts it where it is small, and splits a hot key's texts where it isn't. Null or
+    empty text has no spans. Rows that repeat a doc_id, or have none, each have their own text verified; ties of start
+    go by the rules' order. An empty table gives no rows.
     """
-    if {"found", "__rules", "__key"} & set(docs.columns):
-        raise ValueError("docs must not have columns named found, __rules or __key")
     posted = candidates(docs, rules)
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("__rules", F.lit(None).cast("array<string>"))
-    if posted is not None:
-        out = docs.join(posted.withColumnsRenamed({"doc_id": "__key", "rules": "__rules"}), F.col("doc_id").eqNullSafe(F.col("__key")), "left").drop("__key")
-    parts = []
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("__text"), "text")
+    if posted is None:
+        rows = rows.withColumn("rules", F.lit(None).cast("array<string>"))
+    else:
+        posted = stash.put(posted, "candidates").withColumnsRenamed({"doc_id": "key", "__text": "hash"})
+        rows = rows.join(posted, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("__text") == F.col("hash")), "left")
+    text, parts = F.coalesce("text", F.lit("")), []
     for k, r in enumerate(rules):
         keep = (lambda hit, r=r: F.length(F.regexp_extract(hit, r.pattern, r.group)) >= r.shortest) if r.shortest else None
-        found = spans(text, r.pattern, keep)
+        found = named(r.kind, k, spans(text, r.pattern, keep))
         if query_of(r.pattern) != ALL:
-            found = F.when(F.array_contains("__rules", r.kind), found)
-        parts.append(F.coalesce(named(r.kind, k, found), F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")))
-    return out.withColumn("found", F.sort_array(F.concat(*parts))).drop("__rules")
+            found = F.when(F.array_contains("rules", r.kind), found)
+        parts.append(F.coalesce(found, F.array().cast("array<struct<start:int,order:int,end:int,kind:string,bstart:int,bend:int>>")))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "found"]
+    return rows.select(*kept, F.sort_array(F.concat(*parts)).alias("found"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, stash: Stash, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every found secret replaced by [kind] in its text, and n_chars, if there, counted anew.
 
-    Spans that overlap are one. Every row and column stays; texts without secrets stay as they are, null texts too.
+    Spans that overlap are one. Every row and column stays, whatever its name; texts without secrets stay as they are,
+    null texts too.
     """
-    found = scan(docs, rules)
-    inside = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    out = found.withColumn("text", F.when(F.size("found") > 0, inside).otherwise(F.col("text"))).drop("found")
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    out = scan(rows, stash, rules).select("row", replaced(F.col("text"), F.col("found")).alias("text"))
+    kinds = dict(docs.dtypes)
+    of = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(kinds.get("n_chars", "long"))}
+    return out.select(*[of.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, as counts, digest and spans."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), Stash(spark, "op2"))
     base = [r.kind for r in RULES if r.base]
     of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     own = F.filter("found", lambda s: s["kind"].isin(base))

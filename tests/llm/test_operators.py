@@ -154,7 +154,7 @@ BASE_SECRETS = (
 
 
 def test_secrets(spark):
-    found = secrets.scan(documents(spark, SECRETS)).collect()
+    found = secrets.scan(documents(spark, SECRETS), stash(spark)).collect()
     assert len(found) == len(SECRETS)
     for r in found:
         text = SECRETS[r.doc_id] or ""
@@ -162,10 +162,10 @@ def test_secrets(spark):
         assert [(s.start, s.order, s.end, s.kind) for s in r.found if s.kind in ("assign", "access", "hex")] == want
     extra = {s.kind for r in found for s in r.found}
     assert {"github", "pem"} <= extra
-    clean = {r.doc_id: r.text for r in secrets.redact(documents(spark, SECRETS)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(documents(spark, SECRETS), stash(spark)).collect()}
     assert clean[0] is None and clean[1] == "" and "hunter2222" not in clean[3] and clean[2].startswith("token=token")
-    assert secrets.redact(documents(spark, SECRETS)).columns == documents(spark, []).columns
-    assert secrets.scan(documents(spark, [])).count() == 0
+    assert secrets.redact(documents(spark, SECRETS), stash(spark)).columns == documents(spark, []).columns
+    assert secrets.scan(documents(spark, []), stash(spark)).count() == 0
 
 
 def test_trigram_queries():
