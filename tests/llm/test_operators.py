@@ -202,8 +202,8 @@ def test_personal_data(spark):
         want = [(n, m.start(), m.end()) for n, p, ok in slow for m in re.finditer(p, text) if ok(m)]
         assert [(s.kind, s.start, s.end) for s in r.found if s.base] == want
     assert pii.detect(documents(spark, []), stash(spark)).count() == 0
-    post, rates = pii.reliabilities([("ip", "1111", 90), ("ip", "0-00", 10), ("card", "11-1", 50), ("card", "0100", 60)])
-    assert post["ip", "1111"] > 0.95 and post["card", "0100"] < 0.2 and all(0 < a < 1 and 0 < b < 1 for a, b in rates.values())
+    post, rates = pii.reliabilities([("ip", "1111-", 90), ("ip", "0-00-", 10), ("card", "11-1-", 50), ("card", "0100-", 60)])
+    assert post["ip", "1111-"] > 0.95 and post["card", "0100-"] < 0.2 and all(0 < a < 1 and 0 < b < 1 for a, b in rates.values())
 
 
 # 3 and 10: tokens
@@ -398,3 +398,48 @@ def test_quality_on_held_out_rows(spark):
 def test_digests_of_queries(spark):
     got = secrets.op2_secrets(spark, SF).where("spans = ''").first()
     assert got.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_personal_data_adds_and_rejects(spark):
+    rng = np.random.default_rng(12)
+
+    def card(valid):
+        digits = [int(rng.integers(3, 7)), *rng.integers(0, 10, 14).tolist()]
+        last = next(d for d in range(10) if luhn("".join(map(str, [*digits, d]))) == valid)
+        return "".join(map(str, [*digits, last]))
+
+    texts = []
+    for k in range(60):
+        texts.append(f"Pay by card {card(True)} and write to a{k}@mail.example.com or 10.0.0.{k}")
+        texts.append(f"Pay by card {card(False)} and write to b{k}@mail.example.com")  # a slip in a digit
+        texts.append(f"order no. {'9' + card(False)[1:]} of release 2, chapter {k}")
+        texts.append(f"Dr. Anna Miller of {k} said so; John Smith, contact name, wrote to c{k}@mail.example.com; the Street was long")
+    docs = documents(spark, texts)
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.found] for r in pii.detect(docs, stash(spark)).collect()}
+    kinds = [{k for k, _ in found[i]} for i in range(len(texts))]
+    assert all("card" in kinds[i] and "card_like" not in kinds[i] for i in range(0, len(texts), 4))
+    assert sum("card_like" in kinds[i] for i in range(1, len(texts), 4)) > 50  # fails Luhn, and is added
+    assert sum("card_like" in kinds[i] for i in range(2, len(texts), 4)) == 0  # so does this, and is rejected
+    people = [{w for k, w in found[i] if k in ("given_like", "titled_like")} for i in range(3, len(texts), 4)]
+    assert sum("John Smith" in p and "Anna Miller" in p for p in people) > 50
+
+
+def test_long_texts_with_many_hits(spark):
+    text = "é x@y.zz token=abcdef1 " * 3000
+    docs = documents(spark, [text, None])
+    (row,) = pii.detect(docs, stash(spark)).where("doc_id = 0").collect()
+    assert [(s.start, s.end) for s in row.found if s.kind == "email"] == [m.span() for m in re.finditer(r"x@y\.zz", text)]
+    (row,) = secrets.scan(docs, stash(spark)).where("doc_id = 0").collect()
+    assert [(s.start, s.end) for s in row.found] == [m.span() for m in re.finditer("token=abcdef1", text)]
+    assert secrets.redact(docs, stash(spark)).where("doc_id = 0").first().text == "é x@y.zz [assign] " * 3000
+
+
+def test_clashing_names(spark):
+    texts = ["my secret=abcdefg1 x", None, "", "plain words here"]
+    extra = ["found", "row", "text_", "key", "rules", "posterior", "rate", "salt", "plain", "component_id", "kept", "tokens", "hash"]
+    docs = documents(spark, texts).select("*", *[F.lit(f"own {c}").alias(c) for c in extra])
+    clean = secrets.redact(docs, stash(spark))
+    assert clean.columns == docs.columns and clean.where("doc_id = 0").first().text == "my [assign] x"
+    assert all(clean.first()[c] == f"own {c}" for c in extra)
+    assert secrets.scan(docs, stash(spark)).columns == [c for c in docs.columns if c != "found"] + ["found"]
+    assert pii.detect(docs, stash(spark)).count() == 4
