@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
-#: Odd multiplier of the polynomial word hash, and seeds of the tables below.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACES = b" \t\n\x0b\x0c\r"
+#: Words up to this many bytes are hashed in lanes of eight; longer ones by BLAKE2b.
+LANED = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,35 +20,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    lower = np.arange(256)
-    lower[65:91] += 32
-    values = mix(lower.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
-    space = np.zeros(256, dtype=bool)
-    space[list(SPACES)] = True
-    return values, space
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, dtype=bool)
+SPACE[list(SPACES)] = True
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
-VALUES, SPACE = _tables()
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+def lane(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k + 7 of each word as one number, with zeros after its end. padded: bytes with eight more at the end."""
+    view = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    return view[starts + 8 * k] & MASKS[np.clip(sizes - 8 * k, 0, 8)]
+
+
+def name_words(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word's bytes and length: eight bytes at a time, each lane mixed into what came before, so no
+    sum of terms can cancel; words over LANED bytes by BLAKE2b."""
+    sizes = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(sizes.astype(np.uint64) + BASE)
+        at = np.arange(len(starts))
+        for k in range(LANED // 8):
+            at = at[sizes[at] > 8 * k]
+            if not len(at):
+                break
+            out[at] = mix((out[at] ^ lane(padded, starts[at], sizes[at], k)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(2 * k + 1))
+        for i in np.flatnonzero(sizes > LANED):
+            digest = blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+            out[i] = np.uint64(int.from_bytes(digest, "little"))
+    return out
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (A-Z taken as a-z), and the index of the text that it stands in."""
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    buf = LOWER[np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)]
     space = SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        n = len(buf)
-        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, BASE, np.uint64)]))
-        inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, INVERSE, np.uint64)]))[starts]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUES[buf] * powers, dtype=np.uint64)])
-        hashes = mix((total[ends] - total[starts]) * inverse + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(np.cumsum(sizes), starts, "right")
+    return name_words(buf, starts, ends), np.searchsorted(np.cumsum(sizes), starts, "right")
 
 
 def shingle_sets(texts: list[str | None], width: int, chunk: int = 1 << 19) -> Iterator[np.ndarray]:

@@ -6,12 +6,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from candlewright.llm.shingles import mix
+from candlewright.llm.shingles import LANED, lane, name_words
 
 #: The split and normalizer that the vectorised path stands for; another file takes the library's path for every text.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, DIGIT, MARK = range(4)
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _byte_classes() -> np.ndarray:
@@ -36,10 +35,12 @@ class Encoder:
 
     The tokenizer encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in order. Pre-tokens of a
     batch are found by byte classes, named by 64-bit hashes of their lower-cased bytes, and looked up together in a
-    sorted table of at most `room` encodings; those not used lately make room. New ones are encoded in one call: the
-    last id of each ends a word, so the ids are parted there. A chunk with an apostrophe is one entry, encoded whole.
-    Texts with other than ASCII and the Latin letters of U+00C0-U+00FF, U+0152 and U+0153, with control characters, or
-    with a mark of a special token, go through the library whole.
+    sorted table of at most `room` encodings; those not used lately make room. A name only finds an entry: the bytes of
+    every pre-token are then compared with those that its ids were made of, and a text in which any differ goes through
+    the library whole. New ones are encoded in one call: the last id of each ends a word, so the ids are parted there.
+    A chunk with an apostrophe is one entry, encoded whole. Texts with a pre-token of over LANED bytes, with other than
+    ASCII and the Latin letters of U+00C0-U+00FF, U+0152 and U+0153, with control characters, or with a mark of a
+    special token, go through the library whole.
     """
 
     def __init__(self, path: str, room: int = 400_000):
@@ -60,7 +61,6 @@ class Encoder:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
         self._clear()
-        self.powers = self.inverses = np.ones(0, np.uint64)
 
     def _clear(self) -> None:
         self.names = np.zeros(0, np.uint64)  # sorted
@@ -68,19 +68,15 @@ class Encoder:
         self.sizes = np.zeros(0, np.int64)
         self.used = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.lengths = np.zeros(0, np.int64)  # of the entries' own bytes
+        self.lanes = np.zeros((0, LANED // 8), np.uint64)  # and those bytes
         self.turn = 0
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            fill = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
-            self.powers, self.inverses = fill(BASE), fill(inverse)
-
-    def _learn(self, names: np.ndarray, words: list[bytes], whole: np.ndarray) -> None:
-        """Add encodings of new entries; names are sorted and not yet known."""
+    def _learn(self, names: np.ndarray, words: list[bytes], whole: np.ndarray, lanes: np.ndarray) -> None:
+        """Add encodings of new entries; names are sorted and not yet known, lanes are the words' bytes."""
         sizes, parts = np.zeros(len(words), np.int64), []
         one = np.flatnonzero(~whole)
         if len(one):
@@ -102,6 +98,7 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *parts]).astype(np.uint32)
         self.names, self.starts = np.insert(self.names, where, names), np.insert(self.starts, where, starts)
         self.sizes, self.used = np.insert(self.sizes, where, sizes), np.insert(self.used, where, self.turn)
+        self.lengths, self.lanes = np.insert(self.lengths, where, [len(w) for w in words]), np.insert(self.lanes, where, lanes, axis=0)
 
     def _evict(self) -> None:
         """Keep the half used last."""
@@ -110,6 +107,7 @@ class Encoder:
         ids = self.ids[_runs(self.starts[keep], sizes)]
         self.names, self.used, self.sizes, self.ids = self.names[keep], self.used[keep], sizes, ids
         self.starts = np.cumsum(sizes) - sizes
+        self.lengths, self.lanes = self.lengths[keep], self.lanes[keep]
 
     def batch(self, column) -> list[bytes]:
         """Ids of each text of an Arrow string column; null and empty texts have none."""
@@ -173,31 +171,41 @@ class Encoder:
         ends = np.append(at[1:], n)
         word = cls[at] != SPACE
         at, ends = at[word], ends[word]
+        long = np.flatnonzero(ends - at > LANED)
+        if len(long):
+            slow[np.searchsorted(offsets, at[long], "right") - 1] = True
+            fit = ends - at <= LANED
+            at, ends = at[fit], ends[fit]
         if len(at):
-            self._grow(n)
-            with np.errstate(over="ignore"):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_bytes(low) * self.powers[:n])])
-                names = mix((total[ends] - total[at]) * self.inverses[at] + (ends - at).astype(np.uint64))
+            padded = np.concatenate([low, np.zeros(LANED + 8, np.uint8)])
+            lengths = ends - at
+            names = name_words(padded, at, ends)
             some, first, back = np.unique(names, return_index=True, return_inverse=True)
             self.turn += 1
+            if len(self.names) > self.room:
+                self._evict()
             place = np.searchsorted(self.names, some)
             new = np.ones(len(some), dtype=bool)
             inbound = place < len(self.names)
             new[inbound] = self.names[place[inbound]] != some[inbound]
             if new.any():
-                if len(self.names) > self.room:
-                    self._evict()
-                    place = np.searchsorted(self.names, some)
-                    new[:] = True
-                    inbound = place < len(self.names)
-                    new[inbound] = self.names[place[inbound]] != some[inbound]
                 k = first[new]
                 raw = low.tobytes()
                 words = [raw[a:b] for a, b in zip(at[k].tolist(), ends[k].tolist(), strict=True)]
-                self._learn(some[new], words, np.isin(at[k], opaque))
+                own = np.stack([lane(padded, at[k], lengths[k], j) for j in range(LANED // 8)], axis=1)
+                self._learn(some[new], words, np.isin(at[k], opaque), own)
                 place = np.searchsorted(self.names, some)
             self.used[place] = self.turn
             entry = place[back]
+            other = self.lengths[entry] != lengths
+            left = np.arange(len(at))
+            for j in range(LANED // 8):
+                left = left[lengths[left] > 8 * j]
+                if not len(left):
+                    break
+                other[left] |= self.lanes[entry[left], j] != lane(padded, at[left], lengths[left], j)
+            if other.any():  # two pre-tokens of one name
+                slow[np.searchsorted(offsets, at[other], "right") - 1] = True
             sizes = self.sizes[entry]
             ids = self.ids[_runs(self.starts[entry], sizes)].astype("<u4")
             upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(at, offsets, "left")]
@@ -216,14 +224,6 @@ def edge_at(n: int, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def mixed_bytes(data: np.ndarray) -> np.ndarray:
-    return SPREAD[data]
-
-
-with np.errstate(over="ignore"):
-    SPREAD = mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
-
-
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of runs that start at `starts` and are `sizes` long, one after another."""
     ends = np.cumsum(sizes)

@@ -443,3 +443,35 @@ def test_clashing_names(spark):
     assert all(clean.first()[c] == f"own {c}" for c in extra)
     assert secrets.scan(docs, stash(spark)).columns == [c for c in docs.columns if c != "found"] + ["found"]
     assert pii.detect(docs, stash(spark)).count() == 4
+
+
+def complements(n):
+    """Two words of n letters whose polynomial hashes modulo 2 ** 64 are equal, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 16, 1024, 4096])
+def test_names_of_words_that_cancel(spark, n):
+    import pyarrow as pa
+
+    from candlewright.llm import shingles
+
+    one, two = complements(n)
+    names, _ = shingles.word_hashes([one.encode(), two.encode()])
+    assert names[0] != names[1]
+    e = tokens.Encoder(TOKENIZER)
+    for t in (one, two, f"x {one} {two} y"):
+        assert e.batch(pa.array([t])) == [e.plain(t)]
+    got = minhash.near_duplicates(documents(spark, [one, two, f"{one} b c", f"{two} b c"]), stash(spark), 3).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(4)}
+
+
+def test_encoder_compares_bytes(monkeypatch):
+    import pyarrow as pa
+
+    e = tokens.Encoder(TOKENIZER)
+    monkeypatch.setattr(tokens, "name_words", lambda padded, at, ends: (ends - at).astype(np.uint64) % np.uint64(5))  # names that mean little
+    texts = ["one two three four five", "six seven eight nine ten", "it's an example of words", "one two"]
+    for _ in range(2):
+        assert e.batch(pa.array(texts)) == [e.plain(t) for t in texts]
