@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewright.llm.common import Stash, connected_components
 
-ROW = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+ROW = "row long, doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 
 
 def match_threshold(coordinates: int, similarity: float) -> int:
@@ -17,8 +17,8 @@ def match_threshold(coordinates: int, similarity: float) -> int:
     return max(1, floor(coordinates * similarity - 5.2 * sqrt(coordinates * similarity * (1 - similarity))))
 
 
-def signatures(docs: DataFrame, width: int, coordinates: int, seed: int) -> DataFrame:
-    """doc_id, size and 128-bit name of each whole text's shingle set, and its signature."""
+def signatures(rows: DataFrame, width: int, coordinates: int, seed: int) -> DataFrame:
+    """row, doc_id, size and 128-bit name of each whole text's shingle set, and its signature."""
 
     def task(batches):
         import pyarrow as pa
@@ -30,13 +30,13 @@ def signatures(docs: DataFrame, width: int, coordinates: int, seed: int) -> Data
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
                 sizes, names, sigs = [], [], []
-                for s in S.shingle_sets(some.column(1).to_pylist(), width):
+                for s in S.shingle_sets(some.column(2).to_pylist(), width):
                     sizes.append(len(s))
                     names.append(S.set_key(s))
                     sigs.append(S.signature(s, flips, odds).tobytes())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(sigs, pa.binary())], names=["row", "doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, ROW)
+    return rows.select("row", "doc_id", "text").mapInArrow(task, ROW)
 
 
 def _postings(reps: DataFrame, coordinates: int) -> DataFrame:
@@ -135,8 +135,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(task, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Full shingle sets of the wanted representatives, recomputed from their texts."""
+def _full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Full shingle sets of the wanted representatives, recomputed from their own rows' texts: one for each."""
 
     def task(batches):
         import pyarrow as pa
@@ -146,24 +146,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                reps, sets = [], []
-                for rep, h1, h2, s in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), some.column(3).to_pylist(), S.shingle_sets(some.column(1).to_pylist(), width), strict=True):
-                    if S.set_key(s) == (h1, h2):
-                        reps.append(rep)
-                        sets.append(s.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "set"])
+                sets = [s.astype("<u8").tobytes() for s in S.shingle_sets(some.column(1).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    return wanted.select("rep", "h1", "h2").join(texts, "rep").select("rep", "text", "h1", "h2").mapInArrow(task, "rep long, set binary")
+    texts = rows.select(F.col("row").alias("rep"), "text")
+    return wanted.select("rep").join(texts, "rep").select("rep", "text").mapInArrow(task, "rep long, set binary")
 
 
-def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: tuple[int, int] = (80, 100), coordinates: int = 64, seed: int = 7, hub_rounds: int = 2) -> DataFrame:
-    """Link documents whose shingle sets have Jaccard similarity of at least similarity[0] / similarity[1].
-
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept (doc_id =
-    component_id), one row for each row of docs; its other columns are ignored.
+def _linked(rows: DataFrame, stash: Stash, width: int, similarity: tuple[int, int], coordinates: int, seed: int, hub_rounds: int) -> DataFrame:
+    """row, doc_id, n_shingles, low (smallest doc_id reachable by links, itself included) and head (of the rows that are
+    linked, the one of smallest doc_id, then of smallest row; rows without a doc_id come last).
 
-    Documents of equal sets form one class, joined to its smallest doc_id. Classes are posted under every coordinate-
+    rows: a table with row (unique), doc_id, text. Rows of equal sets form one class, named by its smallest row. Classes are posted under every coordinate-
     value pair of their signatures. Two classes at the similarity agree in at least t coordinates (match_threshold),
     so of the values that anyone shares, in order of frequency with the rarest first, they have one in common among
     the first (shared values - t + 1): only that prefix is joined, and classes with fewer than t shared values are
@@ -174,24 +168,23 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
     joined by the rarest elements of their full sets (_mixed), so no link between components is lost and a group of n
     near copies costs about n comparisons for each of its lists. Compared pairs are counted on the whole signature and confirmed on full sets.
 
-    Null or empty texts, and texts without words, have no shingles and link with nothing. Rows with a null doc_id
-    get their size, a null component_id and kept = false. Repeated rows of a doc_id get the same component. Ties
-    don't arise: every choice is by smallest id. An empty table gives no rows.
+    Texts without words have no shingles and link with nothing: low is their doc_id, head their row.
     """
     num, den = similarity
     least = match_threshold(coordinates, num / den)
     ratio = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    rows = stash.put(signatures(docs, width, coordinates, seed), "signatures")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    signed = stash.put(signatures(rows, width, coordinates, seed), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("row").alias("rep"), first.alias("first"), F.first("sig").alias("sig"))
     reps = stash.put(classes, "classes")
     posts = _postings(reps, coordinates)
     shared = stash.put(posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     listed = posts.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= least)
     prefix = listed.select("rep", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (least - 1))).alias("k")).select("rep", F.col("k.key").alias("key"))
-    prefix = stash.put(prefix.join(reps.select("rep", "n_shingles", "h1", "h2"), "rep").select("key", "rep", F.col("n_shingles").alias("n"), "h1", "h2"), "prefix")
-    wanted = prefix.join(prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("rep", "h1", "h2").distinct()
-    sets = stash.put(_full_sets(docs, wanted, width), "sets", arrow_rows=250)
-    posts = prefix.select("key", "rep", "n")
+    prefix = stash.put(prefix.join(reps.select("rep", "n_shingles"), "rep").select("key", "rep", F.col("n_shingles").alias("n")), "prefix")
+    wanted = prefix.join(prefix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("rep").distinct()
+    sets = stash.put(_full_sets(rows, wanted, width), "sets", arrow_rows=250)
+    posts = prefix
     labels = links = seen = None
     for turn in range(hub_rounds + 1):
         at = posts.withColumn("comp", F.col("rep")) if labels is None else posts.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
@@ -217,14 +210,49 @@ def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: t
         if turn == hub_rounds and found.isEmpty():
             break
         labels = connected_components(links, stash)
-    named = reps.select("n_shingles", "h1", "h2", "rep")
+    named = reps.select("n_shingles", "h1", "h2", "rep", "first")
     if labels is None:
-        named = named.withColumnRenamed("rep", "component")
+        named = named.select("n_shingles", "h1", "h2", F.col("first.doc_id").alias("low"), F.col("first.row").alias("head"))
     else:
-        named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+        named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        heads = named.groupBy("component").agg(F.min("first").alias("whole"))
+        named = named.join(heads, "component").select("n_shingles", "h1", "h2", F.col("whole.doc_id").alias("low"), F.col("whole.row").alias("head"))
+    named = stash.put(named, "named")  # a table, so that Spark can split a hot class's rows in the join
+    out = signed.select("row", "doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
+    return out.select("row", "doc_id", "n_shingles", F.coalesce("low", F.when(F.col("head").isNull(), F.col("doc_id"))).alias("low"), F.coalesce("head", "row").alias("head"))
+
+
+def near_duplicates(docs: DataFrame, stash: Stash, width: int = 5, similarity: tuple[int, int] = (80, 100), coordinates: int = 64, seed: int = 7, hub_rounds: int = 2) -> DataFrame:
+    """Link documents whose shingle sets have Jaccard similarity of at least similarity[0] / similarity[1] (_linked).
+
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept (doc_id =
+    component_id), one row for each row of docs; its other columns are ignored, whatever their names.
+
+    Null or empty texts, and texts without words, have no shingles and link with nothing. Rows are compared by their own
+    texts: rows that repeat a doc_id get the same component if their texts are linked, and else each its own. A row with
+    a null doc_id links like any other, but names no component: it gets its size, a null component_id and kept = false.
+    Ties don't arise: every choice is by smallest id. An empty table gives no rows.
+    """
+    rows = stash.put(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
+    found = _linked(rows, stash, width, similarity, coordinates, seed, hub_rounds)
+    own = F.when(F.col("doc_id").isNotNull(), F.col("low"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, stash: Stash, width: int = 5, similarity: tuple[int, int] = (80, 100), coordinates: int = 64, seed: int = 7, hub_rounds: int = 2) -> DataFrame:
+    """docs with one row of each group of linked rows: the one of smallest doc_id (rows without one come last), and of
+    equal doc_ids the first as read. All columns stay, whatever their names.
+
+    Rows are numbered in a table and decided upon one by one, so rows that repeat a doc_id with other texts are judged by
+    their own. Rows without words link with nothing and all stay. An empty table gives no rows.
+    """
+    number = "row"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    table = stash.put(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = table.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = stash.put(_linked(rows, stash, width, similarity, coordinates, seed, hub_rounds).where("row <> head").select(F.col("row").alias(number)), "gone")
+    return table.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

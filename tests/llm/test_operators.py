@@ -475,3 +475,25 @@ def test_encoder_compares_bytes(monkeypatch):
     texts = ["one two three four five", "six seven eight nine ten", "it's an example of words", "one two"]
     for _ in range(2):
         assert e.batch(pa.array(texts)) == [e.plain(t) for t in texts]
+
+
+def test_one_of_each_group_of_rows(spark):
+    rng = np.random.default_rng(21)
+    words = [f"v{i}" for i in range(300)]
+    three, lone = " ".join(rng.choice(words, 60)), " ".join(rng.choice(words, 60))
+    rows = [(3, three), (7, three + " end"), (7, lone), (9, "same text of some words here now"), (9, "same text of some words here now"), (None, three), (None, "only here and nowhere else in it"), (11, None), (11, ""), (12, ""), (2, lone + " x")]
+    rows += [(100 + k, " ".join([*base.split()[:-1], f"w{k % 4}"])) for k, base in enumerate([three, lone] * 20)]
+    table = spark.createDataFrame([(i, t, "en", "s", 0, f"own{k}") for k, (i, t) in enumerate(rows)], DOCS + ", row string").repartition(3)
+    out = [(r.doc_id, r.text, r.row) for r in minhash.one_of_each(table, stash(spark)).collect()]
+    _, comp = brute([t for _, t in rows], 5, 80)
+    best = {}
+    for k, (i, t) in enumerate(rows):
+        key = (i is None, i or 0)
+        if comp[k] not in best or key < best[comp[k]]:
+            best[comp[k]] = key
+    assert sorted(str((i is None, i or 0)) for i, _, _ in out) == sorted(map(str, best.values()))
+    assert {t for i, t, _ in out if i == 7} == set() and {i for i, t, _ in out if t and t.startswith(lone[:20])} == {2}
+    assert sum(i == 9 for i, _, _ in out) == 1 and all(rows[int(own[3:])] == (i, t) for i, t, own in out)
+    assert minhash.one_of_each(table.limit(0), stash(spark)).count() == 0
+    got = minhash.near_duplicates(table, stash(spark)).collect()
+    assert sorted(r.component_id for r in got if r.doc_id == 7) == [2, 3]
