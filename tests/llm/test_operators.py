@@ -354,11 +354,56 @@ def test_mixing_cues_are_whole_words(spark):
 
 def test_mixing_fits_rare_domains(spark):
     rows = spark.range(5000).select(F.lit(100).cast("long").alias("tokens"), F.when(F.col("id") < 4, F.expr("array(0D, 1D)")).otherwise(F.expr("array(1D, 0D)")).alias("posterior"))
-    rate, steps = mixing.fit_rates(rows, ["clean", "toxic"], None, {"toxic": 0.1})
-    got = rows.distinct().select(F.col("posterior")[1].alias("toxic"), rate.alias("rate")).collect()
-    assert steps and abs({r.toxic: r.rate for r in got}[1.0] - 0.1) < 1e-3
+    fit = mixing.fit_rates(rows, ["clean", "toxic"], None, {"toxic": 0.1})
+    got = rows.distinct().select(F.col("posterior")[1].alias("toxic"), fit.rate(F.col("posterior")).alias("rate")).collect()
+    assert fit.steps and abs({r.toxic: r.rate for r in got}[1.0] - 0.1) < 1e-3
     with pytest.warns(UserWarning, match="bad"):
-        mixing.fit_rates(rows.select("tokens", F.expr("array(0.5D, 0.5D)").alias("posterior")), ["good", "bad"], {"good": 0.9, "bad": 0.1}, {}, rounds=2)
+        mixing.fit_rates(rows.select("tokens", F.expr("array(0.5D, 0.5D)").alias("posterior")), ["good", "bad"], {"good": 0.9, "bad": 0.1}, {})
+    soft = spark.range(3000).select(F.lit(10).cast("long").alias("tokens"), F.expr("array(0.6D + (id % 40) / 100D, 0.4D - (id % 40) / 100D)").alias("posterior"))
+    fit = mixing.fit_rates(soft, ["a", "b"], {"a": 0.9, "b": 0.1}, {})  # only by rates of zero
+    assert fit.missed() < 1e-4 and soft.select(fit.rate(F.col("posterior")).alias("r")).where("r = 0").count() > 0
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(soft, ["a", "b"], {"a": 0.9, "b": 0.1}, {}, rounds=1)
+
+
+def test_mixing_of_the_documents_table(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    labelled = mixing.labelled_domains(docs, labels)
+    out = mixing.mix(docs, labelled, stash(spark), factors=mixing.production_factors(labelled)).toPandas()
+    domains, p = out.domains[0], np.array(out.posterior.tolist())
+    now = (p * out.tokens.to_numpy()[:, None]).sum(axis=0)
+    got = (p * (out.tokens * out.rate).to_numpy()[:, None]).sum(axis=0)
+    want = now * np.array([0.1 if d.endswith("/toxic") else 1.0 for d in domains])
+    want *= now.sum() / want.sum()
+    assert len(domains) == 8 and (out.rate >= 0).all() and (np.abs(got / want - 1) < 0.01).all() and out.missed.max() < 1e-3
+    own = np.array(["".join(c if c.isalnum() else " " for c in t or "").split() for t in docs.toPandas().text], dtype=object)
+    words = np.array([len(w) for w in own])
+    assert (out.set_index("doc_id").tokens.sort_index().to_numpy() >= words).mean() > 0.99  # never fewer than its words
+    # held out: the classifier never sees a fifth of the labelled documents
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    labelled = mixing.labelled_domains(docs, labels)
+    model = mixing.train(docs, labelled.where("doc_id % 5 <> 0"), stash(spark))
+    held = docs.select("doc_id", "text").join(labelled.where("doc_id % 5 = 0"), "doc_id").select("domain", model.posteriors(F.col("text")).alias("p")).toPandas()
+    top = np.array(model.domains)[np.array(held.p.tolist()).argmax(axis=1)]
+    right = top == held.domain
+    assert right.mean() > 0.92 and right[held.domain == "en/toxic"].mean() > 0.9
+    toxic = held.domain.str.endswith("/toxic")
+    assert right[toxic].mean() > 0.75 and np.char.endswith(top[~toxic].astype(str), "/clean").mean() > 0.97
+
+
+def test_mixing_edges(spark):
+    long = "alpha beta gamma delta " * 20_000
+    rows = [(1, "alpha beta"), (1, "alpha beta"), (2, None), (None, "gamma"), (3, ""), (4, long), (5, "bad word")]
+    docs = documents(spark, []).unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS))
+    docs = docs.select("*", *[F.lit(1).alias(c) for c in ("posterior", "rate", "salt", "plain", "copy", "row")])
+    labelled = spark.createDataFrame([(4, "good"), (5, "bad"), (None, "bad"), (5, None)], "doc_id long, domain string")
+    out = mixing.mix(docs, labelled, stash(spark), factors={"bad": 0.5}).collect()
+    assert len(out) == len(rows) and len({(r.rate, r.copies) for r in out if r.doc_id == 1}) == 1
+    assert [r.tokens for r in out if r.doc_id in (2, 3)] == [0, 0] and next(r.tokens for r in out if r.doc_id == 4) > 80_000
+    whole = mixing.mix_documents(docs, labelled, stash(spark), factors={"bad": 0.5})
+    assert whole.columns == docs.columns and whole.count() == sum(r.copies for r in out)
 
 
 # 8: revisits
