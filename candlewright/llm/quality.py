@@ -190,17 +190,20 @@ def classify(docs: DataFrame, labels: DataFrame, stash: Stash, threshold: float
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 200_000) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns.
+def keep_good(docs: DataFrame, labels: DataFrame, stash: Stash, threshold: float = 0.3, max_rows: int = 200_000) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns, whatever their names.
 
     The model is fitted on at most about `max_rows` labelled documents (train), whose ids are broadcast: under 4 MB.
-    Every text is then scored where it is read, so nothing is shuffled. Without labels every row stays.
+    Their statistics are a table, read by each sum of the fit. Every text is then scored where it is read, so nothing
+    is shuffled. Null and empty texts are scored as texts without words, a row without a doc_id by its text; repeated
+    rows are kept or go together. Without labels every row stays. An empty table gives no rows.
     """
     ids = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id").distinct()
     total = ids.count()
     if total > max_rows:
         ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
-    model = train(document_statistics(docs.join(F.broadcast(ids), "doc_id")), labels.join(F.broadcast(ids), "doc_id"), max_rows=max_rows)
+    stats = stash.put(document_statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")), "statistics")
+    model = train(stats, labels.join(F.broadcast(ids), "doc_id"), max_rows=max_rows)
     if model is None:
         return docs
     at = docs.columns.index("text")
@@ -212,7 +215,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_ro
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                x = np.array([statistics((t.as_py() or "").encode()) for t in some.column(at)])
+                x = np.array([statistics((t.as_py() or "").encode()) for t in some.column(at)]).reshape(some.num_rows, len(STATISTICS))
                 value = np.interp(model["features"](x) @ model["weights"], model["at"], model["fit"])
                 yield some.filter(pa.array(value >= threshold))
 

@@ -437,7 +437,7 @@ def test_quality_on_held_out_rows(spark):
     none = labels.limit(0)
     assert [r.score for r in quality.classify(small, none, stash(spark)).collect()] == [0.5] * 3
     assert quality.classify(documents(spark, []), labels, stash(spark)).count() == 0
-    assert quality.keep_good(small, none).count() == 3
+    assert quality.keep_good(small, none, stash(spark)).count() == 3
 
 
 def test_digests_of_queries(spark):
