@@ -30,40 +30,44 @@ def canonical_url(url: Column) -> Column:
 def resolve(captures: DataFrame, stash: Stash) -> DataFrame:
     """Give each not-modified capture the body of the latest earlier full response of its canonical URL.
 
-    captures: capture_id long, url, seen_at long (time), status int (200: full, 304: not modified), etag, last_modified,
-    headers map<string,string>. Returns capture_id, canonical, seen_at, status, response_id (the capture itself if full),
-    outcome and headers:
-      full        a full response;
-      resolved    a revisit whose validators agree: an etag that both have must be equal (weak marks aside), else a
-                  last_modified that both have;
+    captures: capture_id long, url, seen_at long (time), status int, etag, last_modified, headers map<string,string>;
+    other columns are ignored, whatever their names. Returns capture_id, canonical, seen_at, status, response_id (the
+    capture itself if full), outcome and headers:
+      full        status 200, a full response;
+      resolved    status 304, a revisit whose validators agree: an etag that both have must be equal (weak marks aside),
+                  else a last_modified that both have;
       unvalidated a revisit where neither validator is on both sides; the latest response is given all the same;
-      mismatch    a validator differs: no response_id;
-      orphan      no earlier full response, or a null URL or time: no response_id.
-    A revisit's headers are the response's with the permitted ones replaced by its own.
+      mismatch    a revisit of which a validator differs: no response_id;
+      orphan      a revisit without an earlier full response, or with a null URL or time: no response_id;
+      other       any other status or none: neither a response nor a revisit; no response_id.
+    A resolved or unvalidated revisit's headers are the response's with the permitted ones replaced by its own; any other
+    capture keeps its own headers.
 
     The as-of join has two steps, so that no URL gathers in one task: rows are ranged by (canonical URL, time,
-    capture_id); within a range each row takes the last full response before it, and the last one of each range is
-    carried to the URL's later ranges, of which there are at most as many as ranges. Ties of time go by capture_id:
-    a smaller id is earlier. Repeated rows are kept. Null headers are taken as empty; an empty table gives no rows.
+    capture_id); the last full response of each range is carried to the URL's later ranges, of which there are at most
+    as many as ranges, and stands there as a first row; within a range each row takes the last full response before it.
+    Nothing is joined, and nothing broadcast. Ties of time go by capture_id: a smaller id is earlier. Repeated rows are
+    kept. Null headers are taken as empty; an empty table gives no rows.
     """
     fields = ("capture_id", "etag", "last_modified", "headers")
-    rows = captures.select("capture_id", canonical_url(F.col("url")).alias("canonical"), "seen_at", "status", "etag", "last_modified", F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("headers"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    rows = captures.select("capture_id", canonical_url(F.col("url")).alias("canonical"), "seen_at", "status", "etag", "last_modified", F.coalesce("headers", none).alias("headers"))
     ranged = stash.put(rows.repartitionByRange("canonical", "seen_at", "capture_id").withColumn("part", F.spark_partition_id()), "ranged")
-    whole = F.when((F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("seen_at").isNotNull(), F.struct(*fields))
-    order = ["seen_at", "capture_id", F.desc("status")]
-    local = Window.partitionBy("part", "canonical").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    near = ranged.withColumn("near", F.last(whole, ignorenulls=True).over(local))
-    ends = ranged.where((F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("seen_at").isNotNull()).groupBy("canonical", "part").agg(F.max_by(F.struct(*fields), F.struct("seen_at", "capture_id")).alias("end"))
-    spread = ranged.select("canonical", "part").distinct()
-    carried = spread.join(ends, ["canonical", "part"], "left").withColumn("before", F.last("end", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("canonical", "part", "before").where("before is not null")
-    found = near.join(carried, ["canonical", "part"], "left").withColumn("full", F.coalesce("near", "before"))
+    full = (F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("seen_at").isNotNull()
+    own = ranged.select("*", F.when(full, F.struct(*fields)).alias("whole"), F.lit(1).alias("turn"))
+    ends = own.groupBy("canonical", "part").agg(F.max_by("whole", F.when(full, F.struct("seen_at", "capture_id"))).alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.where("canonical is not null").select("canonical", "part", before.alias("whole")).where("whole is not null").withColumn("turn", F.lit(0))
+    near = Window.partitionBy("part", "canonical").orderBy("turn", "seen_at", "capture_id", F.desc("status")).rowsBetween(Window.unboundedPreceding, -1)
+    found = own.unionByName(carried, allowMissingColumns=True).withColumn("full", F.last("whole", ignorenulls=True).over(near)).where("turn = 1")
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     tags = strong(F.col("etag")) == strong(F.col("full.etag"))
     dates = F.col("last_modified") == F.col("full.last_modified")
     orphan = F.col("canonical").isNull() | F.col("seen_at").isNull() | F.col("full").isNull()
-    outcome = F.when(F.col("status") == 200, "full").when(orphan, "orphan").when(tags.isNotNull(), F.when(tags, "resolved").otherwise("mismatch")).when(dates.isNotNull(), F.when(dates, "resolved").otherwise("mismatch")).otherwise("unvalidated")
-    own = F.map_filter("headers", lambda k, v: F.lower(k).isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter("full.headers", lambda k, v: ~F.array_contains(F.transform(F.map_keys(own), F.lower), F.lower(k))), own)
+    outcome = F.when(F.col("status") == 200, "full").when(F.coalesce(F.col("status") != 304, F.lit(True)), "other").when(orphan, "orphan")
+    outcome = outcome.when(tags.isNotNull(), F.when(tags, "resolved").otherwise("mismatch")).when(dates.isNotNull(), F.when(dates, "resolved").otherwise("mismatch")).otherwise("unvalidated")
+    sent = F.map_filter("headers", lambda k, v: F.lower(k).isin(*PERMITTED))
+    merged = F.map_concat(F.map_filter("full.headers", lambda k, v: ~F.array_contains(F.transform(F.map_keys(sent), F.lower), F.lower(k))), sent)
     taken = F.col("outcome").isin("resolved", "unvalidated")
     return found.withColumn("outcome", outcome).select(
         "capture_id", "canonical", "seen_at", "status", F.when(F.col("outcome") == "full", F.col("capture_id")).when(taken, F.col("full.capture_id")).alias("response_id"), "outcome", F.when(taken, merged).otherwise(F.col("headers")).alias("headers")
@@ -71,17 +75,23 @@ def resolve(captures: DataFrame, stash: Stash) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """Captures of the pages table, crawled in order of page_id.
+    """Captures of the pages table, crawled in order of page_id: each page in full, and again by its canonical address.
 
-    Each page is captured in full, and again as a not-modified revisit by its canonical address: its capture_id is
-    2 * page_id, the revisit's 2 * page_id + 1, and the revisit comes 1,000,000 ticks after the page. The etag is the
-    page's digest, weak on revisits; the revisit sends a date, an expiry and a length of its own.
+    A page's own capture_id is 2 * page_id, at time page_id; the second one's is 2 * page_id + 1, 1,000,000 ticks later.
+    The etag is the page's digest, the date its length. What the second capture is goes by page_id mod 9: 0 and 8 send
+    the etag marked weak, 1 another etag, 2 the date alone, 3 another date alone, 4 no validator, 5 no time, 6 isn't
+    found (404), and 7 comes before every page. Each sends a date, an expiry and a length of its own.
     """
-    etag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    text = F.coalesce("html", F.lit(""))
+    etag = F.concat(F.lit('"'), F.substring(F.md5(text), 1, 16), F.lit('"'))
+    changed = F.length(text).cast("string")
     head = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
-    day = F.col("page_id").cast("string")
-    full = pages.select((F.col("page_id") * 2).alias("capture_id"), "url", F.col("page_id").alias("seen_at"), F.lit(200).alias("status"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), head("Content-Type", "text/html", "Content-Length", F.length(F.coalesce("html", F.lit(""))).cast("string"), "Date", day).alias("headers"))
-    again = pages.select((F.col("page_id") * 2 + 1).alias("capture_id"), canonical_url(F.col("url")).alias("url"), (F.col("page_id") + 1_000_000).alias("seen_at"), F.lit(304).alias("status"), F.concat(F.lit("W/"), etag).alias("etag"), F.lit(None).cast("string").alias("last_modified"), head("Date", (F.col("page_id") + 1_000_000).cast("string"), "Expires", "never", "Content-Length", "0").alias("headers"))
+    page, kind = F.col("page_id"), F.pmod(F.col("page_id"), F.lit(9))
+    full = pages.select((page * 2).alias("capture_id"), "url", page.alias("seen_at"), F.lit(200).alias("status"), etag.alias("etag"), changed.alias("last_modified"), head("Content-Type", "text/html", "Content-Length", changed, "Date", page.cast("string")).alias("headers"))
+    time = F.when(kind == 5, None).when(kind == 7, -1 - page).otherwise(page + 1_000_000)
+    tag = F.when(kind == 1, F.lit('"other"')).when(kind.isin(2, 3, 4), None).otherwise(F.concat(F.lit("W/"), etag))
+    date = F.when(kind == 2, changed).when(kind == 3, F.lit("never"))
+    again = pages.select((page * 2 + 1).alias("capture_id"), canonical_url(F.col("url")).alias("url"), time.alias("seen_at"), F.when(kind == 6, 404).otherwise(304).alias("status"), tag.alias("etag"), date.alias("last_modified"), head("Date", (page + 1_000_000).cast("string"), "Expires", "never", "Content-Length", "0").alias("headers"))
     return full.unionByName(again)
 
 
@@ -92,7 +102,7 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("capture_id", "canonical", "seen_at", "status", "response_id", "outcome", sent.alias("headers"))
 
 
-#: DuckDB SQL of op8_revisits.
+#: DuckDB SQL of op8_revisits, by an as-of join.
 SQL = r"""
 WITH c AS (
   SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages
@@ -103,16 +113,18 @@ WITH c AS (
     || (CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END) ELSE u END AS canonical
   FROM (SELECT *, list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[^=&]*|ref|fbclid|gclid|sessionid)(?:=|$)')) AS q FROM c)
 ), f AS (
-  SELECT 2 * page_id AS capture_id, canonical, page_id AS seen_at, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS etag, length(coalesce(html, '')) AS n FROM k
+  SELECT page_id, 2 * page_id AS capture_id, canonical, page_id AS seen_at, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS etag, CAST(length(coalesce(html, '')) AS VARCHAR) AS n FROM k
+), g AS (
+  SELECT page_id % 9 AS kind, capture_id + 1 AS capture_id, canonical, CASE page_id % 9 WHEN 5 THEN NULL WHEN 7 THEN -1 - page_id ELSE seen_at + 1000000 END AS seen_at, seen_at + 1000000 AS sent, etag, n FROM f
 ), r AS (
-  SELECT g.capture_id + 1 AS capture_id, g.canonical, g.seen_at + 1000000 AS seen_at, g.etag, p.capture_id AS response_id, p.etag AS found, p.n
-  FROM f g ASOF LEFT JOIN (SELECT * FROM f) p ON g.canonical = p.canonical AND g.seen_at + 1000000 >= p.seen_at
+  SELECT g.*, p.capture_id AS response_id, p.etag AS found, p.n AS length, p.seen_at AS day, CASE
+    WHEN kind = 6 THEN 'other' WHEN g.canonical IS NULL OR g.seen_at IS NULL OR p.capture_id IS NULL THEN 'orphan'
+    WHEN kind = 1 THEN 'mismatch' WHEN kind = 2 THEN CASE WHEN g.n = p.n THEN 'resolved' ELSE 'mismatch' END WHEN kind = 3 THEN 'mismatch' WHEN kind = 4 THEN 'unvalidated'
+    WHEN g.etag = p.etag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM g ASOF LEFT JOIN f p ON g.canonical = p.canonical AND g.seen_at > p.seen_at
 )
-SELECT capture_id, canonical, seen_at, 200 AS status, capture_id AS response_id, 'full' AS outcome,
-  'content-length=' || n || ';content-type=text/html;date=' || seen_at AS headers FROM f
+SELECT capture_id, canonical, seen_at, 200 AS status, capture_id AS response_id, 'full' AS outcome, 'content-length=' || n || ';content-type=text/html;date=' || seen_at AS headers FROM f
 UNION ALL
-SELECT capture_id, canonical, seen_at, 304, CASE WHEN etag = found THEN response_id END,
-  CASE WHEN found IS NULL THEN 'orphan' WHEN etag = found THEN 'resolved' ELSE 'mismatch' END,
-  CASE WHEN etag = found THEN 'content-length=' || n || ';content-type=text/html;date=' || seen_at || ';expires=never'
-       ELSE 'content-length=0;date=' || seen_at || ';expires=never' END FROM r
+SELECT capture_id, canonical, seen_at, CASE kind WHEN 6 THEN 404 ELSE 304 END, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN response_id END, outcome,
+  CASE WHEN outcome IN ('resolved', 'unvalidated') THEN 'content-length=' || length || ';content-type=text/html;date=' || sent || ';expires=never' ELSE 'content-length=0;date=' || sent || ';expires=never' END FROM r
 """

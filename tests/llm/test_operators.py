@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,7 +418,11 @@ def test_revisits(spark):
         (7, None, 1, 304, None, None, {}), (8, "https://a.com/x", None, 304, None, None, {}), (9, "https://a.com/x", 50, 304, None, None, {}), (10, "ftp://b", 1, 200, None, None, {}),
     ]
     rows += [(100 + k, "https://hot.org/", 1000 + k, 304, '"h"', None, {}) for k in range(200)] + [(99, "https://hot.org/index.html", 999, 200, '"h"', None, {})]
-    got = {r.capture_id: r for r in revisits.resolve(spark.createDataFrame(rows, schema), stash(spark)).collect()}
+    rows += [(20, "https://gone.org", 1, 200, '"g"', None, {"A": "b"}), (21, "https://gone.org", 2, 404, '"g"', None, {"C": "d"}), (22, "https://gone.org", 3, None, '"g"', None, {}), (23, "https://gone.org", 3, 304, '"g"', None, {}), (23, "https://gone.org", 3, 304, '"g"', None, {})]
+    table = spark.createDataFrame(rows, schema).select("*", *[F.lit("own").alias(c) for c in ("part", "whole", "turn", "full", "outcome", "canonical")])
+    out = revisits.resolve(table, stash(spark)).collect()
+    got = {r.capture_id: r for r in out}
+    assert len(out) == len(rows) and [(got[k].outcome, got[k].response_id) for k in (21, 22, 23)] == [("other", None), ("other", None), ("resolved", 20)] and got[21].headers == {"C": "d"}
     assert [(got[k].outcome, got[k].response_id) for k in range(1, 11)] == [("full", 1), ("resolved", 1), ("full", 3), ("mismatch", None), ("resolved", 3), ("orphan", None), ("orphan", None), ("orphan", None), ("unvalidated", 3), ("full", 10)]
     assert got[2].headers == {"Content-Type": "text/html", "date": "2"}
     assert all(got[100 + k].response_id == 99 for k in range(200))
@@ -542,3 +547,25 @@ def test_one_of_each_group_of_rows(spark):
     assert minhash.one_of_each(table.limit(0), stash(spark)).count() == 0
     got = minhash.near_duplicates(table, stash(spark)).collect()
     assert sorted(r.component_id for r in got if r.doc_id == 7) == [2, 3]
+
+
+def sql_tables(folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["op2_secrets", "op4_topk", "op8_revisits"])
+def test_queries_by_sql(spark, name):
+    from candlewright.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    want = sql_tables(folder).execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, folder).toPandas()[list(want.columns)]
+    text = lambda frame: sorted(tuple("" if pd.isna(v) else str(int(v)) if isinstance(v, (int, float, np.integer)) else str(v) for v in row) for row in frame.itertuples(index=False))
+    assert text(got) == text(want)
+    if name == "op8_revisits":
+        assert set(got.outcome) == {"full", "resolved", "mismatch", "unvalidated", "orphan", "other"}
