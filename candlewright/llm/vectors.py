@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def clean_vectors(table: DataFrame) -> DataFrame:
-    """vec_id and the vector as array<double>, one row for each vec_id, without null, NaN or infinite components.
+def finite_vectors(table: DataFrame) -> DataFrame:
+    """row (a number of its own; store the table before it is used twice), vec_id and the vector as array<double>.
 
-    Rows with a null vec_id or vector go, and so do vectors that hold a null or non-finite component. Of rows that
-    repeat a vec_id the smallest vector stays, so identical repeats are one row. Other columns are ignored.
+    Rows with a null vec_id or vector go, and so do vectors that hold a null or non-finite component. Rows that repeat a
+    vec_id all stay. Other columns are ignored, whatever their names.
     """
     x = F.col("embedding").cast("array<double>")
     good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = table.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(good)
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
+    rows = table.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(good)
+
+
+def clean_vectors(table: DataFrame) -> DataFrame:
+    """finite_vectors with one row for each vec_id: of rows that repeat one the smallest vector stays."""
+    return finite_vectors(table).groupBy("vec_id").agg(F.min("x").alias("x"))
 
 
 def stack(column, width: int):

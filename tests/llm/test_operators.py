@@ -101,44 +101,60 @@ def test_near_groups_that_fill_each_others_lists(spark):
     assert [got[i].n_links for i in range(len(x))] == hit.sum(axis=1).tolist()
 
 
+def top_by_hand(x, ids, asked, k):
+    """Rows of (query_id, rank, vec_id, score), by whole numbers of any size."""
+    whole = [[int(v) for v in np.floor(1024 * np.asarray(r))] for r in x]
+    out = []
+    for q in asked:
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=False)), ids[c]) for c in range(len(x)) if c != q)
+        out += [(ids[q], n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def top_of(spark, rows, asked, **more):
+    v = stash(spark).put(vectors.finite_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("own")).withColumn("x", F.lit(1))), "vectors")
+    return sorted(map(tuple, topk.top_inner_products(v, v.where(asked), 10, stash(spark), **more).select("query_id", "rank", "vec_id", "score").collect()))
+
+
 def test_top_inner_products(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 6)) * rng.exponential(size=(300, 1))
     x[100:140] = x[100]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(600, None), (700, [float("inf")] * 6)]
-    v = vectors.clean_vectors(spark.createDataFrame(rows + rows[:20], "vec_id long, embedding array<double>"))
-    got = collections.defaultdict(list)
-    for r in topk.top_inner_products(v, v.where("vec_id % 20 = 0"), 10, stash(spark), query_block=4).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    whole = np.floor(1024 * x).astype(int)
-    for q in range(0, 300, 20):
-        s = whole @ whole[q]
-        order = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:10]
-        assert got[q] == [(i, s[i]) for i in order]
-    few = vectors.clean_vectors(spark.createDataFrame([(0, [1e300, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>"))
-    assert topk.top_inner_products(few, few, 10, stash(spark)).count() == 2
-    none = vectors.clean_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"))
-    assert topk.top_inner_products(none, none, 10, stash(spark)).count() == 0
+    ids = list(range(300))
+    ids[41:44] = [40, 40, 41]  # repeated ids are rows of their own, the query's too
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)] + [(600, None), (700, [float("inf")] * 6), (800, [None] * 6), (None, [1.0] * 6)]
+    want = top_by_hand(x, ids, [c for c in range(300) if ids[c] % 20 == 0], 10)
+    assert top_of(spark, rows, "vec_id % 20 = 0", block_bytes=2000) == want
+    assert top_of(spark, rows, "vec_id % 20 = 0") == want
+    assert top_of(spark, [(0, [1e300, 2.0]), (1, [1.0])], "true") == [(0, 1, 1, (1 << 63) - 1), (1, 1, 0, (1 << 63) - 1)]
+    assert top_of(spark, [], "true") == [] and top_of(spark, [(5, [1.0])], "true") == [] and top_of(spark, rows[:50], "false") == []
+
+
+def test_top_inner_products_beyond_double_precision(spark):
+    rng = np.random.default_rng(16)
+    x = (rng.integers(-(1 << 28), 1 << 28, size=(80, 3)) / 1024).astype(float)
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    want = [r for r in top_by_hand(x, range(80), range(0, 80, 8), 10)]
+    got = top_of(spark, rows, "vec_id % 8 = 0", block_bytes=400)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(g[3] == max(-(1 << 63), min((1 << 63) - 1, w[3])) for g, w in zip(got, want, strict=True))
 
 
 def test_top_inner_products_of_ranges_in_any_order(spark):
     rng = np.random.default_rng(6)
     far, mid, short = np.tile([10.0, 1000.0, 0.0, 0.0], (1100, 1)), np.tile([100.0, 0.0, 0.0, 0.0], (200, 1)), rng.uniform(-2, 2, size=(1500, 4))
     mid[:, 0] += np.arange(200) % 7
-    x = np.concatenate([far, mid, short])
-    v = vectors.clean_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
-    asked = vectors.clean_vectors(spark.createDataFrame([(9000, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>"))
+    x = np.concatenate([far, mid, short, [[1.0, 0.0, 0.0, 0.0]]])
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    want = top_by_hand(x, range(len(x)), [2800], 10)
     # files of short vectors are the largest, and one task reads all files by size
     conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.minPartitionNum": "1"}
     for key, value in conf.items():
         spark.conf.set(key, value)
     try:
-        got = [(r.vec_id, r.score) for r in topk.top_inner_products(v, asked, 10, stash(spark)).orderBy("rank").collect()]
+        assert top_of(spark, rows, "vec_id = 2800", block_bytes=4000) == want
     finally:
         for key in conf:
             spark.conf.unset(key)
-    s = np.floor(1024 * x).astype(int)[:, 0] * 1024
-    assert got == [(i, s[i]) for i in sorted(range(len(x)), key=lambda i: (-s[i], i))[:10]]
 
 
 # 2 and 7: spans
