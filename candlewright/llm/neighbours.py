@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import warnings
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewright.llm.common import Stash, connected_components
 from candlewright.llm.vectors import clean_vectors, stack
 
 GRAPH = "id long, nbr long, sim double"
+#: Hyperplanes that cut a component: up to 2 ** PLANES cells.
+PLANES = 24
 
 
 def _classes(vectors: DataFrame, stash: Stash) -> tuple[DataFrame, DataFrame, int]:
@@ -18,7 +18,8 @@ def _classes(vectors: DataFrame, stash: Stash) -> tuple[DataFrame, DataFrame, in
     wide = vectors.agg(F.max(F.size("x"))).first()[0] or 1
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     some = stash.put(vectors.where(F.exists("x", lambda v: v != 0)), "vectors")
-    members = stash.put(some.join(some.groupBy("x").agg(F.min("vec_id").alias("id")), "x").select("vec_id", "id"), "members")
+    names = stash.put(some.groupBy("x").agg(F.min("vec_id").alias("id")), "names")  # a table, so that Spark can split a hot vector's rows in the join
+    members = stash.put(some.join(names, "x").select("vec_id", "id"), "members")
 
     def task(batches):
         import numpy as np
@@ -88,13 +89,14 @@ def _tree(units: DataFrame, wide: int, seed: int, depth: int, k: int, block: int
 
 
 def _best(edges: DataFrame, lists: DataFrame | None, k: int) -> DataFrame:
-    """Each id's nearest distinct neighbours: as many as its list allows (k, or more where it was enlarged)."""
+    """Each id's nearest distinct neighbours: as many as its list allows (k, or 4k where it was enlarged); ties go to the
+    smaller neighbour. What is over 4k is cut before rows meet, so a hub's candidates never stand in one row or task."""
     own = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
-    room = F.lit(k)
-    if lists is not None:
-        own, room = own.join(lists, "id", "left"), F.coalesce("room", F.lit(k))
-    packed = own.groupBy("id").agg(F.reverse(F.sort_array(F.collect_list(F.struct("sim", (-F.col("nbr")).alias("m"))))).alias("all"), F.max(room).alias("room"))
-    return packed.select("id", "room", F.explode(F.slice("all", F.lit(1), F.col("room"))).alias("e")).select("id", (-F.col("e.m")).alias("nbr"), F.col("e.sim").alias("sim"), "room")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
+    if lists is None:
+        return own.withColumn("place", place).where(F.col("place") <= k).select("id", "nbr", "sim", F.lit(k).alias("room"))
+    few = own.withColumn("place", place).where(F.col("place") <= 4 * k)
+    return few.join(lists, "id", "left").withColumn("room", F.coalesce("room", F.lit(k))).where("place <= room").select("id", "nbr", "sim", "room")
 
 
 def _descend(graph: DataFrame, units: DataFrame, wide: int, k: int, turn: int) -> DataFrame:
@@ -169,40 +171,112 @@ def _around(placed: DataFrame, wide: int, stash: Stash) -> tuple[DataFrame, Data
 
 
 def _within(units: DataFrame, labels: DataFrame, threshold: float, wide: int, stash: Stash, block: int = 512) -> DataFrame:
-    """Links of each vector within its component, counted exactly in double precision: id, links (weighted), and near
-    pairs' least similarity as a check.
+    """Links of each vector within its component, counted exactly in double precision: id, links (weighted).
 
     Components are compared with their centre first. If every member is within half the threshold's angle of the
-    centre, all pairs are links and none is computed. The others are compared in blocks of members dealt by hash: each
-    pair of blocks is one row of work, that yields counts and no pairs.
+    centre, all pairs are links and none is computed. The others are cut into cells by hyperplanes through their own
+    centre, and cells into blocks, each with its centre and radius. Of two blocks of a component, compared as balls in
+    packs, either no pair can be a link, or all are, which is counted by weight alone, or the blocks meet: once, and both
+    sides' links are counted. So vectors travel only where blocks lie at the threshold from each other.
     """
     placed = stash.put(labels.join(units, "id").select("component", "id", "weight", "unit"), "placed")
-
-    _, away = _around(placed, wide, stash)
+    centres, away = _around(placed, wide, stash)
     sizes = away.groupBy("component").agg(F.max("radius").alias("r"), F.sum("weight").alias("w"), F.count("*").alias("m"))
     tight = 2 * F.col("r") <= F.acos(F.lit(threshold)) - 1e-6
-    sizes = stash.put(sizes.select("component", "w", "m", tight.alias("tight"), F.ceil(F.col("m") / block).cast("int").alias("n")), "sizes")
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / block))).cast("int")
+    sizes = stash.put(sizes.select("component", "w", "m", tight.alias("tight"), F.least(depth, F.lit(PLANES)).alias("depth")), "sizes")
     sure = away.join(sizes.where("tight"), "component").select("id", (F.col("w") - F.col("weight")).alias("links"))
+    blocks = _cells(away.join(sizes.where("not tight").select("component", "depth"), "component"), centres, wide, stash, block)
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        edge = np.arccos(threshold)
+        for batch in batches:
+            a, b, gain = [], [], []
+            for left, right, same in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                (p, x, r, v), (q, y, t, w) = ((np.array([e["block"] for e in side]), np.array([np.frombuffer(e["centre"], dtype="<f8") for e in side]), np.array([e["r"] for e in side]), np.array([e["w"] for e in side])) for side in (left, right))
+                angle, reach = np.arccos(np.clip(x @ y.T, -1, 1)), r[:, None] + t
+                pair = p[:, None] < q if same else np.ones((len(p), len(q)), dtype=bool)
+                whole = pair & (angle + reach <= edge - 1e-6)
+                i, j = np.nonzero(pair & ~whole & (angle - reach <= edge + 1e-6))
+                a += [p[i], p[whole.any(axis=1)], q[whole.any(axis=0)]]
+                b += [q[j], np.full(whole.any(axis=1).sum(), -1), np.full(whole.any(axis=0).sum(), -1)]
+                gain += [np.zeros(len(i), np.int64), (whole @ w)[whole.any(axis=1)], (v @ whole)[whole.any(axis=0)]]
+                if same:
+                    a, b, gain = [*a, p], [*b, p], [*gain, np.zeros(len(p), np.int64)]
+            columns = [np.concatenate(c or [np.zeros(0)]).astype(np.int64) for c in (a, b, gain)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "gain"])
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            ids, links = [], []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = (np.frombuffer(b"".join(r["unit"] for r in side), dtype="<f8").reshape(-1, wide) for side in (left, right))
-                near = x @ y.T >= threshold
-                near &= np.array([r["id"] for r in left])[:, None] != np.array([r["id"] for r in right])
-                ids.extend(r["id"] for r in left)
-                links.extend((near @ np.array([r["weight"] for r in right])).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64())], names=["id", "links"])
-
-    loose = away.join(sizes.where("not tight"), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    blocks = stash.put(loose.groupBy("component", "block", "n").agg(F.collect_list(F.struct("id", "weight", "unit")).alias("rows")), "blocks")
-    left = blocks.select("component", "n", F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-    pairs = left.join(blocks.select("component", "block", F.col("rows").alias("right")), ["component", "block"]).select("left", "right").mapInArrow(count, "id long, links long")
-    return sure.unionByName(pairs.groupBy("id").agg(F.sum("links").alias("links")))
+            ids, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for left, right, same in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                (p, v, x), (q, w, y) = ((np.array([e["id"] for e in side]), np.array([e["weight"] for e in side]), np.frombuffer(b"".join(e["unit"] for e in side), dtype="<f8").reshape(-1, wide)) for side in (left, right))
+                near = (x @ y.T >= threshold) & (p[:, None] != q)
+                ids.append(p)
+                links.append(near @ w)
+                if not same:
+                    ids.append(q)
+                    links.append(v @ near)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links))], names=["id", "links"])
+
+    packs = blocks.groupBy("component").agg(F.ceil(F.count("*") / 512).cast("int").alias("packs"))
+    balls = blocks.join(packs, "component").select("component", "packs", F.pmod(F.xxhash64("block"), F.col("packs")).cast("int").alias("pack"), F.struct("block", "centre", "r", "w").alias("ball"))
+    dealt = stash.put(balls.groupBy("component", "pack", "packs").agg(F.collect_list("ball").alias("balls")), "packs")
+    work = dealt.select("component", F.col("pack").alias("own"), F.col("balls").alias("left"), F.explode(F.sequence("pack", F.col("packs") - 1)).alias("pack"))
+    work = work.join(dealt.select("component", "pack", F.col("balls").alias("right")), ["component", "pack"]).select("left", "right", (F.col("own") == F.col("pack")).alias("same"))
+    pairs = stash.put(work.mapInArrow(compare, "a long, b long, gain long"), "block-pairs", arrow_rows=4)
+    side = lambda c, rows: blocks.select(F.col("block").alias(c), F.col("rows").alias(rows))
+    met = pairs.where("b >= 0").join(side("a", "left"), "a").join(side("b", "right"), "b").select("left", "right", (F.col("a") == F.col("b")).alias("same"))
+    counted = stash.put(met.mapInArrow(count, "id long, links long"), "counted", arrow_rows=8)
+    gains = pairs.where("b < 0").groupBy(F.col("a").alias("block")).agg(F.sum("gain").alias("links"))
+    whole = gains.join(blocks.select("block", F.col("rows.id").alias("ids")), "block").select(F.explode("ids").alias("id"), "links")
+    return sure.unionByName(counted.unionByName(whole).groupBy("id").agg(F.sum("links").alias("links")))
+
+
+def _cells(loose: DataFrame, centres: DataFrame, wide: int, stash: Stash, block: int) -> DataFrame:
+    """Blocks of some `block` near members of a component: component, block (a number), rows (id, weight, unit), their
+    centre, radius and weight. loose: component, depth (bits of the cell code in use), id, weight, unit."""
+
+    def code(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        planes = np.random.default_rng(23).standard_normal((wide, PLANES))
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<f8").reshape(-1, wide)
+            c = np.array(batch.column(5).to_pylist(), dtype=float).reshape(-1, wide)
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+            bits = ((x - c) @ planes > 0) & (np.arange(PLANES) < batch.column(1).to_numpy()[:, None])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(j) for j in (2, 3, 4)), pa.array(bits @ (1 << np.arange(PLANES, dtype=np.int64)))], names=["component", "id", "weight", "unit", "cell"])
+
+    def ball(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            centre, radius, weight = [], [], []
+            for rows in batch.column(1).to_pylist():
+                x = np.frombuffer(b"".join(r["unit"] for r in rows), dtype="<f8").reshape(-1, wide)
+                c = x.mean(axis=0)
+                c /= max(np.linalg.norm(c), 1e-300)
+                centre.append(c.astype("<f8").tobytes())
+                radius.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+                weight.append(sum(r["weight"] for r in rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(centre, pa.binary()), pa.array(radius, pa.float64()), pa.array(weight, pa.int64())], names=["component", "rows", "centre", "r", "w"])
+
+    coded = loose.join(centres, "component").select("component", "depth", "id", "weight", "unit", "centre").mapInArrow(code, "component long, id long, weight long, unit binary, cell long")
+    coded = stash.put(coded, "cells")
+    full = stash.put(coded.groupBy("component", "cell").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts")), "full")
+    parted = coded.join(full, ["component", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = parted.groupBy("component", "cell", "part").agg(F.collect_list(F.struct("id", "weight", "unit")).alias("rows")).select("component", "rows")
+    balls = rows.mapInArrow(ball, "component long, rows array<struct<id:long,weight:long,unit:binary>>, centre binary, r double, w long")
+    return stash.put(balls.withColumn("block", F.monotonically_increasing_id()), "blocks", arrow_rows=16)
 
 
 def _bridges(graph: DataFrame, labels: DataFrame, units: DataFrame, threshold: float, wide: int, stash: Stash, block: int = 512, pack: int = 1024) -> DataFrame:
@@ -299,7 +373,7 @@ def audit(units: DataFrame, labels: DataFrame, threshold: float, wide: int, samp
     return row[0] or 0, row[1] or 0
 
 
-def near_vectors(table: DataFrame, stash: Stash, threshold: float = 0.95, k: int = 10, trees: int = 4, block: int = 256, recall: float = 0.99, sample: int = 512, rounds: int = 6, seed: int = 5) -> DataFrame:
+def near_vectors(table: DataFrame, stash: Stash, threshold: float = 0.95, k: int = 10, trees: int = 4, block: int = 256, recall: float = 0.99, sample: int = 512, rounds: int = 12, seed: int = 5) -> DataFrame:
     """Link vectors with cosine >= threshold, in double precision, by NN-descent.
 
     table: vec_id long, embedding array. Returns vec_id, n_links (other vectors linked), component_id (smallest vec_id
@@ -311,7 +385,7 @@ def near_vectors(table: DataFrame, stash: Stash, threshold: float = 0.95, k: int
     components that a link of saturated vectors joins are joined by their balls (_bridges), and links are counted over
     all members of each component (_within), so no list length limits n_links. A sample is then compared with all
     vectors; while fewer than `recall` of its links lie within components, another tree and another local join are
-    added, up to `rounds`; a warning tells if the recall is still missed then.
+    added; if the recall is still missed after `rounds` of them, an error is raised and no links are returned.
 
     Null, zero, or non-finite vectors link with nothing and get their own id. Rows that repeat a vec_id are one
     vector, the smallest (clean_vectors). A null vec_id gives no row. An empty table gives no rows.
@@ -343,7 +417,7 @@ def near_vectors(table: DataFrame, stash: Stash, threshold: float = 0.95, k: int
         if found >= recall * total or turn >= rounds:
             break
     if found < recall * total:
-        warnings.warn(f"near_vectors: {found} of {total} sampled links lie within components after {turn} turns, under the recall of {recall}", stacklevel=2)
+        raise RuntimeError(f"near_vectors: {found} of {total} sampled links lie within components after {turn} turns, under the recall of {recall}")
     links = _within(units, labels, threshold, wide, stash)
     classes = members.groupBy("id").agg(F.count("*").alias("copies"))
     per = classes.join(labels, "id", "left").join(links, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

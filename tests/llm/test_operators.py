@@ -157,6 +157,26 @@ def test_top_inner_products_of_ranges_in_any_order(spark):
             spark.conf.unset(key)
 
 
+def test_links_within_loose_components(spark):
+    rng = np.random.default_rng(31)
+    walk = np.cumsum(rng.normal(scale=0.05, size=(900, 6)), axis=0) + rng.normal(size=6)  # a long chain: one component, few links each
+    x = np.concatenate([walk, np.repeat(walk[:5], 3, axis=0)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    units = spark.createDataFrame([(i, 1, bytearray(r.astype("<f8").tobytes())) for i, r in enumerate(x)], "id long, weight long, unit binary")
+    want = components(range(len(x)), zip(*np.nonzero(hit), strict=True))
+    labels = spark.createDataFrame([(int(i), int(c)) for i, c in want.items()], "id long, component long")
+    got = {r.id: r.links for r in neighbours._within(units, labels, 0.95, 6, stash(spark), block=16).collect()}
+    assert [got[i] for i in range(len(x))] == hit.sum(axis=1).tolist()
+
+
+def test_best_of_a_hub(spark):
+    rows = [(0, n, 1.0 - (n % 50) / 100) for n in range(1, 5000)] + [(0, 7, 0.2), (1, 2, 0.5), (1, 3, 0.5)]
+    out = neighbours._best(spark.createDataFrame(rows, "id long, nbr long, sim double"), spark.createDataFrame([(0, 40)], "id long, room int"), 10).collect()
+    assert sorted(r.nbr for r in out if r.id == 0) == [50 * (k + 1) for k in range(40)] and sorted(r.nbr for r in out if r.id == 1) == [2, 3]
+
+
 # 2 and 7: spans
 
 SECRETS = [
@@ -585,3 +605,67 @@ def test_queries_by_sql(spark, name):
     assert text(got) == text(want)
     if name == "op8_revisits":
         assert set(got.outcome) == {"full", "resolved", "mismatch", "unvalidated", "orphan", "other"}
+
+
+# files, padding, ties, long texts and repeated rows
+
+
+def test_token_file_footers(spark):
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(17)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 40)) for _ in range(4500)]
+    files = token_files.write_tokens(documents(spark, texts).coalesce(1), TOKENIZER, 2, stash(spark))
+    groups = 0
+    for path in files.inputFiles():
+        footer = pq.ParquetFile(urlparse(path).path).metadata
+        for g in range(footer.num_row_groups):
+            columns = {footer.row_group(g).column(c).path_in_schema.split(".")[0]: footer.row_group(g).column(c) for c in range(footer.num_columns)}
+            assert any("DICTIONARY" in e for e in columns["ids"].encodings)
+            assert any("DELTA" in e or "DICTIONARY" in e for e in columns["doc_id"].encodings)
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert sum(c.total_uncompressed_size for c in columns.values()) <= 2 * (32 << 20)
+            assert columns["ids"].total_compressed_size < 4 * sum(len(t.split()) for t in texts)  # less than plain numbers
+            groups += 1
+    assert groups >= 1
+    plan = token_files.read_metadata(files)._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in "".join(x for x in plan.split("ReadSchema")[1:])
+    plan = token_files.read_tokens(files, [7])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)], ReadSchema" in plan  # pushed to the scan
+
+
+def test_packing_pads_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = packing.pack_documents(docs, TOKENIZER).toPandas()
+    used = pieces.groupby("sequence_id").length.sum()
+    padded = used.map(lambda n: n if n & (n - 1) == 0 else 2048)
+    assert 1 - used.sum() / padded.sum() < 0.001
+
+
+def test_ties_and_repeated_rows(spark):
+    same = [float(v) for v in np.ones(6)]
+    rows = [(5, same), (3, same), (3, same), (9, [2 * v for v in same]), (4, [-v for v in same]), (None, same)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *[F.lit(1).alias(c) for c in ("id", "weight", "unit", "component", "x", "row")])
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neighbours.near_vectors(table, stash(spark)).collect())
+    assert got == [(3, 2, 3, True), (4, 0, 4, True), (5, 2, 3, False), (9, 2, 3, False)]
+    docs = documents(spark, ["a b c", None, "", "a b c"]).unionByName(documents(spark, ["a b c"])).select("*", *[F.lit(0.0).alias(c) for c in ("score", "held_out", "x", "y", "fold")])
+    labels = spark.createDataFrame([(0, 1), (0, 1), (3, 0), (None, 1)], "doc_id long, quality int").withColumn("score", F.lit(2))
+    out = quality.classify(docs, labels, stash(spark)).collect()
+    assert len(out) == 5 and len({r.score for r in out if r.doc_id in (0, 3)}) == 1 and all(0 <= r.score <= 1 for r in out)
+    repeated = documents(spark, ["secret=abcdefg1 me@ex.org"] * 2).withColumn("doc_id", F.lit(1).cast("long"))
+    assert [len(r.found) for r in secrets.scan(repeated, stash(spark)).collect()] == [1, 1]
+    assert [[s.kind for s in r.found] for r in pii.detect(repeated, stash(spark)).collect()] == [["email"], ["email"]]
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(29)
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choice(words, 200_000))
+    texts = [long, long + " end", "x" * 300_000, "y" * 300_000 + " z", None]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_duplicates(documents(spark, texts), stash(spark)).collect()}
+    assert [got[i][0] for i in range(5)] == [0, 0, 2, 3, 4] and got[0][1] > 190_000 and got[2][1] == 1
+    ids = plain_ids(["x" * 3000 + " " + "word " * 3000], 2)[0]
+    out = token_files.digest(token_files.write_tokens(documents(spark, ["x" * 3000 + " " + "word " * 3000]), TOKENIZER, 2, stash(spark))).collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in out] == [(len(ids), zlib.crc32(ids.tobytes()))]
