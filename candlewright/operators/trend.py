@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.plans.dialect import SPARK, Dialect, run
+from candlewright.plans.dialect import DUCK, SPARK, Dialect, run
 from candlewright.sources.bars import valid
 
 SCALE = 1_000_000
@@ -31,15 +31,19 @@ class Average:
 
 
 class SuperTrend:
-    """Bands of three average true ranges (Wilder, 10) around the middle; they ratchet, and a close across flips."""
+    """One trailing stop, three average true ranges (Wilder, 10) from the middle, in whole prices.
+
+    The first bar starts it, above or below by its close against the middle. While a trend holds the stop only moves with
+    it; a close beyond the stop turns the trend and takes the other side's fresh band.
+    """
 
     def __init__(self, n: int = 10, times: int = 3):
         self.n, self.times, self.folded = n, times, 0
-        self.atr = self.upper = self.lower = self.close = None
+        self.atr = self.level = self.close = None
         self.up = True
 
     def stop(self) -> int | None:
-        return None if self.folded < self.n else self.lower if self.up else self.upper
+        return None if self.folded < self.n else self.level
 
     def fold(self, h: int, lo: int, c: int) -> None:
         if self.atr is None:
@@ -47,16 +51,16 @@ class SuperTrend:
         else:
             true = max(h - lo, abs(h - self.close), abs(lo - self.close)) * SCALE
             self.atr += (true - self.atr) // self.n
-        middle = (h + lo) * SCALE // 2
-        upper, lower = middle + self.times * self.atr, middle - self.times * self.atr
-        if self.upper is not None:
-            upper = min(upper, self.upper) if self.close * SCALE <= self.upper else upper
-            lower = max(lower, self.lower) if self.close * SCALE >= self.lower else lower
-            if c * SCALE > self.upper:
-                self.up = True
-            elif c * SCALE < self.lower:
-                self.up = False
-        self.upper, self.lower, self.close = upper, lower, c
+        middle, band = (h + lo) // 2, self.times * (self.atr // SCALE)
+        if self.level is None:
+            self.up = c >= middle
+            self.level = middle - band if self.up else middle + band
+        elif (c < self.level) if self.up else (c > self.level):
+            self.up = not self.up
+            self.level = middle - band if self.up else middle + band
+        else:
+            self.level = max(self.level, middle - band) if self.up else min(self.level, middle + band)
+        self.close = c
         self.folded += 1
 
 
@@ -112,13 +116,13 @@ def states(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 
 def trend_conditions() -> dict[str, str]:
     near = lambda v, w: f"(CASE WHEN {v} IS NOT NULL THEN {w} > 0 AND abs(c - {v}) * 1000 <= 10 * {w} END)"
-    sides = {"ema20": f"c * {SCALE} {{}} ema20", "ema200": f"c * {SCALE} {{}} ema200", "supertrend": f"c * {SCALE} {{}} stop"}
+    sides = {"ema20": f"c * {SCALE} {{}} ema20", "ema200": f"c * {SCALE} {{}} ema200", "supertrend": "c {} stop"}
     out = {f"close_{w}_{n}": f"({e.format(s)})" for n, e in sides.items() for w, s in (("above", ">"), ("below", "<"))}
     out |= {"ema20_above_ema200": "(ema20 > ema200)", "ema20_below_ema200": "(ema20 < ema200)", "bos_bullish": "(broke = 1 AND NOT changed)", "bos_bearish": "(broke = -1 AND NOT changed)", "choch_bullish": "(broke = 1 AND changed)", "choch_bearish": "(broke = -1 AND changed)"}
     return out | {"structure_up_in_force": "(structure = 1)", "structure_down_in_force": "(structure = -1)", "near_swing_high": near("swing_high", "high_span"), "near_swing_low": near("swing_low", "low_span")}
 
 
-TREND_SIDES = {n: (f"c * {SCALE} > {x}", f"c * {SCALE} < {x}") for n, x in (("ema20", "ema20"), ("ema200", "ema200"), ("supertrend", "stop"))}
+TREND_SIDES = {n: (f"c * {k} > {x}", f"c * {k} < {x}") for n, x, k in (("ema20", "ema20", SCALE), ("ema200", "ema200", SCALE), ("supertrend", "stop", 1))}
 
 
 def ema_sql(d: Dialect, n: int = 20, minutes: int = 60) -> str:
@@ -127,3 +131,31 @@ def ema_sql(d: Dialect, n: int = 20, minutes: int = 60) -> str:
     return f"""WITH RECURSIVE n AS (SELECT series, us, c, row_number() OVER (PARTITION BY series ORDER BY us) AS i FROM ({valid(d, minutes)}) v),
 r AS (SELECT series, i, c * CAST({SCALE} AS BIGINT) AS ema FROM n WHERE i = 1 UNION ALL SELECT c.series, c.i, r.ema + {step} AS ema FROM r JOIN n c ON c.series = r.series AND c.i = r.i + 1)
 SELECT n.series, n.us, CASE WHEN n.i > {n} THEN r.ema END AS ema FROM n LEFT JOIN r ON n.series = r.series AND n.i = r.i + 1"""
+
+
+def states_sql(minutes: int = 60) -> str:
+    """The states at each bar in the comparison engine's SQL, for comparison: averages, range and stop by recursion, swings
+    and breaks by windows, with no fold."""
+    d = DUCK
+    step = lambda n: d.fdiv(f"(n.c * {SCALE} - r.e{n}) * 2", str(n + 1))
+    true = "greatest(n.h - n.l, abs(n.h - r.c), abs(n.l - r.c))"
+    atr = f"(r.atr + {d.fdiv(f'{true} * {SCALE} - r.atr', '10')})"
+    band, middle = f"(3 * {d.fdiv(atr, str(SCALE))})", "((n.h + n.l) // 2)"
+    turn = "CASE WHEN r.up THEN n.c < r.stop ELSE n.c > r.stop END"
+    stop = f"CASE WHEN r.up <> ({turn}) THEN CASE WHEN {turn} THEN {middle} - {band} ELSE greatest(r.stop, {middle} - {band}) END ELSE CASE WHEN {turn} THEN {middle} + {band} ELSE least(r.stop, {middle} + {band}) END END"
+    around = "max(h) OVER five - min(l) OVER five"
+    peak = lambda x, op: " AND ".join(f"{x}2 {op} {y}" for y in (f"{x}1", f"{x}3", f"{x}4", x))
+    lags = ", ".join(f"lag({x}, {k}) OVER s AS {x}{k}" for x in "hl" for k in range(1, 5))
+    latch = lambda x: f"last_value({x} IGNORE NULLS) OVER before"
+    return f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY us) AS i, CAST(row_number() OVER (PARTITION BY series, day ORDER BY us) AS INTEGER) AS rn FROM ({valid(d, minutes)}) v),
+r AS (SELECT series, i, c, c * CAST({SCALE} AS BIGINT) AS e20, c * CAST({SCALE} AS BIGINT) AS e200, (h - l) * CAST({SCALE} AS BIGINT) AS atr, c >= (h + l) // 2 AS up,
+    CASE WHEN c >= (h + l) // 2 THEN (h + l) // 2 - 3 * (h - l) ELSE (h + l) // 2 + 3 * (h - l) END AS stop FROM n WHERE i = 1
+  UNION ALL SELECT n.series, n.i, n.c, r.e20 + {step(20)}, r.e200 + {step(200)}, {atr}, r.up <> ({turn}), {stop.replace('r.up <> (' + turn + ')', '(r.up <> (' + turn + '))')} FROM r JOIN n ON n.series = r.series AND n.i = r.i + 1),
+w AS (SELECT *, {lags}, {around} AS span FROM n WINDOW s AS (PARTITION BY series ORDER BY us), five AS (PARTITION BY series ORDER BY us ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, CASE WHEN i >= 5 AND {peak('h', '>')} THEN i END AS top, CASE WHEN i >= 5 AND {peak('l', '<')} THEN i END AS bottom FROM w),
+g AS (SELECT *, {latch('CASE WHEN top IS NOT NULL THEN h2 END')} AS swing_high, {latch('CASE WHEN bottom IS NOT NULL THEN l2 END')} AS swing_low, {latch('CASE WHEN top IS NOT NULL THEN span END')} AS high_span,
+    {latch('CASE WHEN bottom IS NOT NULL THEN span END')} AS low_span, {latch('top')} AS high_at, {latch('bottom')} AS low_at FROM f WINDOW before AS (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, CASE WHEN c > swing_high AND c < swing_low THEN sign(high_at - low_at) WHEN c > swing_high THEN 1 WHEN c < swing_low THEN -1 ELSE 0 END AS broke FROM g),
+k AS (SELECT *, coalesce(last_value(CASE WHEN broke <> 0 THEN broke END IGNORE NULLS) OVER (PARTITION BY series ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS structure FROM b)
+SELECT k.series, k.us, k.day, k.rn, k.c, CASE WHEN k.i > 20 THEN r.e20 END AS ema20, CASE WHEN k.i > 200 THEN r.e200 END AS ema200, CASE WHEN k.i > 10 THEN r.stop END AS stop,
+  k.structure, k.broke, k.broke <> 0 AND k.structure = -k.broke AS changed, swing_high, swing_low, high_span, low_span FROM k LEFT JOIN r ON r.series = k.series AND r.i = k.i - 1"""
