@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candlewright.functions.normal import cdf
 from candlewright.plans.dialect import Dialect
 
 #: Fixed values, in ten-millionths of the notional: tax on the seller's premium from each day on, exchange charge from
@@ -60,31 +61,25 @@ def trips(d: Dialect) -> str:
   CAST(round({unit} * (1 + l_discount - l_tax)) AS BIGINT) AS sell, CAST(l_quantity AS BIGINT) * 25 AS quantity FROM {{lineitem}}"""
 
 
-def cdf(x: str) -> str:
-    """Normal distribution function by Abramowitz and Stegun's 26.2.17, accurate to 7.5e-8."""
-    a = f"abs({x})"
-    k = f"(1.0E0 / (1.0E0 + 0.2316419E0 * {a}))"
-    tail = f"(exp(-{a} * {a} / 2) / 2.5066282746310002E0 * {k} * (0.319381530E0 + {k} * (-0.356563782E0 + {k} * (1.781477937E0 + {k} * (-1.821255978E0 + {k} * 1.330274429E0)))))"
-    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END)"
-
-
 def greeks(d: Dialect, options: str) -> str:
-    """Price, delta, gamma, vega, theta and rho: options has option_id, spot, strike, years, rate, vol (doubles), call.
+    """Price, delta, gamma, vega, theta and rho: options has option_id, spot, strike, years, rate, carry, vol (doubles), call.
 
-    Spot, strike, years and vol must be positive, or all results are null."""
+    `carry` is the yield of holding the spot (0: none). Spot, strike, years and vol must be positive, or all results are
+    null."""
     pdf = "(exp(-d1 * d1 / 2) / 2.5066282746310002E0)"
     sign = "(CASE WHEN call THEN 1 ELSE -1 END)"
     n1, n2 = cdf(f"({sign} * d1)"), cdf(f"({sign} * d2)")
-    df = "exp(-rate * years)"
-    return f"""SELECT option_id, round({sign} * (spot * {n1} - strike * {df} * {n2}), 4) AS price, round({sign} * {n1}, 5) AS delta, round({pdf} / (spot * vol * sqrt(years)), 7) AS gamma, round(spot * {pdf} * sqrt(years), 4) AS vega,
-  round(-spot * {pdf} * vol / (2 * sqrt(years)) - {sign} * rate * strike * {df} * {n2}, 4) AS theta, round({sign} * strike * years * {df} * {n2}, 4) AS rho FROM (
-  SELECT *, CASE WHEN ok THEN (ln(spot / strike) + (rate + vol * vol / 2) * years) / (vol * sqrt(years)) END AS d1, CASE WHEN ok THEN (ln(spot / strike) + (rate - vol * vol / 2) * years) / (vol * sqrt(years)) END AS d2 FROM (
+    df, cf = "exp(-rate * years)", "exp(-carry * years)"
+    drift = lambda s: f"CASE WHEN ok THEN (ln(spot / strike) + (rate - carry {s} vol * vol / 2) * years) / (vol * sqrt(years)) END"
+    return f"""SELECT option_id, round({sign} * (spot * {cf} * {n1} - strike * {df} * {n2}), 4) AS price, round({sign} * {cf} * {n1}, 5) AS delta, round({cf} * {pdf} / (spot * vol * sqrt(years)), 7) AS gamma, round(spot * {cf} * {pdf} * sqrt(years), 4) AS vega,
+  round(-spot * {cf} * {pdf} * vol / (2 * sqrt(years)) - {sign} * rate * strike * {df} * {n2} + {sign} * carry * spot * {cf} * {n1}, 4) AS theta, round({sign} * strike * years * {df} * {n2}, 4) AS rho FROM (
+  SELECT *, {drift('+')} AS d1, {drift('-')} AS d2 FROM (
     SELECT *, (spot > 0 AND strike > 0 AND years > 0 AND vol > 0) AS ok FROM ({options}) o) p) q"""
 
 
 def options(d: Dialect) -> str:
     """Options made of part: spot from the retail price, strike at the nearest fifty, half a year or more, a fifth to two thirds of volatility."""
-    return "SELECT p_partkey AS option_id, p_retailprice * 10 AS spot, 50 * floor(p_retailprice * 10 / 50 + 0.5E0) * (1 + (p_size % 7 - 3) * 0.02E0) AS strike, (180 + p_size * 10) / 365.0E0 AS years, 0.065E0 AS rate, 0.2E0 + p_size / 100.0E0 AS vol, p_partkey % 2 = 0 AS call FROM {part}"
+    return "SELECT p_partkey AS option_id, p_retailprice * 10 AS spot, 50 * floor(p_retailprice * 10 / 50 + 0.5E0) * (1 + (p_size % 7 - 3) * 0.02E0) AS strike, (180 + p_size * 10) / 365.0E0 AS years, 0.065E0 AS rate, (p_size % 3) * 0.01E0 AS carry, 0.2E0 + p_size / 100.0E0 AS vol, p_partkey % 2 = 0 AS call FROM {part}"
 
 
 def strikes(d: Dialect) -> str:
@@ -93,40 +88,105 @@ def strikes(d: Dialect) -> str:
     return f"SELECT event_id, {atm} AS atm, {atm} + 10000 AS call_otm, {atm} - 10000 AS call_itm, CASE WHEN px > {atm} THEN 'itm' WHEN px < {atm} THEN 'otm' ELSE 'atm' END AS call_moneyness FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS px FROM {{events}} WHERE value IS NOT NULL) e"
 
 
-def price_one(spot, strike, years, rate, vol, call):
+def price_one(spot, strike, years, rate, carry, vol, call):
     import math
 
     import numpy as np
 
     phi = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), otypes=[float])
-    d1 = (np.log(spot / strike) + (rate + vol * vol / 2) * years) / (vol * np.sqrt(years))
+    d1 = (np.log(spot / strike) + (rate - carry + vol * vol / 2) * years) / (vol * np.sqrt(years))
     s = np.where(call, 1.0, -1.0)
-    return s * (spot * phi(s * d1) - strike * np.exp(-rate * years) * phi(s * (d1 - vol * np.sqrt(years))))
+    return s * (spot * np.exp(-carry * years) * phi(s * d1) - strike * np.exp(-rate * years) * phi(s * (d1 - vol * np.sqrt(years))))
 
 
-def implied_volatility(quotes: DataFrame) -> DataFrame:
-    """quotes (spot, strike, years, rate, price, call and any other columns) with `implied` and `refused`.
+def implied_volatility(quotes: DataFrame, tick: float = 1e-4) -> DataFrame:
+    """quotes (spot, strike, years, rate, carry, price, call and any other columns) with `implied` and `refused`.
 
-    A price outside its no-arbitrage bounds is refused. Within, 64 halvings of [1e-6, 5] per batch; a price that no
-    volatility in it gives is refused too. Nulls are refused."""
+    A price outside its no-arbitrage bounds is refused. Within, at most 8 Newton steps from a starting guess of a half, in
+    [1e-6, 5]; what hasn't settled is halved 64 times. A price that no volatility in it gives is refused, and so is one
+    where a change of the price by half a `tick` moves the volatility by more than a hundredth: the quote says too
+    little. Nulls are refused."""
 
     def solve(batches):
         import numpy as np
 
         for pdf in batches:
-            x = {c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("spot", "strike", "years", "rate", "price")}
+            x = {c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("spot", "strike", "years", "rate", "carry", "price")}
             call = pdf["call"].fillna(False).to_numpy(dtype=bool)
             with np.errstate(all="ignore"):
-                floor = np.maximum(0, np.where(call, 1, -1) * (x["spot"] - x["strike"] * np.exp(-x["rate"] * x["years"])))
-                roof = np.where(call, x["spot"], x["strike"] * np.exp(-x["rate"] * x["years"]))
+                held, owed = x["spot"] * np.exp(-x["carry"] * x["years"]), x["strike"] * np.exp(-x["rate"] * x["years"])
+                floor, roof = np.maximum(0, np.where(call, 1, -1) * (held - owed)), np.where(call, held, owed)
                 ok = (x["spot"] > 0) & (x["strike"] > 0) & (x["years"] > 0) & (x["price"] > floor) & (x["price"] < roof)
-                low, high = np.full(len(pdf), 1e-6), np.full(len(pdf), 5.0)
+                safe = [np.where(ok, x[c], 1.0) for c in ("spot", "strike", "years", "rate", "carry")]
+                value = lambda vol: price_one(*safe, vol, call)
+
+                def vega(vol):
+                    d1 = (np.log(safe[0] / safe[1]) + (safe[3] - safe[4] + vol * vol / 2) * safe[2]) / (vol * np.sqrt(safe[2]))
+                    return safe[0] * np.exp(-safe[4] * safe[2]) * np.exp(-d1 * d1 / 2) / 2.5066282746310002 * np.sqrt(safe[2])
+
+                vol, low, high = np.full(len(pdf), 0.5), np.full(len(pdf), 1e-6), np.full(len(pdf), 5.0)
+                settled = np.zeros(len(pdf), dtype=bool)
+                for _ in range(8):
+                    off = value(vol) - x["price"]
+                    low, high = np.where(off < 0, np.maximum(low, vol), low), np.where(off >= 0, np.minimum(high, vol), high)
+                    step = off / vega(vol)
+                    settled |= np.abs(step) < 1e-12
+                    moved = vol - step
+                    vol = np.where(settled, vol, np.where((moved > low) & (moved < high), moved, (low + high) / 2))
                 for _ in range(64):
-                    mid = (low + high) / 2
-                    below = price_one(*(np.where(ok, x[c], 1.0) for c in ("spot", "strike", "years", "rate")), mid, call) < x["price"]
-                    low, high = np.where(below, mid, low), np.where(below, high, mid)
-                ok &= (mid > 2e-6) & (mid < 4.999)
-            yield pdf.assign(implied=pd.Series(np.where(ok, mid, np.nan), index=pdf.index), refused=~ok)
+                    if (settled | ~ok).all():
+                        break
+                    vol = np.where(settled, vol, (low + high) / 2)
+                    below = value(vol) < x["price"]
+                    low, high = np.where(below & ~settled, vol, low), np.where(~below & ~settled, vol, high)
+                ok &= (vol > 2e-6) & (vol < 4.999) & (0.5 * tick <= 0.01 * vega(vol))
+            yield pdf.assign(implied=pd.Series(np.where(ok, vol, np.nan), index=pdf.index), refused=~ok)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in quotes.schema.fields)
     return quotes.mapInPandas(solve, f"{fields}, implied double, refused boolean").withColumn("implied", F.when(~F.col("refused"), F.col("implied")))
+
+
+def implied_sql(d: Dialect, quotes: str, tick: float = 1e-4, rounds: int = 60) -> str:
+    """The implied volatility by halving alone, in a recursive query, for comparison."""
+    sign = "(CASE WHEN call THEN 1 ELSE -1 END)"
+    held, owed = "(spot * exp(-carry * years))", "(strike * exp(-rate * years))"
+    d1 = lambda v: f"((ln(spot / strike) + (rate - carry + {v} * {v} / 2) * years) / ({v} * sqrt(years)))"
+    halved = f"SELECT r.option_id, r.n, r.low, r.high, (r.low + r.high) / 2 AS mid, q.* EXCLUDE (option_id) FROM r JOIN q ON q.option_id = r.option_id WHERE r.n < {rounds}"
+    turned = f"SELECT *, {sign} * {d1('mid')} AS a, {sign} * ({d1('mid')} - mid * sqrt(years)) AS b FROM ({halved}) h"
+    worth = f"SELECT option_id, n, low, high, mid, {sign} * ({held} * {cdf('a')} - {owed} * {cdf('b')}) < price AS under FROM ({turned}) t"
+    return f"""WITH RECURSIVE q AS (SELECT *, (spot > 0 AND strike > 0 AND years > 0 AND price > greatest(0, {sign} * ({held} - {owed})) AND price < CASE WHEN call THEN {held} ELSE {owed} END) AS bounded FROM ({quotes}) x),
+r AS (SELECT option_id, 0 AS n, 1e-6::DOUBLE AS low, 5.0::DOUBLE AS high FROM q WHERE bounded
+  UNION ALL SELECT option_id, n + 1, CASE WHEN under THEN mid ELSE low END, CASE WHEN under THEN high ELSE mid END FROM ({worth}) w),
+f AS (SELECT q.*, (low + high) / 2 AS found FROM q LEFT JOIN r ON r.option_id = q.option_id AND r.n = {rounds}),
+k AS (SELECT *, {held} * exp(-power({d1('found')}, 2) / 2) / 2.5066282746310002E0 * sqrt(years) AS vega FROM f)
+SELECT option_id, vol, CASE WHEN bounded AND found > 2e-6 AND found < 4.999 AND {0.5 * tick!r} <= 0.01 * vega THEN round(found, 4) END AS implied, NOT coalesce(bounded AND found > 2e-6 AND found < 4.999 AND {0.5 * tick!r} <= 0.01 * vega, false) AS refused FROM k"""
+
+
+#: Contract sizes from each day on (none known before the first), weekly and monthly expiry weekdays from
+#: each day on (Monday is 0; None: withdrawn).
+LOTS = {
+    "NIFTY": (("2021-01-01", 75), ("2021-07-29", 50), ("2024-04-26", 25), ("2024-11-20", 75), ("2026-01-01", 65)),
+    "BANKNIFTY": (("2021-01-01", 25), ("2023-06-30", 15), ("2024-11-20", 30), ("2025-07-01", 35), ("2025-12-30", 30)),
+}
+WEEKLY = {"NIFTY": (("0001-01-01", 3), ("2025-09-02", 1)), "BANKNIFTY": (("0001-01-01", 3), ("2023-09-04", 2), ("2024-11-14", None))}
+MONTHLY = {"NIFTY": (("0001-01-01", 3), ("2025-09-02", 1)), "BANKNIFTY": (("0001-01-01", 3), ("2024-03-01", 2), ("2025-01-01", 3), ("2025-09-02", 1))}
+
+
+def dated(day: str, table: tuple) -> str:
+    """regime, with null where the value in force is none."""
+    return "(CASE " + " ".join(f"WHEN {day} >= DATE '{start}' THEN {'NULL' if v is None else v}" for start, v in reversed(table)) + " END)"
+
+
+def contracts(d: Dialect) -> str:
+    """For each order date (11,000 days later) and underlying: the contract size in force, what three lots hold and cost,
+    and the next weekly and monthly expiry, a day that expires counting as its own."""
+    day = f"{d.plus_days('CAST(o_orderdate AS DATE)', '11000')}"
+    number = lambda x: d.day_number(x)
+    parts = []
+    for name in LOTS:
+        weekly, lot = dated("day", WEEKLY[name]), dated("day", LOTS[name])
+        ahead = d.pmod(f"{weekly} - {d.pmod(number('day') + ' + 3', '7')}", "7")
+        last = lambda first: d.plus_days(d.last_day(first), "-" + d.pmod(f"{d.pmod(number(d.last_day(first)) + ' + 3', '7')} - {dated(first, MONTHLY[name])}", "7"))  # noqa: B023, E731
+        this, later = last("day"), last(d.plus_days(d.last_day("day"), "1"))
+        parts.append(f"SELECT o_orderkey, '{name}' AS underlying, {d.text('day')} AS day, {lot} AS lot, 3 * {lot} AS quantity, 3 * {lot} * price AS notional, CASE WHEN {lot} IS NULL THEN 'unverified' ELSE 'ok' END AS verdict, CASE WHEN {weekly} IS NOT NULL THEN {d.text(d.plus_days('day', ahead))} END AS weekly, {d.text(f'CASE WHEN {this} >= day THEN {this} ELSE {later} END')} AS monthly FROM t")
+    return f"WITH t AS (SELECT o_orderkey, {day} AS day, CAST(round(o_totalprice) AS BIGINT) AS price FROM {{orders}}) " + " UNION ALL ".join(parts)
