@@ -27,16 +27,17 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
         "page_by_high": series.page, "page_by_time": lambda d: series.page(d, "us", False), "extremes": series.extremes, "coverage": series.coverage, "sessions": series.sessions, "as_of_levels": series.as_of_levels, "price_series": series.price_series, "bar_digests": series.digests, "without_gap_days": series.without_gap_days,
     }
     edge = lambda d: outcomes.edges(d, *CHOSEN)
-    out |= {"forward": outcomes.forward, "mine_edges": edge, "lenses": lambda d: outcomes.lenses(d, edge(d)), "composite": lambda d: outcomes.composite(d, edge(d)), "significance": lambda d: outcomes.significance(d, edge(d))}
+    out |= {"forward": outcomes.forward, "mine_edges": edge, "lenses": lambda d: outcomes.lenses(d, edge(d)), "composite": lambda d: outcomes.composite(d, trades.totals(d, *CHOSEN)), "significance": lambda d: outcomes.significance(d, edge(d))}
     out["excursion_ladder"] = lambda d: outcomes.excursion_ladder(d, *CHOSEN)
     for k in (1, 2, 3):
         out[f"mine_sets_{k}"] = lambda d, k=k: mining.sets_sql(d, *CHOSEN, k, 40)
-    for n, f in (("candle_stop", trades.candle_stop), ("exit_grid", trades.exit_grid), ("drawdown", trades.drawdown), ("streaks", trades.streaks), ("stability", trades.stability), ("pooled", trades.pooled), ("consistency", trades.consistency), ("trade_signals", trades.signals)):
+    for n, f in (("candle_stop", trades.candle_stop), ("exit_grid", trades.exit_grid), ("drawdown", trades.drawdown), ("streaks", trades.streaks), ("stability", trades.stability), ("trade_periods", trades.trade_periods), ("pooled", trades.pooled), ("consistency", trades.consistency), ("trade_signals", trades.signals)):
         out[n] = lambda d, f=f: f(d, *CHOSEN)
     for n in ("summary", "verdicts", "pool_order", "comparison", "placement", "trailing", "stamped"):
         out[f"strategy_{n}"] = lambda d, n=n: getattr(portfolio, n)(d, *CHOSEN)
+    out |= {"square_off": bars.square_off, "forward_minutes": lambda d: outcomes.forward(d, 1, 3)}
     out |= {"aligned": portfolio.aligned, "resolved_names": portfolio.resolved_names}
-    out |= {"trip_charges": lambda d: finance.charges(d, finance.trips(d)), "greeks": lambda d: finance.greeks(d, finance.options(d)), "strikes": finance.strikes}
+    out |= {"trip_charges": lambda d: finance.charges(d, finance.trips(d)), "greeks": lambda d: finance.greeks(d, finance.options(d)), "strikes": finance.strikes, "contracts": finance.contracts}
     out |= reference_queries()
     out["expressions"] = lambda d: expressions.summary(d, "day_levels", EXPRESSIONS)
     out["expression_search"] = lambda d: expressions.search(d, *CHOSEN, 3, 60)
@@ -77,10 +78,10 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     return {
         "ema20": (lambda s, d: trend.states(s, d).selectExpr("series", "us", "ema20 AS ema"), trend.ema_sql(DUCK)),
         "ema200": (lambda s, d: trend.states(s, d).selectExpr("series", "us", "ema200 AS ema"), trend.ema_sql(DUCK, 200)),
-        "conditions_trend": (lambda s, d: trend.states(s, d).selectExpr("series", "us", bits), None),
-        "crossings_trend": (lambda s, d: s.sql(crossed.replace("({states})", "{states}"), states=trend.states(s, d)), None),
+        "conditions_trend": (lambda s, d: trend.states(s, d).selectExpr("series", "us", bits), f"SELECT series, us, {bits} FROM ({trend.states_sql()}) s"),
+        "crossings_trend": (lambda s, d: s.sql(crossed.replace("({states})", "{states}"), states=trend.states(s, d)), conditions.crossings(DUCK, trend.states_sql(), "series, us, day", trend.TREND_SIDES)),
         "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")), None),
-        "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "implied", "refused"), None),
+        "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "round(implied, 4) AS implied", "refused"), finance.implied_sql(DUCK, f"SELECT o.*, g.price FROM ({finance.options(DUCK)}) o JOIN ({finance.greeks(DUCK, finance.options(DUCK))}) g ON o.option_id = g.option_id")),
         "mine_ladder": (lambda s, d: mining.finished(mining.ladder(run(s, d, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({outcomes.hits(SPARK, *CHOSEN)}) h"), 40)).selectExpr("k", "array_join(items, ',') AS items", "hits"), None),
         "stream_bars": (streams.replay, streams.replay_sql(DUCK)),
         "scheduled": (lambda s, d: portfolio.scheduled(s, d, *CHOSEN), portfolio.scheduled_sql(DUCK, *CHOSEN)),
@@ -96,5 +97,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: partial(_query, make) for name, make in plans().items()} | {name: q for name, (q, _) in folds().items()}
 
 
+def separate() -> dict[str, str]:
+    """SQL of plans that is written apart from them, in another form."""
+    return {"forward": outcomes.forward_sql(), "forward_minutes": outcomes.forward_sql(1, 3)}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from events, ten conditions, their edge over forward outcomes. The run is warm after five sessions here: the
+    smallest scale has fewer than two hundred bars a series."""
+    return run(spark, sf_dir, outcomes.edges(SPARK, *CHOSEN, warm="session > 5"))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: duck(make(DUCK)) for name, make in plans().items()} | {name: duck(text) for name, (_, text) in folds().items() if text}
+    return {name: duck(make(DUCK)) for name, make in plans().items()} | {name: duck(text) for name, text in separate().items()} | {name: duck(text) for name, (_, text) in folds().items() if text}

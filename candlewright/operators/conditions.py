@@ -9,6 +9,7 @@ from __future__ import annotations
 from candlewright.plans.dialect import Dialect
 from candlewright.sources.bars import valid
 
+#: Rungs of the ladders in thousandths, the names of rungs and levels.
 RUNGS = (236, 382, 500, 618, 786, 1272, 1618, 2000, 2618)
 LADDER = (0, 236, 382, 500, 618, 786, 1000, 1272, 1618, 2000, 2618)
 RUNG_NAMES = {0: "0", 236: "236", 382: "382", 500: "50", 618: "618", 786: "786", 1000: "100", 1272: "1272", 1618: "1618", 2000: "200", 2618: "2618", 4236: "424"}
@@ -85,7 +86,7 @@ def _shape(k: str) -> dict[str, str]:
     }
 
 
-#: Candle patterns: b0 is this bar, b1 to b4 the ones before it in the session; U and L are wicks, B the body, R the range.
+#: Fixed values. Candle patterns: b0 is this bar, b1 to b4 the ones before it in the session; U and L are wicks, B the body, R the range.
 #: Each name's predicate is fixed.
 PATTERNS = {
     "pat_hammer": "b0.small & b0.L >= 2 * b0.B & b0.U * 1000 <= b0.R * 50",
@@ -234,7 +235,7 @@ SIDES = {"pdh": ("c > pdh", "c < pdh"), "pdl": ("c > pdl", "c < pdl"), "gap_mid"
 }
 
 
-def crossings(d: Dialect, source: str, keys: str = "series, us, bar_id, day", sides: dict[str, tuple[str, str]] | None = None) -> str:
+def crossings(d: Dialect, source: str, keys: str = "series, us, bar_id, day, session", sides: dict[str, tuple[str, str]] | None = None) -> str:
     """keys and, for each level, whether it was crossed up or down at this bar and which crossing of the session it is."""
     sides = SIDES if sides is None else sides
     side = ", ".join(f"CASE WHEN {a} THEN 1 WHEN {b} THEN -1 END AS side_{n}" for n, (a, b) in sides.items())
@@ -267,7 +268,7 @@ def wide(d: Dialect, family: str, minutes: int = 60) -> str:
     """One nullable boolean column for each condition of a family."""
     if family == "crossings":
         return crossings(d, context(d, minutes))
-    return f"SELECT series, us, bar_id, day, {', '.join(f'{e} AS {n}' for n, e in FAMILIES[family](d).items())} FROM ({context(d, minutes)}) x"
+    return f"SELECT series, us, bar_id, day, session, {', '.join(f'{e} AS {n}' for n, e in FAMILIES[family](d).items())} FROM ({context(d, minutes)}) x"
 
 
 def names(d: Dialect, family: str) -> list[str]:

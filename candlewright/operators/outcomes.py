@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+from candlewright.functions.normal import log10_two_sided, two_sided
 from candlewright.operators import conditions
-from candlewright.plans.dialect import Dialect
-from candlewright.sources.bars import MINUTE, valid
+from candlewright.plans.dialect import DUCK, Dialect
+from candlewright.sources.bars import CLOSING, MINUTE, exit_of, squared, valid
 
 
 def forward(d: Dialect, minutes: int = 60, horizon: int = 2) -> str:
-    """series, us, ret, adverse, favourable, refused: the exit is the bar at exactly us + horizon bars of the same day,
-    and every bar between must be there."""
+    """series, us, entry, ret, adverse, favourable, refused of each bar's close held for `horizon` bars.
+
+    The exit is the bar at exactly us + horizon bars, or the square-off where that comes first and has a price. A bar that
+    ends after the square-off opens nothing, and a position without a priced end has no outcome; neither is refused. An
+    outcome is refused where the exit bar or any bar on the way to it is missing.
+    """
     step = minutes * MINUTE
-    return f"""SELECT a.series, a.us, a.c AS entry, CASE WHEN a.path = {horizon} THEN b.c - a.c END AS ret, CASE WHEN a.path = {horizon} THEN a.c - a.worst END AS adverse,
-  CASE WHEN a.path = {horizon} THEN a.best - a.c END AS favourable, (a.path <> {horizon} OR b.us IS NULL) AS refused
-FROM (SELECT *, min(l) OVER ahead AS worst, max(h) OVER ahead AS best, count(*) OVER ahead AS path FROM ({valid(d, minutes)}) v
-  WINDOW ahead AS (PARTITION BY series, day ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {horizon * step} FOLLOWING)) a
-LEFT JOIN ({valid(d, minutes)}) b ON a.series = b.series AND a.day = b.day AND b.us = a.us + {horizon * step}"""
+    held = lambda x: f"CASE WHEN a.fillable AND a.path = a.steps AND b.us IS NOT NULL THEN {x} END"
+    return f"""SELECT a.series, a.us, a.c AS entry, {held('b.c - a.c')} AS ret, {held('a.c - a.worst')} AS adverse, {held('a.best - a.c')} AS favourable,
+  coalesce(a.fillable AND a.steps > 0 AND (a.path <> a.steps OR b.us IS NULL), false) AS refused
+FROM (SELECT *, {d.tdiv('exit_us - us', str(step))} AS steps FROM (
+  SELECT *, CASE WHEN {exit_of('us', horizon * step)} > us THEN {exit_of('us', horizon * step)} END AS exit_us, min(CASE WHEN fillable THEN l END) OVER ahead AS worst, max(CASE WHEN fillable THEN h END) OVER ahead AS best, count(CASE WHEN fillable THEN 1 END) OVER ahead AS path
+  FROM ({squared(d, minutes)}) v WINDOW ahead AS (PARTITION BY series, day ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {horizon * step} FOLLOWING)) w) a
+LEFT JOIN ({valid(d, minutes)}) b ON a.series = b.series AND a.day = b.day AND b.us = a.exit_us"""
+
+
+def forward_sql(minutes: int = 60, horizon: int = 2) -> str:
+    """The same by joins on each bar's whole path, with no window, for comparison."""
+    step, d = minutes * MINUTE, DUCK
+    real = f"count(CASE WHEN minute = {CLOSING - 1} THEN 1 END) = 1" if minutes == 1 else "false"
+    return f"""WITH v AS ({valid(d, minutes)}), s AS (SELECT series, day, max(us) FILTER (minute + {minutes} <= {CLOSING}) AS top, {real} AS priced FROM v GROUP BY series, day),
+e AS (SELECT v.*, CASE WHEN v.minute + {minutes} > {CLOSING} THEN NULL WHEN v.us + {horizon * step} <= s.top THEN v.us + {horizon * step} WHEN s.priced AND s.top > v.us THEN s.top END AS until FROM v JOIN s ON v.series = s.series AND v.day = s.day),
+p AS (SELECT e.series, e.us, e.c, e.until, count(b.us) AS met, max(b.h) AS best, min(b.l) AS worst, max(b.c) FILTER (b.us = e.until) AS out FROM e LEFT JOIN v b ON b.series = e.series AND b.day = e.day AND b.us > e.us AND b.us <= e.until GROUP BY ALL),
+o AS (SELECT *, until IS NOT NULL AND out IS NOT NULL AND met * {step} = until - us AS good FROM p)
+SELECT series, us, c AS entry, CASE WHEN good THEN out - c END AS ret, CASE WHEN good THEN c - worst END AS adverse, CASE WHEN good THEN best - c END AS favourable, until IS NOT NULL AND NOT good AS refused FROM o"""
 
 
-def hits(d: Dialect, family: str, chosen: list[str], minutes: int = 60) -> str:
-    """condition, series, us of each bar where a condition is true: the long form. Bars of the first five sessions, which
-    warm the levels up, are left out."""
+#: When a run has warmed up: five sessions are complete and the slowest average has two hundred bars behind it.
+WARM = "session > 5 AND bar_id > 200"
+
+
+def hits(d: Dialect, family: str, chosen: list[str], minutes: int = 60, warm: str = WARM) -> str:
+    """condition, series, us of each bar where a condition is true, once the run has warmed up: the long form."""
     rows = ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in chosen)
-    text = f"SELECT series, us, day, {rows_as_list(d, rows)} AS names FROM ({conditions.wide(d, family, minutes)}) w WHERE {warm()}"
+    text = f"SELECT series, us, day, {rows_as_list(d, rows)} AS names FROM ({conditions.wide(d, family, minutes)}) w WHERE {warm}"
     each = "explode(names)" if d.spark else "unnest(names)"
     return f"SELECT * FROM (SELECT series, us, {each} AS condition FROM ({text}) t) u WHERE condition IS NOT NULL"
 
@@ -31,18 +52,19 @@ def rows_as_list(d: Dialect, rows: str) -> str:
     return f"array({rows})" if d.spark else f"[{rows}]"
 
 
-def warm() -> str:
-    return "bar_id > 100"
+def edges(d: Dialect, family: str, chosen: list[str], minutes: int = 60, horizon: int = 2, warm: str = WARM) -> str:
+    """edges_of the bars where each condition is true."""
+    return edges_of(d, hits(d, family, chosen, minutes, warm), minutes, horizon)
 
 
-def edges(d: Dialect, family: str, chosen: list[str], minutes: int = 60, horizon: int = 2) -> str:
+def edges_of(d: Dialect, hit_rows: str, minutes: int = 60, horizon: int = 2) -> str:
     """For each condition: outcomes, wins, losses, sums, extremes, mean, and t corrected for overlapping horizons.
 
     Two hits closer than the horizon share part of their paths; their products enter the variance with weight
     1 - distance / horizon. Bars lie on a grid, so each distance is an equality join.
     """
     step = minutes * MINUTE
-    hit = f"SELECT h.condition, h.series, h.us, f.ret, f.adverse, f.favourable FROM ({hits(d, family, chosen, minutes)}) h JOIN ({forward(d, minutes, horizon)}) f ON h.series = f.series AND h.us = f.us WHERE f.ret IS NOT NULL"
+    hit = f"SELECT h.condition, h.series, h.us, f.ret, f.adverse, f.favourable FROM ({hit_rows}) h JOIN ({forward(d, minutes, horizon)}) f ON h.series = f.series AND h.us = f.us WHERE f.ret IS NOT NULL"
     pairs = " UNION ALL ".join(f"SELECT x.condition, {1 - k / horizon!r}E0 AS weight, CAST(x.ret AS DOUBLE) AS a, CAST(y.ret AS DOUBLE) AS b FROM o x JOIN o y ON x.condition = y.condition AND x.series = y.series AND y.us = x.us + {k * step}" for k in range(1, horizon))
     pairs = pairs or "SELECT condition, 0.0E0 AS weight, 0.0E0 AS a, 0.0E0 AS b FROM o"
     return f"""WITH o AS ({hit}),
@@ -61,30 +83,54 @@ def lenses(d: Dialect, edge: str, top: int = 5) -> str:
     return f"WITH e AS ({edge}), r AS (SELECT *, row_number() OVER (PARTITION BY lens ORDER BY score IS NULL, score DESC, condition) AS place FROM ({parts}) x) SELECT lens, CAST(place AS INT) AS place, condition, score FROM r WHERE place <= {top}"
 
 
-def composite(d: Dialect, edge: str, top: int = 10) -> str:
-    """Weighted composite: each criterion scaled to a million between its least and greatest, undefined or constant as
-    half, averaged by whole-number weights."""
-    criteria = {"n": ("CAST(n AS DOUBLE)", 2), "mean": ("mean", 3), "t": ("t", 3), "wins": ("CAST(wins AS DOUBLE) / n", 1), "worst": ("-CAST(worst_adverse AS DOUBLE)", 1)}
-    raw = ", ".join(f"{e} AS k_{c}" for c, (e, _) in criteria.items())
-    ppm = lambda c: f"CASE WHEN k_{c} IS NULL OR max(k_{c}) OVER () = min(k_{c}) OVER () THEN 500000 ELSE CAST(floor((k_{c} - min(k_{c}) OVER ()) * 1000000 / (max(k_{c}) OVER () - min(k_{c}) OVER ())) AS BIGINT) END"
-    total = " + ".join(f"{w} * ({ppm(c)})" for c, (_, w) in criteria.items())
-    weight = sum(w for _, w in criteria.values())
-    return f"SELECT condition, score FROM (SELECT condition, {d.tdiv('total', str(weight))} AS score FROM (SELECT condition, {total} AS total FROM (SELECT condition, {raw} FROM ({edge}) e) k) t) s ORDER BY score DESC, condition LIMIT {top}"
+#: Criteria of the composite, lower first where less is better: their raw values over a trade summary with drawdown.
+#: Ratios are in parts per million; an undefined one is null.
+LOWER = {
+    "drawdown": "drawdown", "worst_loss": "greatest(-worst, 0)", "losing_rate": "{rate}(losses, trades)", "losing_trades": "losses", "loss_ratio": "{rate}(gross_loss, gross_win)", "average_loss": "{part}(gross_loss, losses)",
+}
+HIGHER = {"profit": "gross_win - gross_loss", "winning_trades": "wins", "win_rate": "{rate}(wins, trades)", "reward_to_risk": "{rate}(gross_win * losses, gross_loss * wins)", "average_win": "{part}(gross_win, wins)"}
+
+
+def composite(d: Dialect, totals: str, weights: dict[str, int] | None = None, top: int = 25) -> str:
+    """Weighted composite of eleven criteria: each scaled to a million between its least and its greatest, from the better
+    end, undefined or constant as half, averaged by whole-number weights (all one unless given).
+
+    totals: condition, trades, wins, losses, gross_win, gross_loss, worst, drawdown. The extremes are one row, which the
+    rows are joined to by a constant: no window runs over all conditions.
+    """
+    import re
+
+    every = LOWER | HIGHER
+
+    def value(text: str) -> str:
+        text = re.sub(r"\{rate\}\(([^,]+), ([^)]+)\)", lambda m: f"(CASE WHEN {m[2]} > 0 THEN {d.tdiv(f'{m[1]} * 1000000', m[2])} END)", text)
+        return re.sub(r"\{part\}\(([^,]+), ([^)]+)\)", lambda m: f"(CASE WHEN {m[2]} > 0 THEN {d.tdiv(m[1], m[2])} END)", text)
+
+    raw = ", ".join(f"CAST({value(e)} AS BIGINT) AS k_{c}" for c, e in every.items())
+    ends = ", ".join(f"min(k_{c}) AS lo_{c}, max(k_{c}) AS hi_{c}" for c in every)
+    from_ = lambda c: f"hi_{c} - k_{c}" if c in LOWER else f"k_{c} - lo_{c}"
+    ppm = {c: f"(CASE WHEN k_{c} IS NULL OR hi_{c} = lo_{c} THEN 500000 ELSE {d.tdiv(f'CAST({from_(c)} AS BIGINT) * 1000000', f'(hi_{c} - lo_{c})')} END)" for c in every}
+    weigh = {c: 1 if weights is None else weights.get(c, 0) for c in every}
+    if not sum(weigh.values()):
+        raise ValueError("at least one criterion must have a weight")
+    total = " + ".join(f"{weigh[c]} * {ppm[c]}" for c in every)
+    missing = " + ".join(f"CASE WHEN k_{c} IS NULL THEN 1 ELSE 0 END" for c in every)
+    return f"""WITH m AS (SELECT condition, {raw} FROM ({totals}) t), x AS (SELECT {ends} FROM m)
+SELECT condition, {d.tdiv(f'({total})', str(sum(weigh.values())))} AS score, {missing} AS unmeasured FROM m JOIN x ON 1 = 1 ORDER BY score DESC, condition LIMIT {top}"""
 
 
 def significance(d: Dialect, edge: str) -> str:
-    """Two-sided p by the normal tail, Bonferroni and Benjamini-Hochberg at 5 %, and Wilson's lower bound of the win rate.
+    """Two-sided p and its logarithm, Bonferroni and Benjamini-Hochberg at 5 %, Wilson's lower bound of the win rate, and
+    the expected greatest t of that many trials: the plain bound, and Bailey and Lopez de Prado's.
 
-    The tail is Abramowitz and Stegun's rational approximation 26.2.17.
+    The tail keeps its digits however small it is (normal.erfc). The conditions' number is one row, and ranks are counted
+    over p alone.
     """
-    a = "abs(t)"
-    k = f"(1.0E0 / (1.0E0 + 0.2316419E0 * {a}))"
-    tail = f"(exp(-{a} * {a} / 2) / 2.5066282746310002E0 * {k} * (0.319381530E0 + {k} * (-0.356563782E0 + {k} * (1.781477937E0 + {k} * (-1.821255978E0 + {k} * 1.330274429E0)))))"
     z = "1.959963984540054E0"
     wilson = f"((wins * 1.0E0 / n + {z} * {z} / (2 * n) - {z} * sqrt(wins * 1.0E0 / n * (1 - wins * 1.0E0 / n) / n + {z} * {z} / (4.0E0 * n * n))) / (1 + {z} * {z} / n))"
-    return f"""WITH e AS (SELECT * FROM ({edge}) x WHERE t IS NOT NULL), q AS (SELECT condition, n, wins, t, 2 * {tail} AS p, count(*) OVER () AS m FROM e),
-r AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS place FROM q), b AS (SELECT coalesce(max(CASE WHEN p <= 0.05E0 * place / m THEN place END), 0) AS cut FROM r)
-SELECT condition, round(p, 5) AS p, (p * m <= 0.05E0) AS bonferroni, (place <= cut) AS bh, CAST(floor({wilson} * 1000000) AS BIGINT) AS wilson_ppm, round(sqrt(2 * ln(CAST(m AS DOUBLE))), 5) AS expected_max FROM r, b"""
+    return f"""WITH e AS (SELECT *, {two_sided('t')} AS p, {log10_two_sided('t')} AS log10_p FROM ({edge}) x WHERE t IS NOT NULL), c AS (SELECT count(*) AS m FROM e),
+k AS (SELECT p, sum(here) OVER (ORDER BY p) AS place FROM (SELECT p, count(*) AS here FROM e GROUP BY p) u), b AS (SELECT coalesce(max(CASE WHEN p <= 0.05E0 * place / m THEN p END), -1.0E0) AS cut FROM k JOIN c ON 1 = 1)
+SELECT condition, round(p, 5) AS p, round(log10_p, 4) AS log10_p, (p * m <= 0.05E0) AS bonferroni, (p <= cut) AS bh, CAST(floor({wilson} * 1000000) AS BIGINT) AS wilson_ppm, round(sqrt(2 * ln(CAST(m AS DOUBLE))), 5) AS expected_max FROM e JOIN c ON 1 = 1 JOIN b ON 1 = 1"""
 
 
 def excursion_ladder(d: Dialect, family: str, chosen: list[str], rungs: int = 6) -> str:

@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from candlewright.operators.outcomes import hits
-from candlewright.operators.trades import priced, signals
+from candlewright.operators.trades import pooled, priced, signals
 from candlewright.plans.dialect import SPARK, Dialect, run
-from candlewright.sources.bars import MINUTE, bars, day_of, valid
+from candlewright.sources.bars import MINUTE, bars, day_of, squared, valid
 
 
 def summary(d: Dialect, family: str, chosen: list[str]) -> str:
@@ -28,9 +28,10 @@ def verdicts(d: Dialect, family: str, chosen: list[str], least_trades: int = 30,
 
 
 def pool_order(d: Dialect, family: str, chosen: list[str]) -> str:
-    """Rank: rules met first, then profit factor (nothing lost first), then net, then name."""
-    return f"""SELECT s.condition, v.verdict, CAST(row_number() OVER (ORDER BY CASE WHEN v.verdict = 'met' THEN 0 ELSE 1 END, CASE WHEN profit_factor IS NULL THEN 0 ELSE 1 END, profit_factor DESC, gross_win - gross_loss DESC, s.condition) AS INT) AS place
-FROM ({summary(d, family, chosen)}) s JOIN ({verdicts(d, family, chosen)}) v ON s.condition = v.condition"""
+    """Rank: rules met first, then the smaller drawdown over series, then profit factor (nothing lost first), then net,
+    then name."""
+    return f"""SELECT s.condition, v.verdict, w.drawdown, CAST(row_number() OVER (ORDER BY CASE WHEN v.verdict = 'met' THEN 0 ELSE 1 END, w.drawdown, CASE WHEN profit_factor IS NULL THEN 0 ELSE 1 END, profit_factor DESC, gross_win - gross_loss DESC, s.condition) AS INT) AS place
+FROM ({summary(d, family, chosen)}) s JOIN ({verdicts(d, family, chosen)}) v ON s.condition = v.condition JOIN ({pooled(d, family, chosen)}) w ON s.condition = w.condition"""
 
 
 def comparison(d: Dialect, family: str, chosen: list[str], fine: int = 30, coarse: int = 60) -> str:
@@ -55,7 +56,7 @@ def trailing(d: Dialect, family: str, chosen: list[str], trails: tuple[int, ...]
     """Trailing stops, at once and armed from the bar after a gain of `arm`: the retreat (parts per million) is measured
     from the peak before each bar; totals for each condition and trail."""
     step = minutes * MINUTE
-    v = valid(d, minutes)
+    v = squared(d, minutes)
     each = "(PARTITION BY h.condition, h.series, h.us ORDER BY b.us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     grid = " UNION ALL ".join(f"SELECT {t} AS trail" for t in trails)
     stop = lambda c: f"min(CASE WHEN {c} AND (peak - l) * 1000000 >= trail * peak THEN us END)"
@@ -63,7 +64,7 @@ def trailing(d: Dialect, family: str, chosen: list[str], trails: tuple[int, ...]
     peak_at = lambda c: d.first("CASE WHEN " + c + " AND (peak - l) * 1000000 >= trail * peak THEN peak END", f"CASE WHEN {c} AND (peak - l) * 1000000 >= trail * peak THEN 0 ELSE 1 END", "us")
     return f"""WITH v AS ({v}), p AS (SELECT h.condition, h.series, h.us AS signal_us, e.o AS entry, b.us, b.l, b.h, b.c, greatest(e.o, coalesce(max(b.h) OVER {each}, e.o)) AS peak,
   max(CASE WHEN (b.h - e.o) * 1000000 >= {arm} * e.o THEN 1 ELSE 0 END) OVER {each} = 1 AS armed FROM ({hits(d, family, chosen, minutes)}) h
-  JOIN v e ON e.series = h.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')} JOIN v b ON b.series = e.series AND b.day = e.day AND b.us >= e.us WHERE e.o > 0),
+  JOIN v e ON e.series = h.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')} AND e.fillable JOIN v b ON b.series = e.series AND b.day = e.day AND b.us >= e.us AND b.fillable WHERE e.o > 0),
 x AS (SELECT condition, series, signal_us, entry, trail, {stop('true')} AS plain, {stop('coalesce(armed, false)')} AS late, {peak_at('true')} AS peak_plain, {peak_at('coalesce(armed, false)')} AS peak_late, {d.last('c', 'us')} AS last_close FROM p CROSS JOIN ({grid}) g GROUP BY condition, series, signal_us, entry, trail)
 SELECT condition, trail, count(*) AS trades, count(plain) AS stopped, count(late) AS stopped_armed, {value('plain')} AS total, {value('late')} AS total_armed FROM x GROUP BY condition, trail"""
 

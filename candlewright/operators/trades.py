@@ -5,21 +5,21 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.operators.outcomes import hits
+from candlewright.operators.outcomes import WARM, hits
 from candlewright.plans.dialect import SPARK, Dialect, run
-from candlewright.sources.bars import MINUTE, day_of, valid
+from candlewright.sources.bars import DAY, IST, MINUTE, day_of, exit_of, squared, valid
 
 WALK = "condition string, series string, signal_us long, entry_us long, exit_us long, entry long, exit long, pnl long"
 
 
-def signals(d: Dialect, family: str, chosen: list[str], minutes: int = 60, horizon: int = 2) -> str:
-    """Each hit with its entry at the next bar's open and its exit at that bar's close `horizon` bars on, both at exact
-    times of the same day; null where a bar is missing."""
+def signals(d: Dialect, family: str, chosen: list[str], minutes: int = 60, horizon: int = 2, warm: str = WARM) -> str:
+    """Each hit with its entry at the next bar's open, exactly one bar on, and its exit at a bar's close: `horizon` bars
+    after the entry, or at the square-off where that comes first and has a price. Both on the hit's day; null where a bar
+    is missing, the entry's bar ends after the square-off, or the position has no priced end."""
     step = minutes * MINUTE
-    v = valid(d, minutes)
-    return f"""SELECT h.condition, h.series, h.us AS signal_us, e.us AS entry_us, x.us AS exit_us, e.o AS entry, x.c AS exit FROM ({hits(d, family, chosen, minutes)}) h
-LEFT JOIN ({v}) e ON h.series = e.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')}
-LEFT JOIN ({v}) x ON h.series = x.series AND x.us = h.us + {step * (1 + horizon)} AND x.day = {day_of(d, 'h.us')}"""
+    return f"""SELECT h.condition, h.series, h.us AS signal_us, e.us AS entry_us, x.us AS exit_us, e.o AS entry, x.c AS exit FROM ({hits(d, family, chosen, minutes, warm)}) h
+LEFT JOIN ({squared(d, minutes)}) e ON h.series = e.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')} AND e.fillable
+LEFT JOIN ({valid(d, minutes)}) x ON h.series = x.series AND x.us = {exit_of('e.us', step * horizon)} AND x.us > e.us AND x.day = e.day"""
 
 
 def greedy(rows: pd.DataFrame) -> pd.DataFrame:
@@ -50,25 +50,29 @@ SELECT n.condition, n.series, n.signal_us, n.entry_us, n.exit_us, n.entry, n.exi
 
 
 def candle_stop(d: Dialect, family: str, chosen: list[str], minutes: int = 60) -> str:
-    """Long trades stopped at the signal candle's low: entry at the next bar's open, exit at the stop (at the open where
-    it gaps below) or at the day's last close; refused where there is no next bar or it opens at or under the stop."""
+    """Long trades stopped at the signal candle's low, on one-minute bars: entry at the open of the minute at which the
+    signal closes, exit at the stop (at the open where it gaps below) or at the 15:09 close. Refused, in this order, where
+    there is no such minute, it lies beyond the square-off, it opens at or under the stop, or no stop is touched and the
+    square-off has no price."""
     step = minutes * MINUTE
-    v = valid(d, minutes)
-    return f"""WITH v AS ({v}), s AS (SELECT h.condition, h.series, h.us AS signal_us, b.l AS stop, b.day, e.us AS entry_us, e.o AS entry FROM ({hits(d, family, chosen, minutes)}) h JOIN v b ON h.series = b.series AND h.us = b.us LEFT JOIN v e ON e.series = h.series AND e.day = b.day AND e.us = h.us + {step}),
-p AS (SELECT s.*, v.us, v.o, v.l, v.c FROM s JOIN v ON v.series = s.series AND v.day = s.day AND v.us >= s.entry_us WHERE s.entry > s.stop),
-t AS (SELECT condition, series, signal_us, entry_us, entry, stop, min(CASE WHEN l <= stop THEN us END) AS touched, {d.last('c', 'us')} AS last_close, max(us) AS last_us FROM p GROUP BY condition, series, signal_us, entry_us, entry, stop)
-SELECT t.condition, t.series, t.signal_us, t.entry_us, t.entry, t.stop, coalesce(t.touched, t.last_us) AS exit_us, CASE WHEN t.touched IS NULL THEN t.last_close WHEN v.o < t.stop THEN v.o ELSE t.stop END AS exit, 'taken' AS verdict FROM t LEFT JOIN v ON v.series = t.series AND v.us = t.touched
-UNION ALL SELECT condition, series, signal_us, entry_us, entry, stop, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CASE WHEN entry_us IS NULL THEN 'no_next_bar' ELSE 'opens_below_stop' END FROM s WHERE entry_us IS NULL OR entry <= stop"""
+    return f"""WITH m AS ({squared(d, 1)}), s AS (SELECT h.condition, h.series, h.us AS signal_us, b.l AS stop, b.day, e.us AS entry_us, e.o AS entry, coalesce(e.fillable, false) AS fillable
+  FROM ({hits(d, family, chosen, minutes)}) h JOIN ({valid(d, minutes)}) b ON h.series = b.series AND h.us = b.us LEFT JOIN m e ON e.series = h.series AND e.day = b.day AND e.us = h.us + {step}),
+p AS (SELECT s.*, m.us, m.l, m.c, m.last_fill, m.real_close FROM s JOIN m ON m.series = s.series AND m.day = s.day AND m.us >= s.entry_us AND m.fillable WHERE s.entry > s.stop AND s.fillable),
+t AS (SELECT condition, series, signal_us, entry_us, entry, stop, min(CASE WHEN l <= stop THEN us END) AS touched, max(last_fill) AS last_fill, max(CASE WHEN real_close AND us = last_fill THEN c END) AS close FROM p GROUP BY condition, series, signal_us, entry_us, entry, stop),
+r AS (SELECT t.*, CASE WHEN touched IS NOT NULL THEN CASE WHEN m.o < t.stop THEN m.o ELSE t.stop END ELSE t.close END AS exit, coalesce(touched, CASE WHEN t.close IS NOT NULL THEN t.last_fill END) AS exit_us FROM t LEFT JOIN m ON m.series = t.series AND m.us = t.touched)
+SELECT condition, series, signal_us, entry_us, entry, stop, exit_us, exit, CASE WHEN exit_us IS NULL THEN 'no_square_off' ELSE 'taken' END AS verdict FROM r
+UNION ALL SELECT condition, series, signal_us, entry_us, entry, stop, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CASE WHEN entry_us IS NULL THEN 'no_next_minute' WHEN NOT fillable THEN 'too_late' ELSE 'opens_below_stop' END FROM s WHERE entry_us IS NULL OR NOT fillable OR entry <= stop"""
 
 
 def exit_grid(d: Dialect, family: str, chosen: list[str], stops: tuple[int, ...] = (2_000, 10_000, 50_000), targets: tuple[int, ...] = (2_000, 10_000, 50_000), minutes: int = 60) -> str:
     """Every stop and target (parts per million of the entry) over every hit's path to the day's end: which is reached
-    first, with both on one bar counted as ambiguous and as a stop, and totals for each cell."""
+    first, with both on one bar counted as ambiguous and as a stop, and totals for each cell. Paths end with the last bar
+    that ends by the square-off."""
     step = minutes * MINUTE
-    v = valid(d, minutes)
+    v = squared(d, minutes)
     cells = " UNION ALL ".join(f"SELECT {s} AS stop_ppm, {t} AS target_ppm" for s in stops for t in targets)
     return f"""WITH v AS ({v}), p AS (SELECT h.condition, h.series, h.us AS signal_us, e.o AS entry, b.us, b.c, (e.o - b.l) * 1000000 AS mae, (b.h - e.o) * 1000000 AS mfe FROM ({hits(d, family, chosen, minutes)}) h
-  JOIN v e ON e.series = h.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')} JOIN v b ON b.series = e.series AND b.day = e.day AND b.us >= e.us WHERE e.o > 0),
+  JOIN v e ON e.series = h.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')} AND e.fillable JOIN v b ON b.series = e.series AND b.day = e.day AND b.us >= e.us AND b.fillable WHERE e.o > 0),
 x AS (SELECT p.condition, p.series, p.signal_us, p.entry, g.stop_ppm, g.target_ppm, min(CASE WHEN mae >= g.stop_ppm * p.entry THEN us END) AS stopped, min(CASE WHEN mfe >= g.target_ppm * p.entry THEN us END) AS reached, {d.last('p.c', 'p.us')} AS last_close FROM p CROSS JOIN ({cells}) g GROUP BY 1, 2, 3, 4, 5, 6),
 o AS (SELECT *, CASE WHEN stopped IS NOT NULL AND (reached IS NULL OR stopped <= reached) THEN 'stop' WHEN reached IS NOT NULL THEN 'target' ELSE 'time' END AS kind, coalesce(stopped = reached, false) AS ambiguous FROM x)
 SELECT condition, stop_ppm, target_ppm, count(*) AS trades, count(CASE WHEN kind = 'stop' THEN 1 END) AS stops, count(CASE WHEN kind = 'target' THEN 1 END) AS targets, count(CASE WHEN kind = 'time' THEN 1 END) AS timed, count(CASE WHEN ambiguous THEN 1 END) AS ambiguous,
@@ -76,7 +80,7 @@ SELECT condition, stop_ppm, target_ppm, count(*) AS trades, count(CASE WHEN kind
 
 
 def priced(d: Dialect, family: str, chosen: list[str]) -> str:
-    return f"SELECT condition, series, signal_us, exit_us, exit - entry AS pnl, {day_of(d, 'exit_us')} AS day FROM ({signals(d, family, chosen)}) s WHERE exit_us IS NOT NULL AND entry_us IS NOT NULL"
+    return f"SELECT condition, series, signal_us, entry_us, exit_us, entry, exit - entry AS pnl, {day_of(d, 'exit_us')} AS day FROM ({signals(d, family, chosen)}) s WHERE exit_us IS NOT NULL AND entry_us IS NOT NULL"
 
 
 def drawdown(d: Dialect, family: str, chosen: list[str]) -> str:
@@ -95,15 +99,53 @@ r AS (SELECT condition, win, island, count(*) AS n FROM g GROUP BY condition, wi
 SELECT condition, win, max(n) AS longest, count(*) AS runs, {d.tdiv('CAST(sum(n) AS BIGINT) * 1000', 'count(*)')} AS average_milli FROM (SELECT condition, win, n FROM r) s GROUP BY condition, win"""
 
 
+def grains(d: Dialect, us: str) -> dict[str, str]:
+    """Keys of the calendar grains in India that a time falls in: rolling ones (months since year 0 and their multiples,
+    weeks from Monday, days, clock hours), and those that come again (weekday, hour of the day)."""
+    day = day_of(d, us)
+    date = d.date_of(day)
+    months = f"(year({date}) * 12 + month({date}) - 1)"
+    rolling = {"year": d.tdiv(months, "12"), "half": d.tdiv(months, "6"), "quarter": d.tdiv(months, "3"), "month": months, "week": d.fdiv(f"{day} + 3", "7"), "day": day, "hour": d.fdiv(f"{us} + {IST}", "3600000000")}
+    return rolling | {"weekday": d.pmod(f"{day} + 3", "7"), "hour_of_day": d.fdiv(d.pmod(f"{us} + {IST}", str(DAY)), "3600000000")}
+
+
+def periods(d: Dialect, family: str, chosen: list[str], which: tuple[str, ...]) -> str:
+    """Trades, wins, net, worst trade, and how far any trade ran against its entry (paisa and parts per million), by the
+    calendar grain that the trade opened in. Periods without trades are absent."""
+    v = squared(d, 60)
+    against = f"""SELECT p.condition, p.series, p.signal_us, p.entry_us, p.pnl, p.entry, p.entry - min(b.l) AS against FROM ({priced(d, family, chosen)}) p JOIN ({v}) b ON b.series = p.series AND b.us >= p.entry_us AND b.us <= p.exit_us
+  GROUP BY p.condition, p.series, p.signal_us, p.entry_us, p.pnl, p.entry"""
+    each = grains(d, "entry_us")
+    keyed = ", ".join(f"CAST({each[g]} AS BIGINT) AS g_{g}" for g in which)
+    parts = " UNION ALL ".join(f"SELECT condition, '{g}' AS grain, g_{g} AS bucket, count(*) AS trades, count(CASE WHEN pnl > 0 THEN 1 END) AS wins, CAST(sum(pnl) AS BIGINT) AS net, min(pnl) AS worst, max(against) AS worst_against, max({d.tdiv('against * 1000000', 'entry')}) AS worst_against_ppm FROM k GROUP BY condition, g_{g}" for g in which)
+    return f"WITH k AS (SELECT condition, pnl, entry, against, {keyed} FROM ({against}) a) {parts}"
+
+
 def stability(d: Dialect, family: str, chosen: list[str]) -> str:
-    """Trades, wins and net by grain: day, week, month (of 30 days), hour and weekday."""
-    grains = {"day": "day", "week": d.fdiv("day + 3", "7"), "month": d.fdiv("day", "30"), "hour": d.fdiv(d.pmod("exit_us + 19800000000", "86400000000"), "3600000000"), "weekday": d.pmod("day + 3", "7")}
-    return " UNION ALL ".join(f"SELECT condition, '{g}' AS grain, {e} AS bucket, count(*) AS trades, count(CASE WHEN pnl > 0 THEN 1 END) AS wins, CAST(sum(pnl) AS BIGINT) AS net, min(pnl) AS worst FROM ({priced(d, family, chosen)}) p GROUP BY condition, {e}" for g, e in grains.items())
+    """periods by the rolling grains, from the year to the clock hour."""
+    return periods(d, family, chosen, ("year", "half", "quarter", "month", "week", "day", "hour"))
+
+
+def trade_periods(d: Dialect, family: str, chosen: list[str]) -> str:
+    """periods by the eight grains of a trade report, with weekday and hour of the day."""
+    return periods(d, family, chosen, ("year", "half", "quarter", "month", "week", "day", "weekday", "hour_of_day"))
+
+
+def totals(d: Dialect, family: str, chosen: list[str]) -> str:
+    """Each condition's trades with gross sums, worst trade and drawdown: what the composite weighs."""
+    return f"""SELECT s.condition, s.trades, s.wins, s.losses, s.gross_win, s.gross_loss, s.worst, w.drawdown FROM (
+  SELECT condition, count(*) AS trades, count(CASE WHEN pnl > 0 THEN 1 END) AS wins, count(CASE WHEN pnl < 0 THEN 1 END) AS losses, CAST(coalesce(sum(CASE WHEN pnl > 0 THEN pnl END), 0) AS BIGINT) AS gross_win,
+    CAST(coalesce(sum(CASE WHEN pnl < 0 THEN -pnl END), 0) AS BIGINT) AS gross_loss, min(pnl) AS worst FROM ({priced(d, family, chosen)}) p GROUP BY condition) s JOIN ({drawdown(d, family, chosen)}) w ON s.condition = w.condition"""
 
 
 def pooled(d: Dialect, family: str, chosen: list[str]) -> str:
-    """Across series: sums add, the worst is the least, and win rates are pooled."""
-    return f"SELECT condition, count(*) AS series, CAST(sum(trades) AS BIGINT) AS trades, CAST(sum(net) AS BIGINT) AS net, min(worst) AS worst, count(CASE WHEN net > 0 THEN 1 END) AS positive FROM (SELECT condition, series, count(*) AS trades, sum(pnl) AS net, min(pnl) AS worst FROM ({priced(d, family, chosen)}) p GROUP BY condition, series) s GROUP BY condition"
+    """Across series: sums add, the worst is the least, win rates are pooled, and the drawdown is the greatest of any
+    series: a bound on what one position at a time over all of them could fall."""
+    run_ = "(PARTITION BY condition, series ORDER BY exit_us, signal_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""SELECT condition, count(*) AS series, CAST(sum(trades) AS BIGINT) AS trades, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(net) AS BIGINT) AS net, min(worst) AS worst, count(CASE WHEN net > 0 THEN 1 END) AS positive, CAST(max(fell) AS BIGINT) AS drawdown,
+  {d.tdiv('CAST(sum(wins) AS BIGINT) * 10000', 'CAST(sum(trades) AS BIGINT)')} AS win_bp FROM (
+  SELECT condition, series, count(*) AS trades, count(CASE WHEN pnl > 0 THEN 1 END) AS wins, sum(pnl) AS net, min(pnl) AS worst, max(peak - equity) AS fell FROM (
+    SELECT *, greatest(max(equity) OVER {run_}, 0) AS peak FROM (SELECT *, sum(pnl) OVER {run_} AS equity FROM ({priced(d, family, chosen)}) p) e) x GROUP BY condition, series) s GROUP BY condition"""
 
 
 #: Fixed values of the consistency versions: ratio of winning days (of decided days, or of all), least winning days and

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,22 @@ class Dialect:
             return f"array_join(transform(array_sort(collect_list(struct({order}, {x} AS x))), s -> s.x), ',')"
         return f"string_agg({x}, ',' ORDER BY {order})"
 
+    def date_of(self, day: str) -> str:
+        """The date of a day number since 1970."""
+        return f"date_add(DATE'1970-01-01', CAST({day} AS INT))" if self.spark else f"(DATE '1970-01-01' + CAST({day} AS INTEGER))"
+
+    def day_number(self, date: str) -> str:
+        return f"datediff({date}, DATE'1970-01-01')" if self.spark else f"date_diff('day', DATE '1970-01-01', {date})"
+
+    def plus_days(self, date: str, days: str) -> str:
+        return f"date_add({date}, CAST({days} AS INT))" if self.spark else f"CAST({date} + CAST({days} AS INTEGER) AS DATE)"
+
+    def last_day(self, date: str) -> str:
+        return f"last_day({date})"
+
+    def text(self, x: str) -> str:
+        return f"CAST({x} AS {'STRING' if self.spark else 'VARCHAR'})"
+
     def greatest0(self, x: str) -> str:
         return f"greatest({x}, 0)"
 

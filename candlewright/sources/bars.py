@@ -56,3 +56,25 @@ REASONS = """CASE WHEN h < l THEN 'inverted' WHEN o > h OR o < l THEN 'open_outs
 def valid(d: Dialect, minutes: int) -> str:
     """Evaluable bars with day and minute."""
     return f"SELECT *, {day_of(d)} AS day, {minute_of(d)} AS minute FROM ({bars(d, minutes)}) b WHERE {REASONS} = 'ok'"
+
+
+#: Positions are closed at 15:10, 355 minutes after the opening; only a one-minute bar of 15:09 prices that.
+CLOSING = 355
+
+
+def squared(d: Dialect, minutes: int) -> str:
+    """Valid bars with whether their interval ends by the square-off, their day's last such bar, and whether that bar
+    prices the square-off: one minute long, at 15:09, and the only one there."""
+    real = f"count(CASE WHEN minute = {CLOSING - 1} THEN 1 END) OVER (PARTITION BY series, day) = 1" if minutes == 1 else "false"
+    return f"SELECT *, minute + {minutes} <= {CLOSING} AS fillable, max(CASE WHEN minute + {minutes} <= {CLOSING} THEN us END) OVER (PARTITION BY series, day) AS last_fill, {real} AS real_close FROM ({valid(d, minutes)}) q"
+
+
+def exit_of(start: str, span: int) -> str:
+    """Where a position of so many microseconds from a bar's start ends: at that exact time while it lies within the
+    tradeable day, else at the square-off if that has a price, else nowhere."""
+    return f"(CASE WHEN {start} + {span} <= last_fill THEN {start} + {span} WHEN real_close THEN last_fill END)"
+
+
+def square_off(d: Dialect, minutes: int = 1) -> str:
+    """For each day its last bar that ends by the square-off, and whether that bar prices it."""
+    return f"SELECT series, day, max(last_fill) AS last_fill, max(CASE WHEN real_close THEN 1 ELSE 0 END) AS priced, count(CASE WHEN fillable THEN 1 END) AS fillable FROM ({squared(d, minutes)}) s GROUP BY series, day"
