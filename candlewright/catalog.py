@@ -71,6 +71,11 @@ EXPRESSIONS = {
 }
 
 
+def frequent(spark: SparkSession, sf_dir: str, least: int = 40) -> DataFrame:
+    """All frequent sets of the chosen conditions; an error if the ladder halts."""
+    return mining.finished(mining.ladder(run(spark, sf_dir, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({outcomes.hits(SPARK, *CHOSEN)}) h"), least))
+
+
 def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Queries with ordered folds in them, and their SQL where a recursive query can say the same."""
     bits = "concat(" + ", ".join(f"CASE WHEN {e} THEN '1' WHEN NOT {e} THEN '0' ELSE '-' END" for e in trend.trend_conditions().values()) + ") AS bits"
@@ -82,7 +87,11 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "crossings_trend": (lambda s, d: s.sql(crossed.replace("({states})", "{states}"), states=trend.states(s, d)), conditions.crossings(DUCK, trend.states_sql(), "series, us, day", trend.TREND_SIDES)),
         "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")), None),
         "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "round(implied, 4) AS implied", "refused"), finance.implied_sql(DUCK, f"SELECT o.*, g.price FROM ({finance.options(DUCK)}) o JOIN ({finance.greeks(DUCK, finance.options(DUCK))}) g ON o.option_id = g.option_id")),
-        "mine_ladder": (lambda s, d: mining.finished(mining.ladder(run(s, d, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({outcomes.hits(SPARK, *CHOSEN)}) h"), 40)).selectExpr("k", "array_join(items, ',') AS items", "hits"), None),
+        "mine_ladder": (lambda s, d: frequent(s, d).selectExpr("k", "array_join(items, ',') AS items", "hits"), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets"),
+        "best_by_hits": (lambda s, d: mining.best_by_hits(frequent(s, d), 12), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets ORDER BY hits DESC, items DESC LIMIT 12"),
+        "closed_sets": (lambda s, d: mining.closed(frequent(s, d)).selectExpr("k", "array_join(items, ',') AS items", "hits"), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE b.k = a.k + 1 AND b.hits = a.hits AND (a.mask & b.mask) = a.mask)"),
+        "set_edges": (lambda s, d: mining.edges_of_sets(s, d, *CHOSEN, 40)[1], f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT * FROM ({outcomes.edges_of(DUCK, 'SELECT s.items AS condition, x.series, x.us FROM sets s JOIN x ON (x.mask & s.mask) = s.mask')}) e"),
+        "rank_sets": (lambda s, d: mining.ranked_sets(s, d, *CHOSEN, 40), mining.ranked_sql(*CHOSEN, 40)),
         "stream_bars": (streams.replay, streams.replay_sql(DUCK)),
         "scheduled": (lambda s, d: portfolio.scheduled(s, d, *CHOSEN), portfolio.scheduled_sql(DUCK, *CHOSEN)),
         "trade_walk": (lambda s, d: trades.walk(s, d, *CHOSEN), trades.walk_sql(DUCK, *CHOSEN)),

@@ -1,13 +1,15 @@
-"""Frequent conjunctions of conditions: a level-wise ladder that ends when no set is frequent."""
+"""Frequent conjunctions of conditions: a level-wise ladder that ends when no set is frequent, and the sets' outcomes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.operators.outcomes import hits
-from candlewright.plans.dialect import Dialect
+from candlewright.operators import conditions
+from candlewright.operators.outcomes import WARM, edges_of, forward, hits, lenses
+from candlewright.plans.dialect import DUCK, SPARK, Dialect, run
 from candlewright.plans.storage import keep
+from candlewright.sources.bars import MINUTE
 
 
 def sets_sql(d: Dialect, family: str, chosen: list[str], k: int, least: int) -> str:
@@ -17,6 +19,10 @@ def sets_sql(d: Dialect, family: str, chosen: list[str], k: int, least: int) ->
     return f"WITH x AS ({hits(d, family, chosen)}) SELECT {name} AS items, count(*) AS hits FROM x t0{joins} GROUP BY 1 HAVING count(*) >= {least}"
 
 
+#: Items that a ladder takes at most, rows of a bit matrix, and how many sets go to the tasks at once.
+VOCABULARY, ROWS, SETS_AT_ONCE = 4096, 1 << 16, 250_000
+
+
 def _stored(df_of, spark, path: str | None) -> DataFrame:
     """The table at a path if a finished one is there, else what df_of gives, written there first."""
     if path is None:
@@ -28,17 +34,88 @@ def _stored(df_of, spark, path: str | None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def matrices(batches, column: int, n: int, rows: int = ROWS):
+    """Batches of up to `rows` bars as (Arrow batches, matrix of n items by bars, of booleans)."""
+    import numpy as np
+
+    def matrix(held):
+        size = sum(b.num_rows for b in held)
+        out, at = np.zeros((n, size), dtype=bool), 0
+        for b in held:
+            lists = b.column(column)
+            ends = lists.offsets.to_numpy()
+            items = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            out[items, at + np.repeat(np.arange(b.num_rows), np.diff(ends))] = True
+            at += b.num_rows
+        return held, out
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield matrix(held)
+            held, size = [], 0
+    if size:
+        yield matrix(held)
+
+
+def groups_of(sets) -> list[tuple]:
+    """Runs of sorted sets that agree in all but their last item: (prefix, first, end)."""
+    import numpy as np
+
+    change = np.flatnonzero((sets[1:, :-1] != sets[:-1, :-1]).any(axis=1)) + 1
+    edges = np.concatenate([[0], change, [len(sets)]])
+    return [(sets[lo, :-1], int(lo), int(hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def count_sets(bars: DataFrame, n: int, sets: list[tuple[int, ...]]) -> list[int]:
+    """On how many bars each set holds. bars: bits array<int>, the items true on the bar, from 0 to n - 1.
+
+    A task turns its bars into one bit vector for each item, and ands them: nothing is written for a bar and a set, and
+    what leaves a task is one number for each set. Sets go to the tasks in parts of SETS_AT_ONCE, some megabytes each.
+    """
+    import numpy as np
+
+    counts = np.zeros(len(sets), dtype=np.int64)
+    for lo in range(0, len(sets), SETS_AT_ONCE):
+        some = np.array(sets[lo : lo + SETS_AT_ONCE], dtype=np.int16)
+        shared = bars.sparkSession.sparkContext.broadcast(some)
+
+        def task(batches, shared=shared):
+            import numpy as np
+            import pyarrow as pa
+
+            sets = shared.value
+            runs, totals = groups_of(sets), np.zeros(len(sets), dtype=np.int64)
+            for _, held in matrices(batches, 0, n):
+                packed = np.packbits(held, axis=1)
+                words = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+                for prefix, first, end in runs:
+                    base = np.bitwise_and.reduce(words[prefix], axis=0) if len(prefix) else ~np.uint64(0)
+                    totals[first:end] += np.bitwise_count(words[sets[first:end, -1]] & base).sum(axis=1, dtype=np.int64)
+            at = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], names=["at", "hits"])
+
+        for r in bars.select("bits").mapInArrow(task, "at long, hits long").groupBy("at").agg(F.sum("hits").alias("hits")).collect():
+            counts[lo + r["at"]] = r["hits"]
+        shared.unpersist()
+    return counts.tolist()
+
+
 def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: int = 1_000_000, store: str | None = None, dead: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
     """Every frequent set of items, level by level, until a level is empty.
 
-    items: bar, item. Returns (k, items, hits) and an account of each level. Items true on no bar or on all of
-    `universe` are excluded, and of items true on exactly the same bars the smallest stays. A level's sets come from a
-    join of the previous ones on their first k - 1 items, pruned where a subset isn't frequent; bars carry the sets
-    they hold in checkpointed tables, so counting joins on the bar and never pairs all bars with all candidates. A level of more than
-    `ceiling` candidates halts the ladder, and the account says so.
+    items: bar, item (at most VOCABULARY kinds). Returns (k, items, hits) and an account of each level: of the sets
+    generated, how many were pruned, infrequent and survivors, which add up. Items true on no bar or on all of
+    `universe` are excluded, and of items true on exactly the same bars the smallest stays. A level's sets come from
+    joining the previous ones on their first k - 1 items, without those of which a subset isn't frequent; a level of more
+    than `ceiling` candidates halts the ladder, and the account says so, so the sets that the driver holds are bounded.
+    Bars are one row each, a list of the items true there, and every level reads them once (count_sets).
 
-    `dead` (a, b) names pairs of which one condition implies the other: no set holds both. With `store`, a folder that executors share, every level is written there, and a ladder that is run again goes on
-    after the last finished one. A folder of other items, threshold or universe is refused.
+    `dead` (a, b) names pairs of which one condition implies the other: no set holds both. With `store`, a folder that
+    executors share, every level is written there, and a ladder that is run again goes on after the last finished one. A
+    folder of other items, threshold or universe is refused.
     """
     least, spark = max(1, least), items.sparkSession
     at = lambda name: None if store is None else f"{store}/{name}"
@@ -52,40 +129,182 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
     if universe is not None:
         one = one.where(F.col("hits") < universe)
     one = one.groupBy("hits", "a", "b").agg(F.min("item").alias("item")).where(F.col("hits") >= least).select("item", "hits")
-    level = _stored(lambda: one.select(F.array("item").alias("items"), "hits"), spark, at("level-1"))
-    singles_of = level.select(F.col("items")[0].alias("item"))
-    held = _stored(lambda: pairs.join(singles_of, "item", "left_semi").select("bar", F.array("item").alias("items")), spark, at("held-1"))
-    singles = held.select("bar", F.col("items")[0].alias("next"))
-    out, accounts, k = [], [], 1
-    while True:
-        n = level.count()
-        accounts.append({"k": k, "survivors": n})
-        if not n:
+    singles = sorted((r["item"], r["hits"]) for r in _stored(lambda: one, spark, at("level-1")).limit(VOCABULARY + 1).collect())
+    if len(singles) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} items")
+    names = [i for i, _ in singles]
+    accounts: list[dict] = [{"k": 1, "survivors": len(names)}]
+    schema = "k int, items array<string>, hits long"
+    if not names:
+        return spark.createDataFrame([], schema), accounts
+    number = {i: n for n, i in enumerate(names)}
+    known = spark.createDataFrame(list(number.items()), "item string, n int")
+    bars = _stored(lambda: pairs.join(F.broadcast(known), "item").groupBy("bar").agg(F.collect_list("n").alias("bits")), spark, at("bars"))
+    barred = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in dead.collect() if r["a"] in number and r["b"] in number} if dead is not None else set()
+    level = {(n,): h for n, (_, h) in enumerate(singles)}
+    out, k = [(1, [i], h) for i, h in singles], 1
+    while level:
+        grown, generated = [], 0
+        by_prefix: dict[tuple, list[int]] = {}
+        for s in sorted(level):
+            by_prefix.setdefault(s[:-1], []).append(s[-1])
+        for prefix, lasts in by_prefix.items():
+            for i, x in enumerate(lasts):
+                for y in lasts[i + 1 :]:
+                    generated += 1
+                    s = (*prefix, x, y)
+                    if (k > 1 or s not in barred) and all(s[:j] + s[j + 1 :] in level for j in range(k - 1)):
+                        grown.append(s)
+                if len(grown) > ceiling:
+                    break
+        k += 1
+        if len(grown) > ceiling:
+            accounts.append({"k": k, "halted": True, "candidates": len(grown)})
             break
-        out.append(level.select(F.lit(k).alias("k"), "items", "hits"))
-        left = level.select("items", F.slice("items", 1, k - 1).alias("prefix"), F.element_at("items", -1).alias("last"))
-        grown = left.join(left.select("prefix", F.col("last").alias("next")), "prefix").where("last < next").select(F.concat("items", F.array("next")).alias("items"))
-        if k == 1 and dead is not None:
-            pairs_of = dead.select(F.array(F.least("a", "b"), F.greatest("a", "b")).alias("items")).distinct()
-            grown = grown.join(pairs_of, "items", "left_anti")
-        if k > 1:
-            subsets = grown.select("items", F.explode(F.sequence(F.lit(1), F.lit(k + 1))).alias("i")).select("items", F.concat(F.slice("items", F.lit(1), F.col("i") - 1), F.slice("items", F.col("i") + 1, F.lit(k + 1))).alias("sub"))
-            grown = subsets.join(level.select(F.col("items").alias("sub")), "sub").groupBy("items").agg(F.count("*").alias("c")).where(F.col("c") == k + 1).select("items")
-        grown = _stored(lambda g=grown: g, spark, at(f"candidates-{k + 1}"))
-        candidates = grown.count()
-        if candidates > ceiling:
-            accounts.append({"k": k + 1, "halted": True, "candidates": candidates})
-            break
-        counted = held.join(singles, "bar").where(F.element_at("items", -1) < F.col("next")).select("bar", F.concat("items", F.array("next")).alias("items")).join(grown, "items", "left_semi")
-        now = _stored(lambda c=counted: c, spark, at(f"held-{k + 1}"))
-        totals = now.groupBy("items").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
-        level = _stored(lambda t=totals: t, spark, at(f"level-{k + 1}"))
-        held, k = now.join(level.select("items"), "items", "left_semi"), k + 1
-        accounts[-1]["candidates"] = candidates
-    whole = out[0] if out else level.select(F.lit(1).alias("k"), "items", "hits")
-    for f in out[1:]:
-        whole = whole.unionByName(f)
-    return whole, accounts
+        counted = _counted(bars, len(names), grown, least, spark, at(f"level-{k}"))
+        level = counted
+        accounts.append({"k": k, "generated": generated, "pruned": generated - len(grown), "infrequent": len(grown) - len(level), "survivors": len(level)})
+        out += [(k, [names[n] for n in s], h) for s, h in sorted(level.items())]
+    return spark.createDataFrame(out, schema), accounts
+
+
+def _counted(bars: DataFrame, n: int, grown: list[tuple], least: int, spark, path: str | None) -> dict[tuple, int]:
+    """The frequent ones of the sets with their hits, from a finished table at the path if there is one."""
+    schema = "bits array<int>, hits long"
+
+    def count() -> DataFrame:
+        hits = count_sets(bars, n, grown) if grown else []
+        return spark.createDataFrame([(list(map(int, s)), h) for s, h in zip(grown, hits, strict=True) if h >= least], schema)
+
+    rows = count() if path is None else _stored(count, spark, path)
+    return {tuple(r["bits"]): r["hits"] for r in rows.collect()}
+
+
+#: What a task sums for each set over its outcomes, and what it takes the extremes of.
+SUMS = ("n", "wins", "losses", "total", "gross_win", "gross_loss", "squares", "favourable", "xp", "lin", "w")
+EXTREMES = {"best": "max", "worst": "min", "worst_adverse": "max"}
+
+
+def set_edges(bars: DataFrame, names: list[str], sets: list[tuple[str, ...]], horizon: int) -> DataFrame:
+    """Edge statistics of each set over the outcomes of the bars where it holds, with t corrected for overlapping
+    horizons: condition (the set's names, comma-joined) and the columns of outcomes.edges_of.
+
+    bars: bits array<int>, ret, adverse, favourable long, and ahead array<struct<bits, ret>>: the bars 1 to horizon - 1
+    later, null where there is none or it has no outcome. A task multiplies the bit matrix of its bars with their
+    outcomes; what leaves it is one row for each set.
+    """
+    import numpy as np
+
+    number = {i: n for n, i in enumerate(names)}
+    spark, by_size = bars.sparkSession, {}
+    for s in sets:
+        by_size.setdefault(len(s), []).append(tuple(sorted(number[i] for i in s)))
+    parts = []
+    for size, some in sorted(by_size.items()):
+        for lo in range(0, len(some), SETS_AT_ONCE // 10):
+            parts.append(np.array(sorted(some)[lo : lo + SETS_AT_ONCE // 10], dtype=np.int16).reshape(-1, size))
+    schema = ", ".join(["condition string", *(f"{c} double" for c in SUMS), *(f"{c} long" for c in EXTREMES)])
+    found = None
+    for part in parts:
+        shared = spark.sparkContext.broadcast((part, names))
+
+        def task(batches, shared=shared):
+            import numpy as np
+            import pyarrow as pa
+
+            sets, names = shared.value
+            sums = np.zeros((len(sets), len(SUMS)))
+            top, bottom, against = np.full(len(sets), -(1 << 62)), np.full(len(sets), 1 << 62), np.full(len(sets), -(1 << 62))
+            runs = groups_of(sets)
+            for held, bits in matrices(batches, 0, len(names), 1 << 13):
+                ret, adverse, fav = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for c in (1, 2, 3))
+                r = ret.astype(float)
+                values = np.stack([np.ones(len(r)), r > 0, r < 0, r, np.where(r > 0, r, 0), np.where(r < 0, -r, 0), r * r, fav.astype(float)], axis=1)
+                later = [row for b in held for row in b.column(4).to_pylist()]
+                gaps = []
+                for g in range(1, horizon):
+                    near = [(i, row[g - 1]) for i, row in enumerate(later) if row[g - 1] is not None and row[g - 1]["ret"] is not None]
+                    other, there = np.zeros((len(names), len(near)), dtype=bool), np.array([i for i, _ in near], dtype=int)
+                    for j, (_, x) in enumerate(near):
+                        other[x["bits"], j] = True
+                    a, b, weight = r[there], np.array([x["ret"] for _, x in near], dtype=float), 1 - g / horizon
+                    gaps.append((other & bits[:, there], np.stack([weight * a * b, weight * (a + b), np.full(len(a), weight)], axis=1)))
+                for prefix, first, end in runs:
+                    lasts = sets[first:end, -1]
+                    mine = bits[lasts] & bits[prefix].all(axis=0)
+                    sums[first:end, :8] += mine @ values
+                    top[first:end] = np.maximum(top[first:end], np.where(mine, ret, -(1 << 62)).max(axis=1))
+                    bottom[first:end] = np.minimum(bottom[first:end], np.where(mine, ret, 1 << 62).min(axis=1))
+                    against[first:end] = np.maximum(against[first:end], np.where(mine, adverse, -(1 << 62)).max(axis=1))
+                    for both, weights in gaps:
+                        sums[first:end, 8:] += (both[lasts] & both[prefix].all(axis=0)) @ weights
+            some = np.flatnonzero(sums[:, 0])
+            columns = [pa.array([",".join(names[i] for i in sets[j]) for j in some], pa.string()), *(pa.array(sums[some, c]) for c in range(len(SUMS))), pa.array(top[some]), pa.array(bottom[some]), pa.array(against[some])]
+            yield pa.RecordBatch.from_arrays(columns, names=["condition", *SUMS, *EXTREMES])
+
+        rows = bars.where("ret IS NOT NULL").select("bits", "ret", "adverse", "favourable", "ahead").mapInArrow(task, schema)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    whole = found.groupBy("condition").agg(*[F.sum(c).alias(c) for c in SUMS], *[getattr(F, how)(c).alias(c) for c, how in EXTREMES.items()])
+    mean, n = F.col("total") / F.col("n"), F.col("n")
+    spread = F.col("squares") - n * mean * mean + 2 * (F.col("xp") - mean * F.col("lin") + mean * mean * F.col("w"))
+    t = F.when((n > 1) & (spread > 1e-9), mean / F.sqrt(spread / (n - 1) / n))
+    counts = [F.col(c).cast("long").alias(c) for c in ("n", "total", "wins", "losses", "gross_win", "gross_loss")]
+    return whole.select("condition", *counts, "best", "worst", "worst_adverse", F.col("favourable").cast("long").alias("favourable"), F.round(mean, 6).alias("mean"), F.round(t, 6).alias("t"))
+
+
+def outcome_bars(d: Dialect, family: str, chosen: list[str], minutes: int = 60, horizon: int = 2) -> str:
+    """Bars with the chosen conditions true there, their outcome, and those of the next horizon - 1 bars (set_edges)."""
+    rows = ", ".join(f"CASE WHEN {c} THEN {n} END" for n, c in enumerate(sorted(chosen)))
+    held = f"SELECT w.series, w.us, array_compact(array({rows})) AS bits FROM ({conditions.wide(d, family, minutes)}) w WHERE {WARM}"
+    known = f"SELECT h.*, f.ret, f.adverse, f.favourable, CASE WHEN f.ret IS NOT NULL THEN struct(h.bits, f.ret) END AS own FROM ({held}) h JOIN ({forward(d, minutes, horizon)}) f ON f.series = h.series AND f.us = h.us"
+    step = minutes * MINUTE
+    later = ", ".join(f"max(own) OVER (PARTITION BY series ORDER BY us RANGE BETWEEN {g * step} FOLLOWING AND {g * step} FOLLOWING)" for g in range(1, horizon))
+    return f"SELECT bits, ret, adverse, favourable, array({later}) AS ahead FROM ({known}) k"
+
+
+def edges_of_sets(spark, sf_dir: str, family: str, chosen: list[str], least: int, horizon: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Frequent sets of the chosen conditions (k, items, hits), and the edges of each over its outcomes."""
+    hit_rows = run(spark, sf_dir, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({hits(SPARK, family, chosen)}) h")
+    sets = keep(finished(ladder(hit_rows, least)))
+    bars = keep(run(spark, sf_dir, outcome_bars(SPARK, family, chosen, horizon=horizon)))
+    listed = [tuple(r["items"]) for r in sets.select("items").collect()]
+    return sets, set_edges(bars, sorted(chosen), listed, horizon)
+
+
+def ranked_sets(spark, sf_dir: str, family: str, chosen: list[str], least: int, top: int = 10) -> DataFrame:
+    """The best sets by each lens: cut to `top` first, and then marked closed or not, with nothing taken up from below."""
+    sets, edges = edges_of_sets(spark, sf_dir, family, chosen, least)
+    shut = closed(sets).select(F.array_join("items", ",").alias("condition"), F.lit(True).alias("closed"))
+    best = spark.sql(lenses(SPARK, "SELECT * FROM {edges}", top), edges=keep(edges))
+    return best.join(shut, "condition", "left").select("lens", "place", "condition", "score", F.coalesce("closed", F.lit(False)).alias("closed"))
+
+
+def best_by_hits(sets: DataFrame, cap: int) -> DataFrame:
+    """At most `cap` sets by hits, ties to the names that come later: a bounded best."""
+    return sets.select("k", F.array_join("items", ",").alias("items"), "hits").orderBy(F.desc("hits"), F.desc("items")).limit(cap)
+
+
+def subsets_sql(family: str, chosen: list[str], least: int) -> str:
+    """All frequent sets of the chosen conditions by enumeration, in the comparison engine's SQL: every subset's mask
+    against every distinct mask of a bar. x: the bars and their masks; sets: mask, k, items, hits."""
+    d, names = DUCK, sorted(chosen)
+    bit = "CASE condition " + " ".join(f"WHEN '{n}' THEN {1 << i}" for i, n in enumerate(names)) + " END"
+    word = " || ',' || ".join(f"CASE WHEN (m & {1 << i}) > 0 THEN '{n}' ELSE '' END" for i, n in enumerate(names))
+    same = " OR ".join(f"((m & {1 << j}) > 0 AND EXISTS (SELECT 1 FROM same WHERE later = {1 << j}))" for j in range(len(names)))
+    return f"""x AS (SELECT series, us, CAST(sum({bit}) AS BIGINT) AS mask FROM ({hits(d, family, chosen)}) h GROUP BY series, us),
+u AS (SELECT mask, count(*) AS n FROM x GROUP BY mask), i AS (SELECT CAST(power(2, range) AS BIGINT) AS b FROM range({len(names)})),
+same AS (SELECT q.b AS later FROM i p JOIN i q ON p.b < q.b JOIN u ON true GROUP BY p.b, q.b HAVING sum(CASE WHEN ((mask & p.b) > 0) <> ((mask & q.b) > 0) THEN n ELSE 0 END) = 0),
+s AS (SELECT range AS m FROM range(1, {1 << len(names)})),
+sets AS (SELECT m AS mask, CAST(bit_count(m) AS INTEGER) AS k, trim(regexp_replace({word}, ',+', ',', 'g'), ',') AS items, CAST(sum(n) AS BIGINT) AS hits FROM s JOIN u ON (u.mask & s.m) = s.m WHERE NOT ({same}) GROUP BY m HAVING sum(n) >= {least})"""
+
+
+def ranked_sql(family: str, chosen: list[str], least: int, top: int = 10) -> str:
+    """ranked_sets by enumeration and self joins, for comparison."""
+    hit_rows = "SELECT s.items AS condition, x.series, x.us FROM sets s JOIN x ON (x.mask & s.mask) = s.mask"
+    shut = "SELECT a.items FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE b.k = a.k + 1 AND b.hits = a.hits AND (a.mask & b.mask) = a.mask)"
+    return f"WITH {subsets_sql(family, chosen, least)} SELECT lens, place, condition, score, condition IN ({shut}) AS closed FROM ({lenses(DUCK, edges_of(DUCK, hit_rows), top)}) r"
 
 
 def finished(result: tuple[DataFrame, list[dict]]) -> DataFrame:
