@@ -121,7 +121,7 @@ SELECT condition, {d.tdiv(f'({total})', str(sum(weigh.values())))} AS score, {mi
 
 def significance(d: Dialect, edge: str) -> str:
     """Two-sided p and its logarithm, Bonferroni and Benjamini-Hochberg at 5 %, Wilson's lower bound of the win rate, and
-    the expected greatest t of that many trials: the plain bound, and Bailey and Lopez de Prado's.
+    a bound on the expected greatest t of that many trials.
 
     The tail keeps its digits however small it is (normal.erfc). The conditions' number is one row, and ranks are counted
     over p alone.

@@ -16,8 +16,13 @@ def signals(d: Dialect, family: str, chosen: list[str], minutes: int = 60, horiz
     """Each hit with its entry at the next bar's open, exactly one bar on, and its exit at a bar's close: `horizon` bars
     after the entry, or at the square-off where that comes first and has a price. Both on the hit's day; null where a bar
     is missing, the entry's bar ends after the square-off, or the position has no priced end."""
+    return signals_of(d, hits(d, family, chosen, minutes, warm), minutes, horizon)
+
+
+def signals_of(d: Dialect, hit_rows: str, minutes: int = 60, horizon: int = 2) -> str:
+    """signals of any rows of (condition, series, us)."""
     step = minutes * MINUTE
-    return f"""SELECT h.condition, h.series, h.us AS signal_us, e.us AS entry_us, x.us AS exit_us, e.o AS entry, x.c AS exit FROM ({hits(d, family, chosen, minutes, warm)}) h
+    return f"""SELECT h.condition, h.series, h.us AS signal_us, e.us AS entry_us, x.us AS exit_us, e.o AS entry, x.c AS exit FROM ({hit_rows}) h
 LEFT JOIN ({squared(d, minutes)}) e ON h.series = e.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')} AND e.fillable
 LEFT JOIN ({valid(d, minutes)}) x ON h.series = x.series AND x.us = {exit_of('e.us', step * horizon)} AND x.us > e.us AND x.day = e.day"""
 
@@ -36,13 +41,19 @@ def greedy(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def walk(spark: SparkSession, sf_dir: str, family: str, chosen: list[str]) -> DataFrame:
-    """Trades of each condition and series, one position at a time."""
-    return run(spark, sf_dir, signals(SPARK, family, chosen)).groupBy("condition", "series").applyInPandas(greedy, WALK)
+    """Trades of each condition and series, one position at a time. Every position ends on its day, so days are walked
+    apart, and no task holds more than a day's signals of a series."""
+    rows = run(spark, sf_dir, f"SELECT *, {day_of(SPARK, 'signal_us')} AS day FROM ({signals(SPARK, family, chosen)}) s")
+    return rows.groupBy("condition", "series", "day").applyInPandas(greedy, WALK)
 
 
 def walk_sql(d: Dialect, family: str, chosen: list[str]) -> str:
+    return walk_sql_of(signals(d, family, chosen))
+
+
+def walk_sql_of(signal_rows: str) -> str:
     """The greedy walk by a recursive query, for comparison."""
-    return f"""WITH RECURSIVE s AS (SELECT * FROM ({signals(d, family, chosen)}) q WHERE entry_us IS NOT NULL),
+    return f"""WITH RECURSIVE s AS (SELECT * FROM ({signal_rows}) q WHERE entry_us IS NOT NULL),
 n AS (SELECT *, coalesce(exit_us, entry_us) AS until, row_number() OVER (PARTITION BY condition, series ORDER BY signal_us) AS i FROM s),
 r AS (SELECT condition, series, i, until, true AS taken FROM n WHERE i = 1
   UNION ALL SELECT n.condition, n.series, n.i, CASE WHEN n.entry_us > r.until THEN n.until ELSE r.until END AS until, n.entry_us > r.until AS taken FROM r JOIN n ON n.condition = r.condition AND n.series = r.series AND n.i = r.i + 1)

@@ -72,6 +72,10 @@ class Dialect:
     def last_day(self, date: str) -> str:
         return f"last_day({date})"
 
+    def each(self, first: str, last: str) -> str:
+        """A row for each whole number from first to last, as a column of a SELECT."""
+        return f"explode(sequence(CAST({first} AS BIGINT), CAST({last} AS BIGINT)))" if self.spark else f"unnest(range(CAST({first} AS BIGINT), CAST({last} AS BIGINT) + 1))"
+
     def text(self, x: str) -> str:
         return f"CAST({x} AS {'STRING' if self.spark else 'VARCHAR'})"
 

@@ -5,12 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that every executor shares: spark.checkpoint.dir. Where that is unset, a local master (tests) takes a
+    local folder, and a cluster raises an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "candlewright-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The frame's rows, checkpointed under spark.checkpoint.dir; where that is unset, as in tests, under a local folder."""
+    """The frame's rows, checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "candlewright-checkpoints"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()

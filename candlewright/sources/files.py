@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Columns of the archive's two layouts.
 CASH = (("timestamp", "timestamp"), ("open", "double"), ("high", "double"), ("low", "double"), ("close", "double"), ("volume", "bigint"), ("open_interest", "bigint"))
 DERIVATIVE = CASH + tuple((n, "double") for n in ("iv", "delta", "gamma", "theta", "vega", "rho", "spot_at_bar", "t_years_used", "rate_used")) + (("greeks_provenance_id", "int"),)
 
@@ -25,6 +26,13 @@ def paisa(x: Column) -> Column:
     return F.when(ok, F.floor(x * 100 + 0.5).cast("long"))
 
 
+def paisa_of_text(text: Column) -> Column:
+    """Rupees written out, with a sign, commas between thousands and at most two decimals, as whole paisa; else null."""
+    bare = F.regexp_replace(F.trim(text), ",", "")
+    ok = F.trim(text).rlike(r"^[+-]?(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{2,3})+)(?:[.][0-9]{1,2})?$")
+    return F.when(ok, F.round(F.when(ok, bare).cast("decimal(20,2)") * 100).cast("long"))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Canonical bars of a parquet archive, with `reason` for rows that can't be used."""
     raw = spark.read.parquet(path)
@@ -36,6 +44,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 #: Columns of the vendors' text layouts.
 CSV_LAYOUTS = {
     "quote": "date string, time string, price double, quantity long, open_interest long",
+    "contract": "date string, time string, price double, quantity long, open_interest long",
     "bar9": "symbol string, date string, time string, open double, high double, low double, close double, volume long, open_interest long",
     "depth10": "ticker string, date string, time string, ltp double, buy_price double, buy_quantity long, sell_price double, sell_quantity long, quantity long, open_interest long",
 }
