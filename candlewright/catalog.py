@@ -89,7 +89,7 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "ema200": (lambda s, d: trend.states(s, d).selectExpr("series", "us", "ema200 AS ema"), trend.ema_sql(DUCK, 200)),
         "conditions_trend": (lambda s, d: trend.states(s, d).selectExpr("series", "us", bits), f"SELECT series, us, {bits} FROM ({trend.states_sql()}) s"),
         "crossings_trend": (lambda s, d: s.sql(crossed.replace("({states})", "{states}"), states=trend.states(s, d)), conditions.crossings(DUCK, trend.states_sql(), "series, us, day", trend.TREND_SIDES)),
-        "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")), None),
+        "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")).selectExpr("strategy", "round(adjusted_p, 9) AS adjusted_p", "round(reality_p, 9) AS reality_p", "round(superior_p, 9) AS superior_p"), statistics.resampling_sql(f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(DUCK, *CHOSEN)}) p GROUP BY condition, day")),
         "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "round(implied, 4) AS implied", "refused"), finance.implied_sql(DUCK, f"SELECT o.*, g.price FROM ({finance.options(DUCK)}) o JOIN ({finance.greeks(DUCK, finance.options(DUCK))}) g ON o.option_id = g.option_id")),
         "mine_ladder": (lambda s, d: frequent(s, d).selectExpr("k", "array_join(items, ',') AS items", "hits"), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets"),
         "best_by_hits": (lambda s, d: mining.best_by_hits(frequent(s, d), 12), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets ORDER BY hits DESC, items DESC LIMIT 12"),
@@ -110,6 +110,8 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "codes": (stores.codes, stores.CODES_SQL),
         "result_sink": (stores.result_sink, stores.result_sink_sql()),
         "stream_bars": (streams.replay, streams.replay_sql(DUCK)),
+        "stream_sessions": (streams.evaluated, streams.evaluated_sql(DUCK)),
+        "stream_progress": (streams.progress, streams.progress_sql(DUCK)),
         "scheduled": (lambda s, d: portfolio.scheduled(s, d, *CHOSEN), portfolio.scheduled_sql(DUCK, *CHOSEN)),
         "trade_walk": (lambda s, d: trades.walk(s, d, *CHOSEN), trades.walk_sql(DUCK, *CHOSEN)),
     }
