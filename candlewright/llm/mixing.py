@@ -12,29 +12,23 @@ from pyspark.sql import functions as F
 from candlewright.llm.common import Stash
 from candlewright.llm.spans import bind
 
-#: What parts words besides spaces: runs of anything but letters, digits and their marks, in every script.
-MARKS = r"[^ a-z0-9\p{L}\p{N}\p{M}]+"
-#: What counts as a token: a letter of a script without spaces, a run of up to PIECE letters, a digit, a run of marks.
-PIECE = 3
-TOKEN = rf"[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]|[\p{{L}}\p{{M}}]{{1,{PIECE}}}|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]+"
+#: What parts words: runs of anything but letters, digits and their marks, in every script.
+MARKS = r"[^a-z0-9\p{L}\p{N}\p{M}]+"
 #: Buckets of hashed words.
 BUCKETS = 1 << 15
 
 
-def _plain(text: Column) -> Column:
-    """Lower-cased words of a whole text between spaces."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " ")
-
-
-def _buckets(plain: Column) -> Column:
-    """The distinct buckets of a text's distinct words, from 1; every word of the text counts, whole."""
-    words = F.filter(F.array_distinct(F.split(plain, " +")), lambda w: w != "")
+def _buckets(text: Column) -> Column:
+    """The distinct buckets of a whole text's distinct lower-cased words, from 1."""
+    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), MARKS, -1)), lambda w: w != "")
     return F.array_distinct(F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int")))
 
 
 def tokens(text: Column) -> Column:
-    """Token estimate of a whole text: its matches of TOKEN; 0 for null or empty text."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+    """Token estimate of a whole text: three eighths of its bytes of UTF-8, spaces, tabs and newlines aside, rounded up; 0
+    for null or empty text. A letter of a script without spaces has three bytes, so it counts as one token."""
+    bare = F.replace(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")), F.lit("\t"), F.lit(""))
+    return F.coalesce(F.ceil(F.octet_length(bare) * 3 / 8), F.lit(0)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -65,7 +59,7 @@ class Model:
             raised = F.transform(values, lambda v: F.exp(F.greatest(v - F.array_max(values), F.lit(-60.0))))
             return bind(raised, lambda r: bind(F.aggregate(r, F.lit(0.0), lambda s, x: s + x), lambda whole: F.transform(r, lambda v: v / whole)))
 
-        return bind(places(_buckets(_plain(text))), lambda held: bind(odds(held), share))
+        return bind(places(_buckets(text)), lambda held: bind(odds(held), share))
 
 
 def train(docs: DataFrame, labelled: DataFrame, stash: Stash, gate: float = 4.0, pull: float = 5.0, max_rows: int = 10_000) -> Model | None:
@@ -84,7 +78,7 @@ def train(docs: DataFrame, labelled: DataFrame, stash: Stash, gate: float = 4.0,
         return None
     if total > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
-    held = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("domain", _buckets(_plain(F.col("text"))).alias("held"))
+    held = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("domain", _buckets(F.col("text")).alias("held"))
     held = stash.put(held, "labelled")
     counts = {r.domain: r.n for r in held.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not counts:
