@@ -36,7 +36,7 @@ def plans() -> dict[str, Callable[[Dialect], str]]:
     for n in ("summary", "verdicts", "pool_order", "comparison", "placement", "trailing", "stamped"):
         out[f"strategy_{n}"] = lambda d, n=n: getattr(portfolio, n)(d, *CHOSEN)
     out |= {"square_off": bars.square_off, "forward_minutes": lambda d: outcomes.forward(d, 1, 3)}
-    out |= {n: getattr(market, n) for n in ("calendar", "observed_calendar", "months_short", "minute_ledger", "landed", "land_census", "overlay", "vocabulary", "tenor_work", "constituents", "scrubbed", "as_json", "gaps_page", "synthetic")}
+    out |= {n: getattr(market, n) for n in ("calendar", "observed_calendar", "months_short", "minute_ledger", "landed", "land_census", "overlay", "vocabulary", "tenor_work", "constituents", "scrubbed", "as_json", "gaps_page", "synthetic", "open_interest", "repair", "vendor_membership", "page_census", "implications", "alpha_shares")}
     out |= {n: lambda d, n=n: getattr(market, n)(d, *CHOSEN) for n in ("masks", "mask_sets", "union_of_tops")}
     out |= {n: lambda d, n=n: getattr(research, n)(d, *CHOSEN) for n in ("walk_forward", "purged", "admission", "report", "frontier_page", "candidate_trades_page", "trades_page")}
     out |= {f"page_by_{n}": lambda d, n=n, c=c: series.page(d, c, n not in ("open", "low")) for n, c in (("open", "o"), ("low", "l"), ("close", "c"), ("volume", "v"), ("change", "change"))}
@@ -96,6 +96,7 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "closed_sets": (lambda s, d: mining.closed(frequent(s, d)).selectExpr("k", "array_join(items, ',') AS items", "hits"), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE b.k = a.k + 1 AND b.hits = a.hits AND (a.mask & b.mask) = a.mask)"),
         "set_edges": (lambda s, d: mining.edges_of_sets(s, d, *CHOSEN, 40)[1], f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT * FROM ({outcomes.edges_of(DUCK, 'SELECT s.items AS condition, x.series, x.us FROM sets s JOIN x ON (x.mask & s.mask) = s.mask')}) e"),
         "rank_sets": (lambda s, d: mining.ranked_sets(s, d, *CHOSEN, 40), mining.ranked_sql(*CHOSEN, 40)),
+        "ladder_account": (lambda s, d: research.account(s, d, *CHOSEN, 40), research.account_sql(*CHOSEN, 40)),
         "trials": (lambda s, d: research.trials(s, d, *CHOSEN, 40), research.trials_sql(*CHOSEN, 40)),
         "expression_walk": (lambda s, d: research.expression_walk(s, d, "day_levels", EXPRESSIONS), research.expression_walk_sql(DUCK, "day_levels", EXPRESSIONS)),
         "option_pricing": (market.option_pricing, market.option_pricing_sql()),
@@ -127,7 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def separate() -> dict[str, str]:
     """SQL of plans that is written apart from them, in another form."""
-    return {"forward": outcomes.forward_sql(), "forward_minutes": outcomes.forward_sql(1, 3), "minute_ledger": market.minute_ledger_sql(), "land_census": market.land_census_sql(), "mask_sets": market.mask_sets_sql(*CHOSEN)}
+    return {"forward": outcomes.forward_sql(), "forward_minutes": outcomes.forward_sql(1, 3), "minute_ledger": market.minute_ledger_sql(), "land_census": market.land_census_sql(), "mask_sets": market.mask_sets_sql(*CHOSEN), "open_interest": market.open_interest_sql(), "repair": market.repair_sql(), "vendor_membership": market.VENDORS_SQL, "alpha_shares": market.alpha_sql()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

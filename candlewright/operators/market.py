@@ -226,3 +226,82 @@ def synthetic(d: Dialect, sessions: int = 20, seed: int = 17) -> str:
     day = d.tdiv("i", str(SESSION))
     return f"""SELECT ({day} + {d.tdiv(day, '5')} * 2 + 4) * {DAY} - {IST} + 33300000000 + (i - {day} * {SESSION}) * {MINUTE} AS us, o, greatest(o, c) + up AS h, least(o, c) - down AS l, c, 1 + up * down AS v FROM (
   SELECT *, coalesce(lag(c) OVER (ORDER BY i), c) AS o FROM ({walk}) w) x"""
+
+
+def open_interest(d: Dialect, minutes: int = 60) -> str:
+    """Bars with open interest: the last one known in each bucket (an event's number in its properties, where its id isn't
+    divisible by three), and the same refolded from five-minute bars."""
+    k = "CAST(get_json_object(props, '$.k') AS BIGINT)" if d.spark else "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+    step = lambda m, us: f"{d.fdiv(f'{us} - 13500000000', str(m * MINUTE))} * {m * MINUTE} + 13500000000"
+    rows = f"SELECT event_type AS series, {d.micros('ts')} AS us, event_id, CASE WHEN event_id % 3 <> 0 THEN {k} END AS oi FROM {{events}} WHERE value IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL"
+    fold = lambda m: f"SELECT series, {step(m, 'us')} AS us, {d.last('oi', 'us', 'event_id')} FILTER (WHERE oi IS NOT NULL) AS oi FROM ({rows}) r GROUP BY 1, 2"
+    again = f"SELECT series, {step(minutes, 'us')} AS us, {d.last('oi', 'us')} FILTER (WHERE oi IS NOT NULL) AS oi FROM ({fold(5)}) f GROUP BY 1, 2"
+    return f"SELECT a.series, a.us, a.oi, b.oi AS refolded FROM ({fold(minutes)}) a JOIN ({again}) b ON a.series = b.series AND a.us = b.us"
+
+
+def open_interest_sql(minutes: int = 60) -> str:
+    """The same by ordered windows, for comparison."""
+    d = DUCK
+    rows = f"SELECT event_type AS series, {d.micros('ts')} AS us, event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS oi FROM {{events}} WHERE value IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL"
+    bucket = f"{d.fdiv('us - 13500000000', str(minutes * MINUTE))} * {minutes * MINUTE} + 13500000000"
+    return f"SELECT series, bucket AS us, max(known) AS oi, max(known) AS refolded FROM (SELECT series, bucket, last_value(oi IGNORE NULLS) OVER (PARTITION BY series, bucket ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS known FROM (SELECT *, {bucket} AS bucket FROM ({rows}) r) b) k GROUP BY series, bucket"
+
+
+def repair(d: Dialect, minutes: int = 60, block: int = 73) -> str:
+    """A store with damaged rows (every 211th bar's close is off by one) against its source, block by block: a block whose
+    digest differs is taken from the source; and whether the store is equal to it afterwards."""
+    line = " || ':' || ".join(d.text(x) for x in ("us", "o", "h", "l", "{c}", "v"))
+    number = d.tdiv("place - 1", str(block))
+    rows = f"SELECT *, {number} AS block, CASE WHEN place % 211 = 0 THEN c + 1 ELSE c END AS held FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY us) AS place FROM ({bars(d, minutes)}) b) n"
+    text = lambda c: line.replace("{c}", c)
+    digests = f"SELECT series, block, count(*) AS bars, md5({d.joined('source', 'us')}) AS source, md5({d.joined('stored', 'us')}) AS stored, count(CASE WHEN held <> c THEN 1 END) AS damaged FROM (SELECT series, block, us, c, held, {text('c')} AS source, {text('held')} AS stored FROM ({rows}) r) t GROUP BY series, block"
+    return f"SELECT series, block, bars, damaged, CASE WHEN source = stored THEN 'kept' ELSE 'repaired' END AS verdict FROM ({digests}) d"
+
+
+def repair_sql(minutes: int = 60, block: int = 73) -> str:
+    """The same by counting, with no digest, for comparison."""
+    return f"""SELECT series, (place - 1) // {block} AS block, count(*) AS bars, count(*) FILTER (place % 211 = 0) AS damaged, CASE WHEN count(*) FILTER (place % 211 = 0) > 0 THEN 'repaired' ELSE 'kept' END AS verdict
+FROM (SELECT series, row_number() OVER (PARTITION BY series ORDER BY us) AS place FROM ({bars(DUCK, minutes)}) b) n GROUP BY 1, 2"""
+
+
+def vendor_membership(d: Dialect) -> str:
+    """Which of five vendors (suppliers by their number's remainder) hold each part, as a set of bits: how many, whether
+    all, and whether the first and the last both do."""
+    return "SELECT l_partkey, held, CAST(bit_count(held) AS BIGINT) AS vendors, held = 31 AS every_one, (held & 17) = 17 AS first_and_last FROM (SELECT l_partkey, bit_or(CASE l_suppkey % 5 WHEN 0 THEN CAST(1 AS BIGINT) WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END) AS held FROM {lineitem} GROUP BY l_partkey) h"
+
+
+VENDORS_SQL = "SELECT l_partkey, CAST(sum(DISTINCT power(2, l_suppkey % 5)) AS BIGINT) AS held, count(DISTINCT l_suppkey % 5) AS vendors, count(DISTINCT l_suppkey % 5) = 5 AS every_one, count(DISTINCT CASE WHEN l_suppkey % 5 IN (0, 4) THEN l_suppkey % 5 END) = 2 AS first_and_last FROM lineitem GROUP BY l_partkey"
+
+
+def page_census(d: Dialect) -> str:
+    """Links, comments and table cells of each page."""
+    found = lambda p: f"CAST({'size' if d.spark else 'len'}(regexp_extract_all(html, '{p}', 0)) AS BIGINT)"
+    slash = "\\\\" if d.spark else "\\"
+    return f"SELECT page_id, {found('<a' + slash + 's[^>]*href=')} AS links, {found('(?s)<!--.*?-->')} AS comments, {found('<t[dh][^>]*>')} AS cells FROM {{pages}}"
+
+
+def implications(d: Dialect, family: str = "day_levels") -> str:
+    """Pairs of conditions of which one implies the other: on how many bars both hold, on how many the implied one alone,
+    and on how many the rule is broken. A pair that never differs tells nothing."""
+    known = set(conditions.names(d, family))
+    pairs = [(a, b) for a, b in conditions.implied_pairs() if a in known and b in known]
+    sums = ", ".join(f"count(CASE WHEN {a} AND {b} THEN 1 END) AS b{i}, count(CASE WHEN {b} AND NOT {a} THEN 1 END) AS o{i}, count(CASE WHEN {a} AND NOT {b} THEN 1 END) AS x{i}" for i, (a, b) in enumerate(pairs))
+    rows = [(f"'{a}'", f"'{b}'", f"b{i}", f"o{i}", f"x{i}") for i, (a, b) in enumerate(pairs)]
+    names = ("holds", "implies", "together", "alone", "broken")
+    counted = f"SELECT {sums} FROM ({conditions.wide(d, family)}) w"
+    if d.spark:
+        each = f"SELECT stack({len(rows)}, {', '.join(x for r in rows for x in r)}) AS ({', '.join(names)}) FROM ({counted}) c"
+    else:
+        each = f"SELECT {', '.join(f'unnest([{", ".join(r[k] for r in rows)}]) AS {n}' for k, n in enumerate(names))} FROM ({counted}) c"
+    return f"SELECT holds, implies, together, alone, broken, together > 0 AND alone > 0 AS informative FROM ({each}) e"
+
+
+def alpha_shares(d: Dialect, batches: int = 12) -> str:
+    """What each batch of trials may spend of alpha, as one over a whole number, and what is left of an eighth after it: the
+    shares of all batches add up to it, and a batch that fails keeps its own."""
+    return f"SELECT b AS batch, 8 * (b + 1) * (b + 2) AS denominator, round(1.0E0 / (8 * (b + 2)), 9) AS left_over FROM (SELECT {d.each('0', str(batches - 1))} AS b) g"
+
+
+def alpha_sql(batches: int = 12) -> str:
+    """The same by running sums, for comparison."""
+    return f"SELECT b AS batch, CAST(round(1 / share) AS BIGINT) AS denominator, round(0.125 - sum(share) OVER (ORDER BY b), 9) AS left_over FROM (SELECT range AS b, (1.0::DOUBLE / (range + 1) - 1.0::DOUBLE / (range + 2)) / 8 AS share FROM range({batches})) s"

@@ -119,3 +119,20 @@ def trades_page(d: Dialect, family: str, chosen: list[str], day: str = "max(day)
     """The last traded day's trades, best first."""
     p = priced(d, family, chosen)
     return f"SELECT p.condition, p.series, p.signal_us, p.pnl FROM ({p}) p JOIN (SELECT {day} AS day FROM ({p}) q) m ON p.day = m.day ORDER BY pnl DESC, p.condition, p.series, signal_us LIMIT {limit}"
+
+
+def account(spark: SparkSession, sf_dir: str, family: str, chosen: list[str], least: int) -> DataFrame:
+    """A ladder's account of each level from the second: sets generated, pruned, infrequent and surviving."""
+    rows = run(spark, sf_dir, f"SELECT concat_ws('/', series, us) AS bar, condition AS item FROM ({hits(SPARK, family, chosen)}) h")
+    levels = [(a["k"], a["generated"], a["pruned"], a["infrequent"], a["survivors"]) for a in mining.ladder(rows, least)[1] if "generated" in a]
+    return spark.createDataFrame(levels, "k int, generated long, pruned long, infrequent long, survivors long")
+
+
+def account_sql(family: str, chosen: list[str], least: int) -> str:
+    """The same by enumeration: a level's pairs agree in all but their highest items, and a set stays that has every set with
+    one item less among the frequent ones."""
+    subsets = " AND ".join(f"((m & {1 << i}) = 0 OR (m - {1 << i}) IN (SELECT mask FROM sets))" for i in range(len(chosen)))
+    return f"""WITH {mining.subsets_sql(family, chosen, least)},
+p AS (SELECT k, mask - CAST(power(2, floor(log2(mask))) AS BIGINT) AS prefix, count(*) AS n FROM sets GROUP BY 1, 2), g AS (SELECT k + 1 AS k, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS generated FROM p GROUP BY k),
+c AS (SELECT bit_count(m) AS k, count(*) AS candidates FROM s WHERE bit_count(m) > 1 AND {subsets} GROUP BY 1), f AS (SELECT k, count(*) AS survivors FROM sets GROUP BY k)
+SELECT CAST(g.k AS INTEGER) AS k, generated, generated - coalesce(candidates, 0) AS pruned, coalesce(candidates, 0) - coalesce(survivors, 0) AS infrequent, coalesce(survivors, 0) AS survivors FROM g LEFT JOIN c ON c.k = g.k LEFT JOIN f ON f.k = g.k"""

@@ -76,18 +76,24 @@ UNION ALL SELECT condition, series, signal_us, entry_us, entry, stop, CAST(NULL
 
 
 def exit_grid(d: Dialect, family: str, chosen: list[str], stops: tuple[int, ...] = (2_000, 10_000, 50_000), targets: tuple[int, ...] = (2_000, 10_000, 50_000), minutes: int = 60) -> str:
-    """Every stop and target (parts per million of the entry) over every hit's path to the day's end: which is reached
-    first, with both on one bar counted as ambiguous and as a stop, and totals for each cell. Paths end with the last bar
-    that ends by the square-off."""
+    """Every stop and target (parts per million of the entry) over every hit's path, which ends with the last bar that ends
+    by the square-off: which is reached first. Both on one bar is ambiguous: the pessimistic reading takes the stop, the
+    optimistic one the target. For each cell: trades, exits by kind, ambiguous ones, gaps (stopped at an open beyond the
+    stop), wins, gross gains and losses, extremes, both totals, and bars held, under the pessimistic reading but for one."""
     step = minutes * MINUTE
     v = squared(d, minutes)
     cells = " UNION ALL ".join(f"SELECT {s} AS stop_ppm, {t} AS target_ppm" for s in stops for t in targets)
-    return f"""WITH v AS ({v}), p AS (SELECT h.condition, h.series, h.us AS signal_us, e.o AS entry, b.us, b.c, (e.o - b.l) * 1000000 AS mae, (b.h - e.o) * 1000000 AS mfe FROM ({hits(d, family, chosen, minutes)}) h
+    lost, won = f"-{d.tdiv('stop_ppm * entry', '1000000')}", d.tdiv("target_ppm * entry", "1000000")
+    outcome = lambda kind: f"CASE {kind} WHEN 'stop' THEN {lost} WHEN 'target' THEN {won} ELSE last_close - entry END"
+    return f"""WITH v AS ({v}), p AS (SELECT h.condition, h.series, h.us AS signal_us, e.o AS entry, e.us AS entry_us, b.us, b.o, b.c, (e.o - b.l) * 1000000 AS mae, (b.h - e.o) * 1000000 AS mfe FROM ({hits(d, family, chosen, minutes)}) h
   JOIN v e ON e.series = h.series AND e.us = h.us + {step} AND e.day = {day_of(d, 'h.us')} AND e.fillable JOIN v b ON b.series = e.series AND b.day = e.day AND b.us >= e.us AND b.fillable WHERE e.o > 0),
-x AS (SELECT p.condition, p.series, p.signal_us, p.entry, g.stop_ppm, g.target_ppm, min(CASE WHEN mae >= g.stop_ppm * p.entry THEN us END) AS stopped, min(CASE WHEN mfe >= g.target_ppm * p.entry THEN us END) AS reached, {d.last('p.c', 'p.us')} AS last_close FROM p CROSS JOIN ({cells}) g GROUP BY 1, 2, 3, 4, 5, 6),
-o AS (SELECT *, CASE WHEN stopped IS NOT NULL AND (reached IS NULL OR stopped <= reached) THEN 'stop' WHEN reached IS NOT NULL THEN 'target' ELSE 'time' END AS kind, coalesce(stopped = reached, false) AS ambiguous FROM x)
-SELECT condition, stop_ppm, target_ppm, count(*) AS trades, count(CASE WHEN kind = 'stop' THEN 1 END) AS stops, count(CASE WHEN kind = 'target' THEN 1 END) AS targets, count(CASE WHEN kind = 'time' THEN 1 END) AS timed, count(CASE WHEN ambiguous THEN 1 END) AS ambiguous,
-  CAST(sum(CASE kind WHEN 'stop' THEN -{d.tdiv('stop_ppm * entry', '1000000')} WHEN 'target' THEN {d.tdiv('target_ppm * entry', '1000000')} ELSE last_close - entry END) AS BIGINT) AS total FROM o GROUP BY condition, stop_ppm, target_ppm"""
+x AS (SELECT p.condition, p.series, p.signal_us, p.entry, p.entry_us, g.stop_ppm, g.target_ppm, min(CASE WHEN mae >= g.stop_ppm * p.entry THEN us END) AS stopped, min(CASE WHEN mfe >= g.target_ppm * p.entry THEN us END) AS reached, {d.last('p.c', 'p.us')} AS last_close, max(p.us) AS last_us,
+    min(CASE WHEN (p.entry - p.o) * 1000000 > g.stop_ppm * p.entry THEN us END) AS gapped, max(mae) AS mae, max(mfe) AS mfe FROM p CROSS JOIN ({cells}) g GROUP BY 1, 2, 3, 4, 5, 6, 7),
+o AS (SELECT *, CASE WHEN stopped IS NOT NULL AND (reached IS NULL OR stopped <= reached) THEN 'stop' WHEN reached IS NOT NULL THEN 'target' ELSE 'time' END AS kind, CASE WHEN reached IS NOT NULL AND (stopped IS NULL OR reached <= stopped) THEN 'target' WHEN stopped IS NOT NULL THEN 'stop' ELSE 'time' END AS hopeful, coalesce(stopped = reached, false) AS ambiguous FROM x),
+w AS (SELECT *, {outcome('kind')} AS pnl, {outcome('hopeful')} AS best_pnl, {d.tdiv(f"CASE kind WHEN 'stop' THEN stopped WHEN 'target' THEN reached ELSE last_us END - entry_us", str(step))} AS held FROM o)
+SELECT condition, stop_ppm, target_ppm, count(*) AS trades, count(CASE WHEN kind = 'stop' THEN 1 END) AS stops, count(CASE WHEN kind = 'target' THEN 1 END) AS targets, count(CASE WHEN kind = 'time' THEN 1 END) AS timed, count(CASE WHEN ambiguous THEN 1 END) AS ambiguous, count(CASE WHEN kind = 'stop' AND gapped = stopped THEN 1 END) AS gaps,
+  count(CASE WHEN pnl > 0 THEN 1 END) AS wins, CAST(coalesce(sum(CASE WHEN pnl > 0 THEN pnl END), 0) AS BIGINT) AS gross_win, CAST(coalesce(sum(CASE WHEN pnl < 0 THEN -pnl END), 0) AS BIGINT) AS gross_loss, max(pnl) AS best, min(pnl) AS worst, min(CASE WHEN pnl > 0 THEN pnl END) AS least_win,
+  CAST(sum(pnl) AS BIGINT) AS total, CAST(sum(best_pnl) AS BIGINT) AS optimistic, CAST(sum(held) AS BIGINT) AS bars_held, max({d.tdiv('mae', 'entry')}) AS worst_mae, max(CASE WHEN pnl > 0 THEN {d.tdiv('mae', 'entry')} END) AS worst_mae_of_wins, max({d.tdiv('mfe', 'entry')}) AS best_mfe FROM w GROUP BY condition, stop_ppm, target_ppm"""
 
 
 def priced(d: Dialect, family: str, chosen: list[str]) -> str:
