@@ -135,9 +135,16 @@ SELECT condition, round(p, 5) AS p, round(log10_p, 4) AS log10_p, (p * m <= 0.05
 
 def excursion_ladder(d: Dialect, family: str, chosen: list[str], rungs: int = 6) -> str:
     """Rungs of each condition's favourable excursions: the sorted value at (n - 1) / 2^(rungs - i + 1), positive and
-    distinct."""
+    distinct. Values are counted first, and counts summed over a condition's distinct values alone."""
     at = lambda i: d.tdiv("n - 1", str(1 << (rungs - i + 1)))
-    picks = " UNION ALL ".join(f"SELECT condition, favourable AS level FROM s WHERE i = {at(i)}" for i in range(1, rungs + 1))
-    return f"""WITH s AS (SELECT h.condition, f.favourable, row_number() OVER (PARTITION BY h.condition ORDER BY f.favourable, h.series, h.us) - 1 AS i, count(*) OVER (PARTITION BY h.condition) AS n
-  FROM ({hits(d, family, chosen)}) h JOIN ({forward(d)}) f ON h.series = f.series AND h.us = f.us WHERE f.favourable IS NOT NULL)
+    picks = " UNION ALL ".join(f"SELECT condition, favourable AS level FROM s WHERE upto > {at(i)} AND upto - here <= {at(i)}" for i in range(1, rungs + 1))
+    return f"""WITH v AS (SELECT h.condition, f.favourable, count(*) AS here FROM ({hits(d, family, chosen)}) h JOIN ({forward(d)}) f ON h.series = f.series AND h.us = f.us WHERE f.favourable IS NOT NULL GROUP BY h.condition, f.favourable),
+s AS (SELECT *, sum(here) OVER (PARTITION BY condition ORDER BY favourable) AS upto, sum(here) OVER (PARTITION BY condition) AS n FROM v)
 SELECT DISTINCT condition, level FROM ({picks}) p WHERE level > 0"""
+
+
+def excursion_sql(family: str, chosen: list[str], rungs: int = 6) -> str:
+    """The same by sorted lists, for comparison."""
+    d = DUCK
+    picks = ", ".join(f"xs[(len(xs) - 1) // {1 << (rungs - i + 1)} + 1]" for i in range(1, rungs + 1))
+    return f"""SELECT DISTINCT condition, unnest(list_filter([{picks}], lambda x: x > 0)) AS level FROM (SELECT h.condition, list(f.favourable ORDER BY f.favourable) AS xs FROM ({hits(d, family, chosen)}) h JOIN ({forward(d)}) f ON h.series = f.series AND h.us = f.us WHERE f.favourable IS NOT NULL GROUP BY h.condition) l"""

@@ -101,7 +101,22 @@ def priced(d: Dialect, family: str, chosen: list[str]) -> str:
 
 
 def drawdown(d: Dialect, family: str, chosen: list[str]) -> str:
-    """Total, worst trade and largest fall of the equity from its peak, which starts at zero."""
+    """Total, worst trade and largest fall of the equity from its peak, which starts at zero.
+
+    Trades end on their day, so equity is summed within days first, and days are strung together by their sums, ends and
+    falls: no window runs over all trades of a condition.
+    """
+    within = "(PARTITION BY condition, day ORDER BY exit_us, series, signal_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = "(PARTITION BY condition ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""WITH k AS (SELECT *, max(equity) OVER {within} AS peak FROM (SELECT *, sum(pnl) OVER {within} AS equity FROM ({priced(d, family, chosen)}) p) e),
+t AS (SELECT condition, day, count(*) AS trades, sum(pnl) AS net, min(pnl) AS worst, max(equity) AS top, min(equity) AS low, max(peak - equity) AS fell FROM k GROUP BY condition, day),
+s AS (SELECT *, coalesce(sum(net) OVER {before}, 0) AS start FROM t),
+g AS (SELECT *, greatest(coalesce(max(start + top) OVER {before}, 0), 0) AS high FROM s)
+SELECT condition, CAST(sum(trades) AS BIGINT) AS trades, CAST(sum(net) AS BIGINT) AS total, min(worst) AS worst, CAST(max(greatest(fell, high - start - low)) AS BIGINT) AS drawdown FROM g GROUP BY condition"""
+
+
+def drawdown_sql(d: Dialect, family: str, chosen: list[str]) -> str:
+    """The same by one window over all trades of a condition, for comparison."""
     run_ = "(PARTITION BY condition ORDER BY exit_us, series, signal_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""SELECT condition, count(*) AS trades, CAST(max(equity_end) AS BIGINT) AS total, min(pnl) AS worst, CAST(max(peak - equity) AS BIGINT) AS drawdown FROM (
   SELECT *, greatest(max(equity) OVER {run_}, 0) AS peak, sum(pnl) OVER (PARTITION BY condition) AS equity_end FROM (SELECT *, sum(pnl) OVER {run_} AS equity FROM ({priced(d, family, chosen)}) p) e) x GROUP BY condition"""
