@@ -92,6 +92,7 @@ def folds() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "resampling_tests": (lambda s, d: statistics.resampling_tests(run(s, d, f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(SPARK, *CHOSEN)}) p GROUP BY condition, day")).selectExpr("strategy", "round(adjusted_p, 9) AS adjusted_p", "round(reality_p, 9) AS reality_p", "round(superior_p, 9) AS superior_p"), statistics.resampling_sql(f"SELECT condition AS strategy, day AS period, CAST(sum(pnl) AS DOUBLE) AS ret FROM ({trades.priced(DUCK, *CHOSEN)}) p GROUP BY condition, day")),
         "implied_volatility": (lambda s, d: finance.implied_volatility(run(s, d, f"SELECT o.*, g.price FROM ({finance.options(SPARK)}) o JOIN ({finance.greeks(SPARK, finance.options(SPARK))}) g ON o.option_id = g.option_id")).selectExpr("option_id", "vol", "round(implied, 4) AS implied", "refused"), finance.implied_sql(DUCK, f"SELECT o.*, g.price FROM ({finance.options(DUCK)}) o JOIN ({finance.greeks(DUCK, finance.options(DUCK))}) g ON o.option_id = g.option_id")),
         "mine_ladder": (lambda s, d: frequent(s, d).selectExpr("k", "array_join(items, ',') AS items", "hits"), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets"),
+        "mine_all": (mining.mine_all, mining.mine_all_sql()),
         "best_by_hits": (lambda s, d: mining.best_by_hits(frequent(s, d), 12), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets ORDER BY hits DESC, items DESC LIMIT 12"),
         "closed_sets": (lambda s, d: mining.closed(frequent(s, d)).selectExpr("k", "array_join(items, ',') AS items", "hits"), f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT k, items, hits FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE b.k = a.k + 1 AND b.hits = a.hits AND (a.mask & b.mask) = a.mask)"),
         "set_edges": (lambda s, d: mining.edges_of_sets(s, d, *CHOSEN, 40)[1], f"WITH {mining.subsets_sql(*CHOSEN, 40)} SELECT * FROM ({outcomes.edges_of(DUCK, 'SELECT s.items AS condition, x.series, x.us FROM sets s JOIN x ON (x.mask & s.mask) = s.mask')}) e"),

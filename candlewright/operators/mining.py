@@ -347,3 +347,59 @@ def auto_threshold(items: DataFrame, universe: int, ceiling: int) -> int:
         middle = (good + bad) // 2
         good, bad = (middle, bad) if fits(middle) else (good, middle)
     return good
+
+
+def every_hit(d: Dialect, minutes: int = 60) -> str:
+    """condition, series, us of each warm bar where a condition of any family is true, from one context row for each bar;
+    the crossings too, and not the trend's, whose state is a fold."""
+    merged = {n: e for f in conditions.FAMILIES.values() for n, e in f(d).items()}
+    rows = ", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in merged.items())
+    crossed = ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in conditions.names_of_crossings())
+    listed = (lambda x: f"array_compact(array({x}))") if d.spark else (lambda x: f"list_filter([{x}], lambda v: v IS NOT NULL)")
+    each = "explode(names)" if d.spark else "unnest(names)"
+    one = f"SELECT series, us, {each} AS condition FROM (SELECT series, us, {listed(rows)} AS names FROM ({conditions.context(d, minutes)}) x WHERE {WARM}) a"
+    two = f"SELECT series, us, {each} AS condition FROM (SELECT series, us, {listed(crossed)} AS names FROM ({conditions.crossings(d, conditions.context(d, minutes))}) x WHERE {WARM}) b"
+    return f"{one} UNION ALL {two}"
+
+
+def trend_hits(states: str, warm: str, d: Dialect) -> str:
+    """The same of the trend's conditions. states, warm: texts; warm has series and us."""
+    from candlewright.operators.trend import trend_conditions
+
+    rows = ", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in trend_conditions().items())
+    listed = f"array_compact(array({rows}))" if d.spark else f"list_filter([{rows}], lambda v: v IS NOT NULL)"
+    each = "explode(names)" if d.spark else "unnest(names)"
+    return f"SELECT series, us, {each} AS condition FROM (SELECT s.series, s.us, {listed} AS names FROM {states} s JOIN {warm} w ON w.series = s.series AND w.us = s.us) t"
+
+
+def warm_bars(d: Dialect, minutes: int = 60) -> str:
+    return f"SELECT series, us FROM ({conditions.context(d, minutes)}) x WHERE {WARM}"
+
+
+def mine_all(spark, sf_dir: str, per_mille: int = 350, ceiling: int = 200_000) -> DataFrame:
+    """Frequent sets over all conditions: families, crossings and trend, true on at least so many thousandths of the warm
+    bars, without conditions that always hold, repeat another's bars, or imply one in the set."""
+    from candlewright.operators.trend import states
+
+    warm = keep(run(spark, sf_dir, warm_bars(SPARK)))
+    universe = warm.count()
+    trend = spark.sql(trend_hits("{states}", "{warm}", SPARK), states=states(spark, sf_dir), warm=warm)
+    items = run(spark, sf_dir, every_hit(SPARK)).unionByName(trend).selectExpr("concat_ws('/', series, us) AS bar", "condition AS item")
+    dead = spark.createDataFrame(conditions.implied_pairs(), "a string, b string")
+    sets = finished(ladder(keep(items), -(-universe * per_mille // 1000), universe, ceiling, dead=dead))
+    return sets.selectExpr("k", "array_join(items, ',') AS items", "hits")
+
+
+def mine_all_sql(per_mille: int = 350) -> str:
+    """The same by growing sets with later conditions and intersecting strings of bits, in the comparison engine's SQL."""
+    from candlewright.operators.trend import states_sql
+
+    d = DUCK
+    dead = ", ".join(f"('{a}', '{b}')" for a, b in conditions.implied_pairs())
+    return f"""WITH RECURSIVE w AS MATERIALIZED ({warm_bars(d)}), n AS (SELECT series, us, CAST(row_number() OVER (ORDER BY series, us) - 1 AS INTEGER) AS bar FROM w), u AS (SELECT count(*) AS bars, CAST(ceil(count(*) * {per_mille} / 1000.0) AS BIGINT) AS least FROM w),
+st AS MATERIALIZED (SELECT * FROM ({states_sql()}) z), h AS MATERIALIZED (SELECT DISTINCT n.bar, q.condition FROM ({every_hit(d)} UNION ALL {trend_hits('st', 'w', d)}) q JOIN n ON n.series = q.series AND n.us = q.us),
+b AS (SELECT condition, bitstring_agg(bar, 0, 9999) AS bits, count(*) AS hits FROM h GROUP BY condition), one AS MATERIALIZED (SELECT min(condition) AS item, bits, hits FROM b, u WHERE hits >= least AND hits < bars GROUP BY bits, hits),
+x AS (SELECT o.item, coalesce(list(p.other) FILTER (p.other IS NOT NULL), []) AS never FROM one o LEFT JOIN (SELECT a AS item, b AS other FROM (VALUES {dead}) v(a, b) UNION ALL SELECT b, a FROM (VALUES {dead}) v(a, b)) p ON p.item = o.item GROUP BY o.item),
+r AS (SELECT 1 AS k, [item] AS items, bits, hits FROM one
+  UNION ALL SELECT r.k + 1, list_append(r.items, o.item), r.bits & o.bits, bit_count(r.bits & o.bits) FROM r JOIN one o ON o.item > r.items[-1] JOIN x ON x.item = o.item, u WHERE bit_count(r.bits & o.bits) >= u.least AND NOT list_has_any(r.items, x.never))
+SELECT k, array_to_string(items, ',') AS items, hits FROM r"""
