@@ -64,8 +64,8 @@ def trials(spark: SparkSession, sf_dir: str, family: str, chosen: list[str], lea
     sets, accounts = mining.ladder(rows, least)
     frequent = sets.count()
     redundant = frequent - mining.closed(sets).count()
-    measured = effective_trials(accounts, 0)
-    return spark.createDataFrame([(measured, frequent, redundant, measured - redundant)], "measured long, frequent long, redundant long, trials long")
+    measured = accounts[0]["survivors"] + sum(a["infrequent"] + a["survivors"] for a in accounts if "infrequent" in a)
+    return spark.createDataFrame([(measured, frequent, redundant, effective_trials(accounts, redundant))], "measured long, frequent long, redundant long, trials long")
 
 
 def trials_sql(family: str, chosen: list[str], least: int) -> str:
@@ -74,7 +74,7 @@ def trials_sql(family: str, chosen: list[str], least: int) -> str:
     subsets = " AND ".join(f"((m & {1 << i}) = 0 OR (m - {1 << i}) IN (SELECT mask FROM sets))" for i in range(n))
     return f"""WITH {mining.subsets_sql(family, chosen, least)},
 c AS (SELECT count(*) AS measured FROM s WHERE bit_count(m) > 1 AND {subsets}), f AS (SELECT count(*) AS frequent, count(*) FILTER (k = 1) AS ones, count(*) FILTER (EXISTS (SELECT 1 FROM sets b WHERE b.k = a.k + 1 AND b.hits = a.hits AND (a.mask & b.mask) = a.mask)) AS redundant FROM sets a)
-SELECT CAST(measured + ones AS BIGINT) AS measured, frequent, redundant, CAST(measured + ones - redundant AS BIGINT) AS trials FROM c, f"""
+SELECT CAST(measured + ones AS BIGINT) AS measured, frequent, redundant, CAST(greatest(1, measured + ones - redundant) AS BIGINT) AS trials FROM c, f"""
 
 
 #: A policy: for each field of totals, in order, how it is compared with its bound. A row is admitted if every field passes.
