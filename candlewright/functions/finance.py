@@ -88,7 +88,7 @@ def strikes(d: Dialect) -> str:
     return f"SELECT event_id, {atm} AS atm, {atm} + 10000 AS call_otm, {atm} - 10000 AS call_itm, CASE WHEN px > {atm} THEN 'itm' WHEN px < {atm} THEN 'otm' ELSE 'atm' END AS call_moneyness FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS px FROM {{events}} WHERE value IS NOT NULL) e"
 
 
-def price_one(spot, strike, years, rate, carry, vol, call):
+def price_one(spot, strike, years, rate, vol, call, carry=0.0):
     import math
 
     import numpy as np
@@ -100,25 +100,29 @@ def price_one(spot, strike, years, rate, carry, vol, call):
 
 
 def implied_volatility(quotes: DataFrame, tick: float = 1e-4) -> DataFrame:
-    """quotes (spot, strike, years, rate, carry, price, call and any other columns) with `implied` and `refused`.
+    """quotes (spot, strike, years, rate, price, call and any other columns; carry too, or it is zero) with `implied` and
+    `refused`.
 
     A price outside its no-arbitrage bounds is refused. Within, at most 8 Newton steps from a starting guess of a half, in
     [1e-6, 5]; what hasn't settled is halved 64 times. A price that no volatility in it gives is refused, and so is one
     where a change of the price by half a `tick` moves the volatility by more than a hundredth: the quote says too
     little. Nulls are refused."""
 
+    carried = "carry" in quotes.columns
+
     def solve(batches):
         import numpy as np
 
         for pdf in batches:
-            x = {c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("spot", "strike", "years", "rate", "carry", "price")}
+            x = {c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("spot", "strike", "years", "rate", "price")}
+            x["carry"] = pdf["carry"].to_numpy(dtype=float, na_value=np.nan) if carried else np.zeros(len(pdf))
             call = pdf["call"].fillna(False).to_numpy(dtype=bool)
             with np.errstate(all="ignore"):
                 held, owed = x["spot"] * np.exp(-x["carry"] * x["years"]), x["strike"] * np.exp(-x["rate"] * x["years"])
                 floor, roof = np.maximum(0, np.where(call, 1, -1) * (held - owed)), np.where(call, held, owed)
                 ok = (x["spot"] > 0) & (x["strike"] > 0) & (x["years"] > 0) & (x["price"] > floor) & (x["price"] < roof)
                 safe = [np.where(ok, x[c], 1.0) for c in ("spot", "strike", "years", "rate", "carry")]
-                value = lambda vol: price_one(*safe, vol, call)
+                value = lambda vol: price_one(*safe[:4], vol, call, safe[4])
 
                 def vega(vol):
                     d1 = (np.log(safe[0] / safe[1]) + (safe[3] - safe[4] + vol * vol / 2) * safe[2]) / (vol * np.sqrt(safe[2]))

@@ -142,7 +142,7 @@ def test_ladder_account_adds_up(spark):
 
 def test_implied_volatility_round_trip(spark):
     rows = [(k, 100.0, 80.0 + k, 0.5, 0.05, 0.02, 0.1 + 0.02 * (k % 20), k % 2 == 0) for k in range(40)]
-    price = [float(finance.price_one(*(np.array([v]) for v in r[1:6]), np.array([r[6]]), np.array([r[7]]))[0]) for r in rows]
+    price = [float(finance.price_one(*(np.array([v]) for v in r[1:5]), np.array([r[6]]), np.array([r[7]]), np.array([r[5]]))[0]) for r in rows]
     quotes = spark.createDataFrame([(*r, p) for r, p in zip(rows, price, strict=True)] + [(90, 100.0, 100.0, 0.5, 0.05, 0.0, 0.2, True, 150.0), (91, None, 100.0, 0.5, 0.05, 0.0, 0.2, True, 5.0)], "option_id long, spot double, strike double, years double, rate double, carry double, vol double, call boolean, price double")
     got = {r.option_id: r for r in finance.implied_volatility(quotes, tick=1e-6).collect()}
     assert all(abs(got[r[0]].implied - r[6]) < 1e-8 for r in rows if not got[r[0]].refused)
@@ -153,7 +153,7 @@ def test_implied_volatility_round_trip(spark):
 
 def test_carry_keeps_parity():
     x = [np.array([v]) for v in (100.0, 95.0, 0.75, 0.05, 0.03)]
-    call, put = (float(finance.price_one(*x, np.array([0.3]), np.array([c]))[0]) for c in (True, False))
+    call, put = (float(finance.price_one(*x[:4], np.array([0.3]), np.array([c]), x[4])[0]) for c in (True, False))
     assert abs(call - put - (100 * math.exp(-0.03 * 0.75) - 95 * math.exp(-0.05 * 0.75))) < 1e-9
 
 
