@@ -39,7 +39,7 @@ def months_short(d: Dialect) -> str:
     months = lambda x: f"(year({d.date_of(x)}) * 12 + month({d.date_of(x)}) - 1)"
     held = f"SELECT b.series, {months('b.day')} AS month, count(*) AS held FROM (SELECT series, {day_of(d)} AS day, {minute_of(d)} AS minute FROM ({bars(d, 1)}) x) b JOIN ({calendar(d)}) c ON b.day = c.day AND c.kind = 'open' WHERE b.minute >= 0 AND b.minute < {SESSION} GROUP BY 1, 2"
     owed = f"SELECT {months('day')} AS month, count(*) AS sessions, CAST(sum(expected) AS BIGINT) AS owed FROM ({calendar(d)}) c WHERE kind = 'open' GROUP BY 1"
-    return f"SELECT s.series, o.month, o.sessions, o.owed, coalesce(h.held, 0) AS held, coalesce(h.held, 0) < o.owed AS walked FROM (SELECT DISTINCT series FROM ({bars(d, 1)}) b) s JOIN ({owed}) o ON 1 = 1 LEFT JOIN ({held}) h ON h.series = s.series AND h.month = o.month"
+    return f"SELECT s.series, CAST(o.month AS BIGINT) AS month, o.sessions, o.owed, coalesce(h.held, 0) AS held, coalesce(h.held, 0) < o.owed AS walked FROM (SELECT DISTINCT series FROM ({bars(d, 1)}) b) s JOIN ({owed}) o ON 1 = 1 LEFT JOIN ({held}) h ON h.series = s.series AND h.month = o.month"
 
 
 def minute_ledger(d: Dialect) -> str:
