@@ -170,13 +170,10 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
 
 def _counted(bars: DataFrame, n: int, grown: list[tuple], least: int, spark, path: str | None) -> dict[tuple, int]:
     """The frequent ones of the sets with their hits, from a finished table at the path if there is one."""
-    schema = "bits array<int>, hits long"
-
-    def count() -> DataFrame:
-        hits = count_sets(bars, n, grown) if grown else []
-        return spark.createDataFrame([(list(map(int, s)), h) for s, h in zip(grown, hits, strict=True) if h >= least], schema)
-
-    rows = count() if path is None else _stored(count, spark, path)
+    found = lambda: [(s, h) for s, h in zip(grown, count_sets(bars, n, grown) if grown else [], strict=True) if h >= least]
+    if path is None:
+        return dict(found())
+    rows = _stored(lambda: spark.createDataFrame([(list(map(int, s)), h) for s, h in found()], "bits array<int>, hits long"), spark, path)
     return {tuple(r["bits"]): r["hits"] for r in rows.collect()}
 
 
