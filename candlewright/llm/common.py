@@ -24,10 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_ROWS = 1000
+PLAN = "spark.sql.maxPlanStringLength"
+PLAN_LETTERS = 20_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to ARROW_ROWS rows."""
+    """Hold the session's Arrow batches to ARROW_ROWS rows, and descriptions of its plans, which the driver keeps for
+    every query that has run, to PLAN_LETTERS letters: a plan may hold a model's weights."""
+    spark.conf.set(PLAN, str(PLAN_LETTERS))
     if int(spark.conf.get(BATCH)) > ARROW_ROWS:
         spark.conf.set(BATCH, str(ARROW_ROWS))
 

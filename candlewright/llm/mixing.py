@@ -116,7 +116,7 @@ def train(docs: DataFrame, labelled: DataFrame, stash: Stash, gate: float = 4.0,
         used += 1
         place[bucket - 1] = used
         for d in names:
-            adds[d].append(log(share[d] / (1 - share[d])) - log(base / (1 - base)))
+            adds[d].append(round(log(share[d] / (1 - share[d])) - log(base / (1 - base)), 4))
             start[d] += log((1 - share[d]) / (1 - base))
     return Model(names, [start[d] for d in names], place, [adds[d] for d in names])
 
