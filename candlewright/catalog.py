@@ -129,7 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def separate() -> dict[str, str]:
     """SQL of plans that is written apart from them, in another form."""
-    return {"forward": outcomes.forward_sql(), "forward_minutes": outcomes.forward_sql(1, 3), "minute_ledger": market.minute_ledger_sql(), "land_census": market.land_census_sql(), "mask_sets": market.mask_sets_sql(*CHOSEN), "open_interest": market.open_interest_sql(), "repair": market.repair_sql(), "vendor_membership": market.VENDORS_SQL, "alpha_shares": market.alpha_sql(), "drawdown": trades.drawdown_sql(DUCK, *CHOSEN), "excursion_ladder": outcomes.excursion_sql(*CHOSEN)}
+    return {"forward": outcomes.forward_sql(), "forward_minutes": outcomes.forward_sql(1, 3), "minute_ledger": market.minute_ledger_sql(), "land_census": market.land_census_sql(), "mask_sets": market.mask_sets_sql(*CHOSEN), "open_interest": market.open_interest_sql(), "repair": market.repair_sql(), "vendor_membership": market.VENDORS_SQL, "alpha_shares": market.alpha_sql(), "drawdown": trades.drawdown_sql(DUCK, *CHOSEN), "streaks": trades.streaks_sql(DUCK, *CHOSEN), "excursion_ladder": outcomes.excursion_sql(*CHOSEN)}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,27 @@ def drawdown_sql(d: Dialect, family: str, chosen: list[str]) -> str:
 
 
 def streaks(d: Dialect, family: str, chosen: list[str]) -> str:
-    """Longest and average runs of wins and of the rest; only a gain is a win."""
+    """Longest and average runs of wins and of the rest; only a gain is a win.
+
+    A run's number is how often a win has followed a loss or a loss a win: counted within days, and strung together over
+    days by each day's last trade, so no window runs over all trades of a condition.
+    """
+    order = "ORDER BY exit_us, series, signal_us"
+    within = f"(PARTITION BY condition, day {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""WITH p AS (SELECT *, pnl > 0 AS win FROM ({priced(d, family, chosen)}) q),
+l AS (SELECT *, lag(win) OVER (PARTITION BY condition, day {order}) AS was FROM p),
+e AS (SELECT condition, day, {d.last('win', 'exit_us', 'series', 'signal_us')} AS ended FROM p GROUP BY condition, day),
+y AS (SELECT condition, day, lag(ended) OVER (PARTITION BY condition ORDER BY day) AS prior FROM e),
+f AS (SELECT l.*, CASE WHEN coalesce(l.was, y.prior) = l.win THEN 0 ELSE 1 END AS turn FROM l JOIN y ON l.condition = y.condition AND l.day = y.day),
+t AS (SELECT condition, day, sum(turn) AS turns FROM f GROUP BY condition, day),
+o AS (SELECT condition, day, coalesce(sum(turns) OVER (PARTITION BY condition ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t),
+n AS (SELECT f.condition, f.day, f.win, sum(f.turn) OVER {within} AS upto FROM f),
+r AS (SELECT n.condition, n.win, o.start + n.upto AS run, count(*) AS n FROM n JOIN o ON n.condition = o.condition AND n.day = o.day GROUP BY 1, 2, 3)
+SELECT condition, win, max(n) AS longest, count(*) AS runs, {d.tdiv('CAST(sum(n) AS BIGINT) * 1000', 'count(*)')} AS average_milli FROM r GROUP BY condition, win"""
+
+
+def streaks_sql(d: Dialect, family: str, chosen: list[str]) -> str:
+    """The same by islands over all trades of a condition, for comparison."""
     order = "ORDER BY exit_us, series, signal_us"
     return f"""WITH p AS (SELECT *, pnl > 0 AS win FROM ({priced(d, family, chosen)}) q),
 g AS (SELECT *, row_number() OVER (PARTITION BY condition {order}) - row_number() OVER (PARTITION BY condition, win {order}) AS island FROM p),
