@@ -96,11 +96,19 @@ SELECT k AS n_nationkey, CASE WHEN found = 1 THEN target END AS target, CASE WHE
 ADMITTED = "day long, condition string, series string, signal_us long, entry_us long, exit_us long, pnl long"
 
 
+def offered(d: Dialect, family: str, chosen: list[str]) -> str:
+    """Trades with their place in the queue of a minute: the priority of their condition (its place among the chosen), then
+    a digest of what they are, so that no name is favoured."""
+    priority = "CASE condition " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(chosen)) + " END"
+    digest = f"md5(concat(condition, '|', series, '|', {d.text('signal_us')}))"
+    return f"SELECT {day_of(d, 'entry_us')} AS day, condition, series, signal_us, entry_us, exit_us, exit - entry AS pnl, {priority} AS priority, {digest} AS digest FROM ({signals(d, family, chosen)}) s WHERE exit_us IS NOT NULL AND entry_us IS NOT NULL"
+
+
 def admit(rows: pd.DataFrame) -> pd.DataFrame:
-    """One day's trades under a single position over all series: by entry, then condition, series and signal; a trade is
-    admitted if its entry comes after the position before has ended."""
+    """One day's trades under a single position over all series: by entry, priority and digest; a trade is admitted if its
+    entry comes after the position before has ended."""
     out, until = [], -1
-    for r in rows.sort_values(["entry_us", "condition", "series", "signal_us"])[[x.split()[0] for x in ADMITTED.split(", ")]].itertuples(index=False):
+    for r in rows.sort_values(["entry_us", "priority", "digest"])[[x.split()[0] for x in ADMITTED.split(", ")]].itertuples(index=False):
         if r.entry_us > until:
             out.append(tuple(r))
             until = r.exit_us
@@ -109,14 +117,13 @@ def admit(rows: pd.DataFrame) -> pd.DataFrame:
 
 def scheduled(spark: SparkSession, sf_dir: str, family: str, chosen: list[str]) -> DataFrame:
     """Trades of the single-position schedule. Every trade ends on its day, so days are scheduled apart."""
-    text = f"SELECT {day_of(SPARK, 'entry_us')} AS day, condition, series, signal_us, entry_us, exit_us, exit - entry AS pnl FROM ({signals(SPARK, family, chosen)}) s WHERE exit_us IS NOT NULL AND entry_us IS NOT NULL"
-    return run(spark, sf_dir, text).groupBy("day").applyInPandas(admit, ADMITTED)
+    return run(spark, sf_dir, offered(SPARK, family, chosen)).groupBy("day").applyInPandas(admit, ADMITTED)
 
 
 def scheduled_sql(d: Dialect, family: str, chosen: list[str]) -> str:
     """The schedule by a recursive query, for comparison."""
-    return f"""WITH RECURSIVE s AS (SELECT {day_of(d, 'entry_us')} AS day, condition, series, signal_us, entry_us, exit_us, exit - entry AS pnl FROM ({signals(d, family, chosen)}) q WHERE exit_us IS NOT NULL AND entry_us IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY entry_us, condition, series, signal_us) AS i FROM s),
+    return f"""WITH RECURSIVE s AS ({offered(d, family, chosen)}),
+n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY entry_us, priority, digest) AS i FROM s),
 r AS (SELECT day, i, exit_us AS until, true AS taken FROM n WHERE i = 1
   UNION ALL SELECT n.day, n.i, CASE WHEN n.entry_us > r.until THEN n.exit_us ELSE r.until END AS until, n.entry_us > r.until AS taken FROM r JOIN n ON n.day = r.day AND n.i = r.i + 1)
 SELECT n.day, n.condition, n.series, n.signal_us, n.entry_us, n.exit_us, n.pnl FROM n JOIN r ON n.day = r.day AND n.i = r.i WHERE r.taken"""
