@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.operators.outcomes import hits
+from candlewright.operators import conditions
+from candlewright.operators.outcomes import WARM, hits
 from candlewright.operators.trades import pooled, priced, signals
 from candlewright.plans.dialect import SPARK, Dialect, run
 from candlewright.sources.bars import MINUTE, bars, day_of, squared, valid
@@ -34,11 +35,13 @@ def pool_order(d: Dialect, family: str, chosen: list[str]) -> str:
 FROM ({summary(d, family, chosen)}) s JOIN ({verdicts(d, family, chosen)}) v ON s.condition = v.condition JOIN ({pooled(d, family, chosen)}) w ON s.condition = w.condition"""
 
 
-def comparison(d: Dialect, family: str, chosen: list[str], fine: int = 30, coarse: int = 60) -> str:
-    """Each condition's support at two bar lengths, in basis points of their bars, and which is the more common."""
-    side = lambda m: f"SELECT condition, count(*) * 10000 AS n, max(total) AS total FROM ({hits(d, family, chosen, m)}) h CROSS JOIN (SELECT count(*) AS total FROM ({valid(d, m)}) v WHERE 1 = 1) t GROUP BY condition"
-    a, b = d.tdiv("a.n", "a.total"), d.tdiv("b.n", "b.total")
-    return f"SELECT a.condition, {a} AS fine_bp, {b} AS coarse_bp, CASE WHEN a.n * b.total > b.n * a.total THEN 'fine' WHEN a.n * b.total < b.n * a.total THEN 'coarse' ELSE 'equal' END AS verdict FROM ({side(fine)}) a JOIN ({side(coarse)}) b ON a.condition = b.condition"
+def comparison(d: Dialect, family: str, chosen: list[str], fine: int = 30, coarse: int = 60, least: int = 30) -> str:
+    """Each condition's support at two bar lengths, in basis points of the warm bars of each, which is the more common by
+    exact ratio, and a rank by the difference among those with at least `least` hits at both; the others have none."""
+    side = lambda m: f"SELECT condition, count(*) AS n, max(total) AS total FROM ({hits(d, family, chosen, m)}) h JOIN (SELECT count(*) AS total FROM ({conditions.context(d, m)}) v WHERE {WARM}) t ON 1 = 1 GROUP BY condition"
+    a, b = d.tdiv("a.n * 10000", "a.total"), d.tdiv("b.n * 10000", "b.total")
+    both = f"SELECT a.condition, a.n AS fine_hits, b.n AS coarse_hits, {a} AS fine_bp, {b} AS coarse_bp, CASE WHEN a.n * b.total > b.n * a.total THEN 'fine' WHEN a.n * b.total < b.n * a.total THEN 'coarse' ELSE 'equal' END AS verdict, a.n >= {least} AND b.n >= {least} AS eligible FROM ({side(fine)}) a JOIN ({side(coarse)}) b ON a.condition = b.condition"
+    return f"SELECT *, CASE WHEN eligible THEN CAST(row_number() OVER (PARTITION BY eligible ORDER BY abs(fine_bp - coarse_bp) DESC, condition) AS INT) END AS place FROM ({both}) c"
 
 
 def placement(d: Dialect, family: str, chosen: list[str], folds: int = 5) -> str:
