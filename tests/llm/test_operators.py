@@ -669,3 +669,16 @@ def test_very_long_texts(spark):
     ids = plain_ids(["x" * 3000 + " " + "word " * 3000], 2)[0]
     out = token_files.digest(token_files.write_tokens(documents(spark, ["x" * 3000 + " " + "word " * 3000]), TOKENIZER, 2, stash(spark))).collect()
     assert [(r.n_tokens, r.ids_crc32) for r in out] == [(len(ids), zlib.crc32(ids.tobytes()))]
+
+
+def test_trigram_queries_of_all_constructs():
+    rng = np.random.default_rng(41)
+    patterns = ["a(bc|de)f{2}", "(?:a|b)c+abc", "[abc]{3}def", "ab(?=c)cab", r"\babc\b", r"a\.b\.c", " [-a]bc", "q{0}abc", "ab?c?abc", "(a|b|)cab+?c", "[^a]bcab", r"\x61bc[a-c]abc", "a{2,3}bc", "(?i:AbC)d", "a*bca", ".abc.", "abc|", "(?>ab)cab"]
+    texts = ["".join(rng.choice(list("abcdef. -q"), rng.integers(3, 14))) for _ in range(4000)]
+    for p in patterns:
+        query, found = trigrams.query_of(p), 0
+        for t in texts:
+            if re.search(p, t):
+                found += 1
+                assert any(all(g in t.lower() for g in c) for c in query), (p, t)
+    assert trigrams.query_of("(?x)a b c d") == trigrams.ALL and trigrams.query_of(r"(a)\1bcd") == trigrams.ALL and trigrams.query_of("abc(") == trigrams.ALL
