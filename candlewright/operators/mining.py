@@ -106,7 +106,7 @@ def count_sets(bars: DataFrame, n: int, sets: list[tuple[int, ...]]) -> list[int
 def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: int = 1_000_000, store: str | None = None, dead: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
     """Every frequent set of items, level by level, until a level is empty.
 
-    items: bar, item (at most VOCABULARY kinds). Returns (k, items, hits) and an account of each level: of the sets
+    items: bar, item (at most VOCABULARY kinds), or one row a bar, with its items as `names`, which isn't shuffled. Returns (k, items, hits) and an account of each level: of the sets
     generated, how many were pruned, infrequent and survivors, which add up. Items true on no bar or on all of
     `universe` are excluded, and of items true on exactly the same bars the smallest stays. A level's sets come from
     joining the previous ones on their first k - 1 items, without those of which a subset isn't frequent; a level of more
@@ -117,14 +117,16 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
     executors share, every level is written there, and a ladder that is run again goes on after the last finished one. A
     folder of other items, threshold or universe is refused.
     """
-    least, spark = max(1, least), items.sparkSession
+    least, spark, rows = max(1, least), items.sparkSession, None
     at = lambda name: None if store is None else f"{store}/{name}"
+    if "names" in items.columns:
+        rows, items = items, items.select("bar", F.explode(F.array_distinct("names")).alias("item"))
     if store is not None:
         mine = items.distinct().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("bar", "item")).alias("x")).select("n", "x", F.lit(least).alias("least"), F.lit(-1 if universe is None else universe).alias("universe"))
         first = mine.first()
         if _stored(lambda: mine, spark, at("identity")).first() != first:
             raise ValueError("the folder holds another ladder")
-    pairs = items.select("bar", "item").distinct()
+    pairs = items.select("bar", "item") if rows is not None else items.select("bar", "item").distinct()
     one = pairs.groupBy("item").agg(F.count("*").alias("hits"), F.sum(F.xxhash64("bar").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("bar", F.lit(1))).alias("b"))
     if universe is not None:
         one = one.where(F.col("hits") < universe)
@@ -139,7 +141,12 @@ def ladder(items: DataFrame, least: int, universe: int | None = None, ceiling: i
         return spark.createDataFrame([], schema), accounts
     number = {i: n for n, i in enumerate(names)}
     known = spark.createDataFrame(list(number.items()), "item string, n int")
-    bars = _stored(lambda: pairs.join(F.broadcast(known), "item").groupBy("bar").agg(F.collect_list("n").alias("bits")), spark, at("bars"))
+    if rows is None:
+        bits = pairs.join(F.broadcast(known), "item").groupBy("bar").agg(F.collect_list("n").alias("bits"))
+    else:
+        place = F.transform(F.array_distinct("names"), lambda x: F.array_position(F.array(*map(F.lit, names)), x).cast("int"))
+        bits = rows.select(F.transform(F.filter(place, lambda n: n > 0), lambda n: n - 1).alias("bits"))
+    bars = _stored(lambda: bits, spark, at("bars"))
     barred = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in dead.collect() if r["a"] in number and r["b"] in number} if dead is not None else set()
     level = {(n,): h for n, (_, h) in enumerate(singles)}
     out, k = [(1, [i], h) for i, h in singles], 1
@@ -346,44 +353,36 @@ def auto_threshold(items: DataFrame, universe: int, ceiling: int) -> int:
     return good
 
 
-def every_hit(d: Dialect, minutes: int = 60) -> str:
-    """condition, series, us of each warm bar where a condition of any family is true, from one context row for each bar;
-    the crossings too, and not the trend's, whose state is a fold."""
+def every_name(d: Dialect, minutes: int = 60) -> str:
+    """series, us and the names of all conditions true there, of each warm bar: the families and the crossings, from one
+    context row for each bar, and not the trend's, whose state is a fold."""
     merged = {n: e for f in conditions.FAMILIES.values() for n, e in f(d).items()}
-    rows = ", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in merged.items())
-    crossed = ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in conditions.names_of_crossings())
     listed = (lambda x: f"array_compact(array({x}))") if d.spark else (lambda x: f"list_filter([{x}], lambda v: v IS NOT NULL)")
-    each = "explode(names)" if d.spark else "unnest(names)"
-    one = f"SELECT series, us, {each} AS condition FROM (SELECT series, us, {listed(rows)} AS names FROM ({conditions.context(d, minutes)}) x WHERE {WARM}) a"
-    two = f"SELECT series, us, {each} AS condition FROM (SELECT series, us, {listed(crossed)} AS names FROM ({conditions.crossings(d, conditions.context(d, minutes))}) x WHERE {WARM}) b"
-    return f"{one} UNION ALL {two}"
+    own = listed(", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in merged.items()))
+    crossed = listed(", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in conditions.names_of_crossings()))
+    both = f"concat(own, {crossed})" if d.spark else f"list_concat(own, {crossed})"
+    return f"SELECT series, us, {both} AS names FROM ({conditions.crossings(d, conditions.context(d, minutes), f'series, us, bar_id, session, {own} AS own')}) x WHERE {WARM}"
 
 
-def trend_hits(states: str, warm: str, d: Dialect) -> str:
-    """The same of the trend's conditions. states, warm: texts; warm has series and us."""
+def trend_names(d: Dialect) -> str:
+    """The names of the trend's conditions that are true in a row of its states."""
     from candlewright.operators.trend import trend_conditions
 
     rows = ", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in trend_conditions().items())
-    listed = f"array_compact(array({rows}))" if d.spark else f"list_filter([{rows}], lambda v: v IS NOT NULL)"
-    each = "explode(names)" if d.spark else "unnest(names)"
-    return f"SELECT series, us, {each} AS condition FROM (SELECT s.series, s.us, {listed} AS names FROM {states} s JOIN {warm} w ON w.series = s.series AND w.us = s.us) t"
-
-
-def warm_bars(d: Dialect, minutes: int = 60) -> str:
-    return f"SELECT series, us FROM ({conditions.context(d, minutes)}) x WHERE {WARM}"
+    return f"array_compact(array({rows}))" if d.spark else f"list_filter([{rows}], lambda v: v IS NOT NULL)"
 
 
 def mine_all(spark, sf_dir: str, per_mille: int = 350, ceiling: int = 200_000) -> DataFrame:
     """Frequent sets over all conditions: families, crossings and trend, true on at least so many thousandths of the warm
-    bars, without conditions that always hold, repeat another's bars, or imply one in the set."""
+    bars, without conditions that always hold, repeat another's bars, or imply one in the set. Bars stay one row each."""
     from candlewright.operators.trend import states
 
-    warm = keep(run(spark, sf_dir, warm_bars(SPARK)))
-    universe = warm.count()
-    trend = spark.sql(trend_hits("{states}", "{warm}", SPARK), states=states(spark, sf_dir), warm=warm)
-    items = run(spark, sf_dir, every_hit(SPARK)).unionByName(trend).selectExpr("concat_ws('/', series, us) AS bar", "condition AS item")
+    text = f"SELECT xxhash64(w.series, w.us) AS bar, concat(w.names, coalesce(s.trend, array())) AS names FROM ({every_name(SPARK)}) w LEFT JOIN (SELECT series, us, {trend_names(SPARK)} AS trend FROM {{states}}) s ON s.series = w.series AND s.us = w.us"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = keep(spark.sql(text, events=events, states=states(spark, sf_dir)))
+    universe = rows.count()
     dead = spark.createDataFrame(conditions.implied_pairs(), "a string, b string")
-    sets = finished(ladder(keep(items), -(-universe * per_mille // 1000), universe, ceiling, dead=dead))
+    sets = finished(ladder(rows, -(-universe * per_mille // 1000), universe, ceiling, dead=dead))
     return sets.selectExpr("k", "array_join(items, ',') AS items", "hits")
 
 
@@ -393,8 +392,8 @@ def mine_all_sql(per_mille: int = 350) -> str:
 
     d = DUCK
     dead = ", ".join(f"('{a}', '{b}')" for a, b in conditions.implied_pairs())
-    return f"""WITH RECURSIVE w AS MATERIALIZED ({warm_bars(d)}), n AS (SELECT series, us, CAST(row_number() OVER (ORDER BY series, us) - 1 AS INTEGER) AS bar FROM w), u AS (SELECT count(*) AS bars, CAST(ceil(count(*) * {per_mille} / 1000.0) AS BIGINT) AS least FROM w),
-st AS MATERIALIZED (SELECT * FROM ({states_sql()}) z), h AS MATERIALIZED (SELECT DISTINCT n.bar, q.condition FROM ({every_hit(d)} UNION ALL {trend_hits('st', 'w', d)}) q JOIN n ON n.series = q.series AND n.us = q.us),
+    return f"""WITH RECURSIVE w AS MATERIALIZED (SELECT *, CAST(row_number() OVER (ORDER BY series, us) - 1 AS INTEGER) AS bar FROM ({every_name(d)}) z), u AS (SELECT count(*) AS bars, CAST(ceil(count(*) * {per_mille} / 1000.0) AS BIGINT) AS least FROM w),
+t AS (SELECT w.bar, {trend_names(d)} AS names FROM ({states_sql()}) s JOIN w ON w.series = s.series AND w.us = s.us), h AS MATERIALIZED (SELECT bar, unnest(names) AS condition FROM w UNION ALL SELECT bar, unnest(names) FROM t),
 b AS (SELECT condition, bitstring_agg(bar, 0, 9999) AS bits, count(*) AS hits FROM h GROUP BY condition), one AS MATERIALIZED (SELECT min(condition) AS item, bits, hits FROM b, u WHERE hits >= least AND hits < bars GROUP BY bits, hits),
 x AS (SELECT o.item, coalesce(list(p.other) FILTER (p.other IS NOT NULL), []) AS never FROM one o LEFT JOIN (SELECT a AS item, b AS other FROM (VALUES {dead}) v(a, b) UNION ALL SELECT b, a FROM (VALUES {dead}) v(a, b)) p ON p.item = o.item GROUP BY o.item),
 r AS (SELECT 1 AS k, [item] AS items, bits, hits FROM one

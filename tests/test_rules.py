@@ -169,3 +169,12 @@ def test_every_minute_is_held_or_in_one_run(spark):
 
 def test_effective_trials_of_a_ladder():
     assert statistics.effective_trials([{"k": 1, "survivors": 5}, {"k": 2, "generated": 10, "pruned": 2, "infrequent": 3, "survivors": 5}], 4) == 9
+
+
+def test_ladder_over_rows_of_names(spark):
+    rng = np.random.default_rng(19)
+    rows = [(b, [n for n in "abcdefg" if rng.random() < 0.6] + ["a"] * (b % 3)) for b in range(80)]
+    wide = spark.createDataFrame(rows, "bar long, names array<string>")
+    long = wide.selectExpr("bar", "explode(names) AS item")
+    read = lambda sets: sorted((tuple(r["items"]), r["hits"]) for r in sets.collect())
+    assert read(mining.ladder(wide, 12, 80)[0]) == read(mining.ladder(long, 12, 80)[0]) != []
