@@ -11,8 +11,10 @@ from candlewright.operators.series import gaps
 from candlewright.plans.dialect import DUCK, SPARK, Dialect, run
 from candlewright.sources.bars import DAY, IST, MINUTE, bars, day_of, minute_of, ticks, valid
 
-#: Minutes of a full session, from 9:15 to 15:30.
+#: Minutes of a full session, from 9:15 to 15:30; what a minute that isn't held is called; why a row is dropped.
 SESSION = 375
+CLOSED, OUTSIDE, HOLE = "closed", "outside-window", "vendor-hole"
+DROPPED = ("before the session open", "at or after the session close", "before the requested window", "after the requested window")
 
 
 def calendar(d: Dialect) -> str:
@@ -47,7 +49,7 @@ def minute_ledger(d: Dialect) -> str:
     closed day. Every minute of every day of the calendar is either held or in one run; only holes are a loss."""
     grid = f"SELECT s.series, c.day, c.kind, {d.each('0', '1439')} AS minute FROM (SELECT DISTINCT series FROM ({bars(d, 1)}) b) s JOIN ({calendar(d)}) c ON 1 = 1"
     held = f"SELECT series, {day_of(d)} AS day, {minute_of(d)} + 555 AS minute FROM ({bars(d, 1)}) b"
-    reason = f"CASE WHEN g.kind = 'closed' THEN 'closed' WHEN g.minute >= 555 AND g.minute < {555 + SESSION} THEN 'vendor-hole' ELSE 'outside-window' END"
+    reason = f"CASE WHEN g.kind = 'closed' THEN '{CLOSED}' WHEN g.minute >= 555 AND g.minute < {555 + SESSION} THEN '{HOLE}' ELSE '{OUTSIDE}' END"
     missing = f"SELECT g.series, g.day, g.minute, {reason} AS reason FROM ({grid}) g LEFT JOIN ({held}) h ON h.series = g.series AND h.day = g.day AND h.minute = g.minute WHERE h.minute IS NULL"
     return f"""SELECT series, day, reason, min(minute) AS from_minute, max(minute) AS to_minute, count(*) AS minutes FROM (
   SELECT *, minute - row_number() OVER (PARTITION BY series, day, reason ORDER BY minute) AS island FROM ({missing}) m) i GROUP BY series, day, reason, island"""
@@ -70,7 +72,8 @@ def landed(d: Dialect, first_day: int = 19_725, last_day: int = 19_740) -> str:
     """Raw rows of a window as they would be stored: the first of each (series, minute) inside the session and the days
     asked for; each row with the reason that it is dropped for, or landed."""
     minute, day = minute_of(d), day_of(d)
-    reason = f"CASE WHEN {minute} < 0 THEN 'before the session open' WHEN {minute} >= {SESSION} THEN 'at or after the session close' WHEN {day} < {first_day} THEN 'before the requested window' WHEN {day} > {last_day} THEN 'after the requested window' END"
+    tests = (f"{minute} < 0", f"{minute} >= {SESSION}", f"{day} < {first_day}", f"{day} > {last_day}")
+    reason = "CASE " + " ".join(f"WHEN {t} THEN '{r}'" for t, r in zip(tests, DROPPED, strict=True)) + " END"
     stamp = f"{d.fdiv('us', str(MINUTE))} * {MINUTE}"
     return f"""SELECT series, event_id, stamp, px, CASE WHEN reason IS NOT NULL THEN reason WHEN turn > 1 THEN 'duplicate' ELSE 'landed' END AS verdict FROM (
   SELECT *, row_number() OVER (PARTITION BY series, stamp, reason ORDER BY us, event_id) AS turn FROM (SELECT series, event_id, us, {stamp} AS stamp, px, {reason} AS reason FROM ({ticks(d)}) t) r) q"""
@@ -86,7 +89,7 @@ def land_census_sql() -> str:
     d = DUCK
     t = f"SELECT *, ({minute_of(d)}) AS m, ({day_of(d)}) AS d, us // {MINUTE} AS s FROM ({ticks(d)}) t"
     inside = f"m >= 0 AND m < {SESSION}"
-    parts = [("before the session open", "m < 0"), ("at or after the session close", f"m >= {SESSION}"), ("before the requested window", f"{inside} AND d < 19725"), ("after the requested window", f"{inside} AND d > 19740")]
+    parts = list(zip(DROPPED, ("m < 0", f"m >= {SESSION}", f"{inside} AND d < 19725", f"{inside} AND d > 19740"), strict=True))
     kept = f"{inside} AND d >= 19725 AND d <= 19740"
     lines = [f"SELECT series, '{n}' AS verdict, count(*) AS n FROM t WHERE {w} GROUP BY series" for n, w in parts]
     lines += [f"SELECT series, 'landed', count(DISTINCT s) FROM t WHERE {kept} GROUP BY series", f"SELECT series, 'duplicate', count(*) - count(DISTINCT s) FROM t WHERE {kept} GROUP BY series HAVING count(*) > count(DISTINCT s)"]
