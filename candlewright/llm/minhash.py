@@ -215,7 +215,7 @@ def _linked(rows: DataFrame, stash: Stash, width: int, similarity: tuple[int, in
         named = named.select("n_shingles", "h1", "h2", F.col("first.doc_id").alias("low"), F.col("first.row").alias("head"))
     else:
         named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        heads = named.groupBy("component").agg(F.min("first").alias("whole"))
+        heads = stash.put(named.groupBy("component").agg(F.min("first").alias("whole")), "heads")
         named = named.join(heads, "component").select("n_shingles", "h1", "h2", F.col("whole.doc_id").alias("low"), F.col("whole.row").alias("head"))
     named = stash.put(named, "named")  # a table, so that Spark can split a hot class's rows in the join
     out = signed.select("row", "doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
