@@ -85,8 +85,11 @@ def train(docs: DataFrame, labelled: DataFrame, stash: Stash, gate: float = 4.0,
         return None
     names = sorted(counts)
     seen: dict[int, dict[str, int]] = {}
-    for r in held.select("domain", F.explode("held").alias("bucket")).groupBy("bucket", "domain").agg(F.count("*").alias("df")).collect():
-        seen.setdefault(r.bucket, {})[r.domain] = r.df
+    each = held.select("domain", F.explode("held").alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("df"))
+    lists = each.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("bucket", "df"))).alias("b"))  # at most BUCKETS in each
+    for r in lists.select("domain", F.col("b.bucket").alias("bucket"), F.col("b.df").alias("df")).collect():
+        for bucket, df in zip(r.bucket, r.df, strict=True):
+            seen.setdefault(bucket, {})[r.domain] = df
     paths = {d: ["/".join(d.split("/")[:k]) for k in range(1, d.count("/") + 2)] for d in names}
     sizes: dict[str, int] = {}
     for d in names:
