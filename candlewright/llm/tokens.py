@@ -69,14 +69,15 @@ class Encoder:
         self.used = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)  # of the entries' own bytes
-        self.lanes = np.zeros((0, LANED // 8), np.uint64)  # and those bytes
+        self.raw = np.zeros(8, np.uint8)  # those bytes, one entry after another as learnt, and eight more
+        self.raw_at = np.zeros(0, np.int64)
         self.turn = 0
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, names: np.ndarray, words: list[bytes], whole: np.ndarray, lanes: np.ndarray) -> None:
-        """Add encodings of new entries; names are sorted and not yet known, lanes are the words' bytes."""
+    def _learn(self, names: np.ndarray, words: list[bytes], whole: np.ndarray) -> None:
+        """Add encodings of new entries; names are sorted and not yet known."""
         sizes, parts = np.zeros(len(words), np.int64), []
         one = np.flatnonzero(~whole)
         if len(one):
@@ -98,7 +99,9 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *parts]).astype(np.uint32)
         self.names, self.starts = np.insert(self.names, where, names), np.insert(self.starts, where, starts)
         self.sizes, self.used = np.insert(self.sizes, where, sizes), np.insert(self.used, where, self.turn)
-        self.lengths, self.lanes = np.insert(self.lengths, where, [len(w) for w in words]), np.insert(self.lanes, where, lanes, axis=0)
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        self.lengths, self.raw_at = np.insert(self.lengths, where, lengths), np.insert(self.raw_at, where, len(self.raw) - 8 + np.cumsum(lengths) - lengths)
+        self.raw = np.concatenate([self.raw[:-8], np.frombuffer(b"".join(words) + bytes(8), dtype=np.uint8)])
 
     def _evict(self) -> None:
         """Keep the half used last."""
@@ -107,7 +110,9 @@ class Encoder:
         ids = self.ids[_runs(self.starts[keep], sizes)]
         self.names, self.used, self.sizes, self.ids = self.names[keep], self.used[keep], sizes, ids
         self.starts = np.cumsum(sizes) - sizes
-        self.lengths, self.lanes = self.lengths[keep], self.lanes[keep]
+        self.lengths = self.lengths[keep]
+        self.raw = np.concatenate([self.raw[_runs(self.raw_at[keep], self.lengths)], np.zeros(8, np.uint8)])
+        self.raw_at = np.cumsum(self.lengths) - self.lengths
 
     def batch(self, column) -> list[bytes]:
         """Ids of each text of an Arrow string column; null and empty texts have none."""
@@ -192,18 +197,17 @@ class Encoder:
                 k = first[new]
                 raw = low.tobytes()
                 words = [raw[a:b] for a, b in zip(at[k].tolist(), ends[k].tolist(), strict=True)]
-                own = np.stack([lane(padded, at[k], lengths[k], j) for j in range(LANED // 8)], axis=1)
-                self._learn(some[new], words, np.isin(at[k], opaque), own)
+                self._learn(some[new], words, np.isin(at[k], opaque))
                 place = np.searchsorted(self.names, some)
             self.used[place] = self.turn
             entry = place[back]
             other = self.lengths[entry] != lengths
-            left = np.arange(len(at))
+            left = np.flatnonzero(~other)
             for j in range(LANED // 8):
                 left = left[lengths[left] > 8 * j]
                 if not len(left):
                     break
-                other[left] |= self.lanes[entry[left], j] != lane(padded, at[left], lengths[left], j)
+                other[left] |= lane(self.raw, self.raw_at[entry[left]], lengths[left], j) != lane(padded, at[left], lengths[left], j)
             if other.any():  # two pre-tokens of one name
                 slow[np.searchsorted(offsets, at[other], "right") - 1] = True
             sizes = self.sizes[entry]
