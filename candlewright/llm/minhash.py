@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from math import floor, sqrt
+from functools import reduce
+from math import floor, log, sqrt
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.llm.common import Stash, connected_components
 
+#: Bits of a set's sketch.
+SKETCH = 2048
+#: Members of an element beyond which they meet by size.
+MANY = 128
 ROW = "row long, doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 
 
@@ -74,14 +80,16 @@ def _agree(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(task, "a long, b long")
 
 
-def _mixed(lists: DataFrame, sets: DataFrame, num: int, den: int, stash: Stash, head: int = 256) -> DataFrame:
+def _mixed(lists: DataFrame, sets: DataFrame, num: int, den: int, stash: Stash) -> DataFrame:
     """Pairs of differing components that posting lists still mix, as far as their full sets can be similar.
 
     lists: rep, n, comp of the members of such lists. Two sets at the similarity share one of the first
     (n - ceil(similarity * n) + 1) elements of each, in any common order; with the rarest first, what a copy has of
     its own fills its prefix, and copies too far apart never meet. Of a list's pairs, only those outside its commonest
-    component are begun from. A pair that meets is kept if its sets can still overlap enough: what the first `head`
-    elements of both have in common, plus all that comes after them in the set where that is more.
+    component are begun from. A pair that meets is kept if its sets can still be similar: what both have from the first
+    shared element on is enough, and their sketches differ in no more bits than the sets may differ in elements. Members
+    of an element with more than MANY meet by size only: each is dealt to the sizes (in steps of 2 %) that what it has
+    from this element on still allows. Those of a large group that are left meet in pairs within the join, and few leave it.
     """
 
     def task(batches):
@@ -99,18 +107,26 @@ def _mixed(lists: DataFrame, sets: DataFrame, num: int, den: int, stash: Stash,
     ranked = grams.join(shared, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own")).join(members, "rep")
     alone = F.col("n") - F.size("own")
     first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - alone
-    seen = F.greatest(F.lit(0), F.least(F.size("own"), head - alone)).cast("int")  # of the head, those that others have
-    ranked = ranked.withColumn("tops", F.transform(F.slice("own", F.lit(1), seen), lambda k: k["gram"].bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))).withColumn("rest", F.greatest(F.lit(0), F.col("n") - head))
-    kept = ranked.where(first > 0).select("rep", "n", "comp", "tops", "rest", F.explode(F.slice("own", F.lit(1), first.cast("int"))).alias("k")).select(F.col("k.gram").alias("gram"), "rep", "n", "comp", "tops", "rest")
+    kept = ranked.where(first > 0).select("rep", "n", "comp", F.size("own").alias("others"), F.posexplode(F.slice("own", F.lit(1), first.cast("int"))).alias("at", "k"))
+    kept = kept.select(F.col("k.gram").alias("gram"), "rep", "n", "comp", (F.col("others") - F.col("at")).alias("left"))  # left: elements from this one on
     kept = stash.put(kept, "gram-prefix")
-    main = kept.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    main = kept.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c")).where("comps > 1")
     main = stash.put(main, "main")
-    side = lambda rows, c: rows.select("gram", F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "comp", "tops", "rest")])
-    begun = stash.put(side(kept.join(main.select("gram", "main"), "gram").where("comp <> main"), "a"), "begun")
+    low = F.ceil(F.col("n") * num / den)  # the least and the most elements of a set that may meet this one here
+    high = F.least(F.floor(F.col("n") * den / num), F.floor(F.col("left") * (den + num) / num) - F.col("n"))
+    step = lambda n: F.floor(F.log(n) / log(1.02)).cast("int")
+    many = F.col("c") > MANY
+    dealt = kept.join(main.select("gram", "main", "c"), "gram").where(low <= high).join(sets.select("rep", "sketch"), "rep")
+    dealt = dealt.withColumn("own", F.when(many, step("n")).otherwise(0)).withColumn("other", F.explode(F.when(many, F.sequence(step(low), step(high))).otherwise(F.array(F.lit(0)))))
+    dealt = stash.put(dealt.drop("c"), "dealt")
+    side = lambda rows, c, own, other: rows.select("gram", F.col("own").alias(own), F.col("other").alias(other), F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "comp", "left", "sketch")])
+    begun = side(dealt.where("comp <> main"), "a", "x", "y")
+    both = F.col("n_a") + F.col("n_b")
     ratio = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    most = F.size(F.array_intersect("tops_a", "tops_b")) + F.greatest("rest_a", "rest_b")
-    enough = most * (den + num) >= (F.col("n_a") + F.col("n_b")) * num
-    met = begun.join(side(kept, "b"), "gram").where((F.col("comp_a") != F.col("comp_b")) & ratio & enough)
+    enough = F.least("left_a", "left_b") * (den + num) >= both * num
+    apart = reduce(add, [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH // 64)])
+    near = apart * (den + num) <= both * (den - num)
+    met = begun.join(side(dealt, "b", "y", "x"), ["gram", "x", "y"]).where((F.col("comp_a") != F.col("comp_b")) & ratio & enough & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -136,7 +152,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Full shingle sets of the wanted representatives, recomputed from their own rows' texts: one for each."""
+    """Full shingle sets of the wanted representatives, recomputed from their own rows' texts, with their sketches: one
+    for each."""
 
     def task(batches):
         import pyarrow as pa
@@ -146,11 +163,14 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                sets = [s.astype("<u8").tobytes() for s in S.shingle_sets(some.column(1).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
+                sets, sketches = [], []
+                for s in S.shingle_sets(some.column(1).to_pylist(), width):
+                    sets.append(s.astype("<u8").tobytes())
+                    sketches.append(S.sketch(s, SKETCH))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["rep", "set", "sketch"])
 
     texts = rows.select(F.col("row").alias("rep"), "text")
-    return wanted.select("rep").join(texts, "rep").select("rep", "text").mapInArrow(task, "rep long, set binary")
+    return wanted.select("rep").join(texts, "rep").select("rep", "text").mapInArrow(task, "rep long, set binary, sketch array<long>")
 
 
 def _linked(rows: DataFrame, stash: Stash, width: int, similarity: tuple[int, int], coordinates: int, seed: int, hub_rounds: int) -> DataFrame:
@@ -166,7 +186,7 @@ def _linked(rows: DataFrame, stash: Stash, width: int, similarity: tuple[int, in
     Pairs of one posting list aren't all emitted. In each hub round a list elects a member, and members of other
     components are compared with it; links merge components. What then still shares a list but not a component is
     joined by the rarest elements of their full sets (_mixed), so no link between components is lost and a group of n
-    near copies costs about n comparisons for each of its lists. Compared pairs are counted on the whole signature and confirmed on full sets.
+    near copies costs about n comparisons for each of its lists, besides the pairs that _mixed drops by sketches. Compared pairs are counted on the whole signature and confirmed on full sets.
 
     Texts without words have no shingles and link with nothing: low is their doc_id, head their row.
     """

@@ -115,3 +115,10 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set: two sums over its shingles."""
     with np.errstate(over="ignore"):
         return int(shingles.sum(dtype=np.uint64).astype(np.int64)), int(mix(shingles ^ BASE).sum(dtype=np.uint64).astype(np.int64))
+
+
+def sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the numbers of shingles in as many buckets as bits, as 64-bit numbers. Those of two sets differ in at
+    most as many bits as the sets differ in elements: the parities of what only one of them has."""
+    counts = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")

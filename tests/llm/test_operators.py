@@ -682,3 +682,32 @@ def test_trigram_queries_of_all_constructs():
                 found += 1
                 assert any(all(g in t.lower() for g in c) for c in query), (p, t)
     assert trigrams.query_of("(?x)a b c d") == trigrams.ALL and trigrams.query_of(r"(a)\1bcd") == trigrams.ALL and trigrams.query_of("abc(") == trigrams.ALL
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Copies of one text meet by size beyond MANY; those too far apart aren't returned as pairs, also where sets are large."""
+    monkeypatch.setattr(minhash, "MANY", 2, raising=False)
+    rng = np.random.default_rng(5)
+    core = [f"w{i}" for i in range(3600)]
+
+    def copy(words, changes, tag):
+        own = list(words)
+        for k, i in enumerate(rng.choice(len(words) - 40, changes, replace=False)):
+            own[i] = f"x{tag}y{k}"
+        return " ".join(own[: len(own) - int(rng.integers(0, 40))])
+
+    far = [(k, copy(core, 100, k)) for k in range(20)]
+    rows = documents(spark, [t for _, t in far]).withColumnRenamed("doc_id", "row")
+    sizes = {k: len({*zip(t.split(), t.split()[1:], t.split()[2:])}) for k, t in far}
+    lists = spark.createDataFrame([(k, sizes[k], k) for k, _ in far], "rep long, n long, comp long")
+    keep = stash(spark)
+    sets = keep.put(minhash._full_sets(rows, lists, 3), "sets")
+    assert minhash._mixed(lists, sets, 85, 100, keep).count() == 0
+
+    near = [(k, copy(core[:400], int(rng.integers(2, 14)), k)) for k in range(60)]
+    grams = {k: {*zip(t.split(), t.split()[1:], t.split()[2:])} for k, t in near}
+    alike = {(a, b) for a in grams for b in grams if a < b and 100 * len(grams[a] & grams[b]) >= 85 * len(grams[a] | grams[b])}
+    lists = spark.createDataFrame([(k, len(grams[k]), k) for k in grams], "rep long, n long, comp long")
+    sets = keep.put(minhash._full_sets(documents(spark, [t for _, t in near]).withColumnRenamed("doc_id", "row"), lists, 3), "sets")
+    pairs = {(r.a, r.b) for r in minhash._mixed(lists, sets, 85, 100, keep).collect()}
+    assert 0 < len(alike) < 60 * 59 / 2 and alike <= pairs and len(pairs - alike) < len(alike) / 4
