@@ -13,8 +13,6 @@ from candlewright.llm.common import Stash, connected_components
 
 #: Bits of a set's sketch.
 SKETCH = 2048
-#: Members of an element beyond which they meet by size.
-MANY = 128
 ROW = "row long, doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 
 
@@ -85,11 +83,13 @@ def _mixed(lists: DataFrame, sets: DataFrame, num: int, den: int, stash: Stash)
 
     lists: rep, n, comp of the members of such lists. Two sets at the similarity share one of the first
     (n - ceil(similarity * n) + 1) elements of each, in any common order; with the rarest first, what a copy has of
-    its own fills its prefix, and copies too far apart never meet. Of a list's pairs, only those outside its commonest
-    component are begun from. A pair that meets is kept if its sets can still be similar: what both have from the first
-    shared element on is enough, and their sketches differ in no more bits than the sets may differ in elements. Members
-    of an element with more than MANY meet by size only: each is dealt to the sizes (in steps of 2 %) that what it has
-    from this element on still allows. Those of a large group that are left meet in pairs within the join, and few leave it.
+    its own fills its prefix, and copies too far apart never meet. Of a list's pairs, only those with a member outside
+    its commonest component meet, each once: the larger looks for the smaller. A set is posted by its size, in steps of
+    2 %, if what it has from the element on would do for a set of its own size. As the larger it is dealt to those posted
+    sizes alone that what it has from the element on still allows: at most 13 at 80 %, however many the element has, and
+    none where nobody is to be met. A pair that meets is kept if its sets can still be similar:
+    what both have from the shared element on is enough, and their sketches differ in no more bits than the sets may
+    differ in elements. Those of a large group that are left meet in pairs within the join, and few leave it.
     """
 
     def task(batches):
@@ -110,23 +110,27 @@ def _mixed(lists: DataFrame, sets: DataFrame, num: int, den: int, stash: Stash)
     kept = ranked.where(first > 0).select("rep", "n", "comp", F.size("own").alias("others"), F.posexplode(F.slice("own", F.lit(1), first.cast("int"))).alias("at", "k"))
     kept = kept.select(F.col("k.gram").alias("gram"), "rep", "n", "comp", (F.col("others") - F.col("at")).alias("left"))  # left: elements from this one on
     kept = stash.put(kept, "gram-prefix")
-    main = kept.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("c")).where("comps > 1")
+    main = kept.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     main = stash.put(main, "main")
-    low = F.ceil(F.col("n") * num / den)  # the least and the most elements of a set that may meet this one here
-    high = F.least(F.floor(F.col("n") * den / num), F.floor(F.col("left") * (den + num) / num) - F.col("n"))
+    most = F.floor(F.col("left") * (den + num) / num)  # elements that a pair's two sets may have together, for this one's sake
     step = lambda n: F.floor(F.log(n) / log(1.02)).cast("int")
-    many = F.col("c") > MANY
-    dealt = kept.join(main.select("gram", "main", "c"), "gram").where(low <= high).join(sets.select("rep", "sketch"), "rep")
-    dealt = dealt.withColumn("own", F.when(many, step("n")).otherwise(0)).withColumn("other", F.explode(F.when(many, F.sequence(step(low), step(high))).otherwise(F.array(F.lit(0)))))
-    dealt = stash.put(dealt.drop("c"), "dealt")
-    side = lambda rows, c, own, other: rows.select("gram", F.col("own").alias(own), F.col("other").alias(other), F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "comp", "left", "sketch")])
-    begun = side(dealt.where("comp <> main"), "a", "x", "y")
+    dealt = kept.join(main.select("gram", "main"), "gram").select("gram", "rep", "n", "comp", most.alias("most"), (F.col("comp") != F.col("main")).alias("out"))
+    dealt = dealt.withColumn("low", F.ceil(F.col("n") * num / den)).withColumn("high", F.least("n", F.col("most") - F.col("n"))).where("low <= high")  # sizes of smaller sets
+    size = 2 * step("n")  # odd keys: those outside the commonest component alone
+    smaller = dealt.where("high = n").withColumn("key", F.explode(F.when(F.col("out"), F.array(size, size + 1)).otherwise(F.array(size))))
+    smaller = stash.put(smaller.join(sets.select("rep", "sketch"), "rep"), "smaller")
+    there = smaller.groupBy("gram").agg(F.collect_set("key").alias("keys"))
+    larger = dealt.join(there, "gram").withColumn("from", 2 * step("low")).withColumn("to", 2 * step("high") + 1)
+    mine = lambda k: k.between(F.col("from"), F.col("to")) & (F.col("out") == (k % 2 == 0))
+    larger = larger.withColumn("key", F.explode(F.filter("keys", mine))).drop("keys", "from", "to")
+    larger = stash.put(larger.join(sets.select("rep", "sketch"), "rep"), "larger")
+    side = lambda rows, c: rows.select("gram", "key", F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "comp", "most", "sketch")])
     both = F.col("n_a") + F.col("n_b")
-    ratio = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    enough = F.least("left_a", "left_b") * (den + num) >= both * num
-    apart = reduce(add, [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH // 64)])
-    near = apart * (den + num) <= both * (den - num)
-    met = begun.join(side(dealt, "b", "y", "x"), ["gram", "x", "y"]).where((F.col("comp_a") != F.col("comp_b")) & ratio & enough & near)
+    ordered = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+    enough = (F.col("n_b") * den >= F.col("n_a") * num) & (both <= F.least("most_a", "most_b"))
+    bits = reduce(add, [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH // 64)])
+    near = bits * (den + num) <= both * (den - num)
+    met = side(larger, "a").join(side(smaller, "b"), ["gram", "key"]).where((F.col("comp_a") != F.col("comp_b")) & ordered & enough & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

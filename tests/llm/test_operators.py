@@ -711,3 +711,33 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     sets = keep.put(minhash._full_sets(documents(spark, [t for _, t in near]).withColumnRenamed("doc_id", "row"), lists, 3), "sets")
     pairs = {(r.a, r.b) for r in minhash._mixed(lists, sets, 85, 100, keep).collect()}
     assert 0 < len(alike) < 60 * 59 / 2 and alike <= pairs and len(pairs - alike) < len(alike) / 4
+
+
+def test_large_groups_make_few_rows(spark):
+    """Members of a large group are dealt only to sizes that others have: no table has many times the group's postings, and
+    all pairs of differing components at the similarity are kept, each once, also of texts cut short."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(220):
+        own = [f"w{i}" for i in range(160)]
+        for i in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+            own[i] = f"x{k}y{i}"
+        texts.append(" ".join(own[: 160 - (k % 40 if k >= 180 else 0)]))
+    grams = {k: {*zip(t.split(), t.split()[1:], t.split()[2:])} for k, t in enumerate(texts)}
+    comps = {k: 0 if k % 3 == 0 else 1 if k % 11 == 0 else k for k in grams}
+    alike = {(a, b) for a in grams for b in grams if a < b and comps[a] != comps[b] and 100 * len(grams[a] & grams[b]) >= 85 * len(grams[a] | grams[b])}
+    lists = spark.createDataFrame([(k, len(g), comps[k]) for k, g in grams.items()], "rep long, n long, comp long")
+    keep = stash(spark)
+    sets = keep.put(minhash._full_sets(documents(spark, texts).withColumnRenamed("doc_id", "row"), lists, 3), "sets")
+    put, rows = keep.put, collections.Counter()
+
+    def counted(df, name, *args, **options):
+        out = put(df, name, *args, **options)
+        rows[name] += out.count()
+        return out
+
+    keep.put = counted
+    pairs = [(r.a, r.b) for r in minhash._mixed(lists, sets, 85, 100, keep).collect()]
+    assert alike <= set(pairs) and len(pairs) == len(set(pairs)) and all(comps[a] != comps[b] for a, b in pairs) and len(pairs) < 2 * len(alike)
+    postings = rows["gram-prefix"]
+    assert 0 < postings and all(n <= 2 * postings for name, n in rows.items() if name != "grams"), rows
